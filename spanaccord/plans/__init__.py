@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["reshape"]
+FAMILIES = ["reshape", "windows", "joins", "aggregates", "scoring"]
 
 
 def load():

@@ -193,3 +193,17 @@ def words(spark, sf, name="documents", key="doc_id") -> DataFrame:
     return table(spark, sf, name).select(
         F.col(key).alias("doc"), F.posexplode(F.split("text", r"\s+")).alias("pos", "word")
     ).where("word <> ''")
+
+
+SYMBOLS = ["Q", "SclS", "t", "a", "H", "N", "m", "i", "k", "SclS"]
+
+
+def phones(spark, sf) -> DataFrame:
+    """Phone symbols inside the pause windows, with uncertainty flags."""
+    e = F.col("event_id")
+    sym = F.element_at(F.array(*[F.lit(s) for s in SYMBOLS]), ((e * 3 + F.floor(e / 5)) % 10 + 1).cast("int"))
+    return windowed_units(spark, sf).select(
+        "file_id", "ipu_id", "event_id", "unit_id", "t_start", "t_end", "devoiced", "tag_vlong", "accent_type",
+        sym.alias("sym"), sym.isin("a", "i", "H").alias("is_vowel"),
+        (e % 3 == 0).alias("start_uncertain"), (e % 4 == 0).alias("end_uncertain"),
+    )

@@ -59,3 +59,14 @@ def words(name="documents", key="doc_id"):
     return f"""
 words AS (SELECT doc, pos - 1 AS pos, word FROM (SELECT {key} AS doc, unnest(w) AS word, generate_subscripts(w, 1) AS pos
   FROM (SELECT {key}, regexp_split_to_array(text, '\\s+') AS w FROM {name})) WHERE word <> '')"""
+
+
+PHONES = """
+ph AS (SELECT *, sym IN ('a','i','H') AS is_vowel FROM (SELECT file_id, ipu_id, event_id, unit_id, t_start, t_end, devoiced, tag_vlong, accent_type,
+  (['Q','SclS','t','a','H','N','m','i','k','SclS'])[((event_id * 3 + event_id // 5) % 10 + 1)::INT] AS sym, event_id % 3 = 0 AS start_uncertain, event_id % 4 = 0 AS end_uncertain FROM ref))"""
+RUNS = """
+mr AS (SELECT *, lag(sym) OVER w AS p, lag(is_vowel) OVER w AS pv,
+  last_value(CASE WHEN sym <> 'SclS' THEN sym END IGNORE NULLS) OVER (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h
+  FROM ph WINDOW w AS (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id)),
+runs AS (SELECT *, sum(CASE WHEN coalesce((sym = 'H' AND pv) OR (p = 'Q' AND sym = 'SclS') OR (p = 'SclS' AND h = 'Q') OR (p = 'N' AND sym IN ('m','n','ny','my')) OR (devoiced AND is_vowel AND NOT pv), false) THEN 0 ELSE 1 END)
+  OVER (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id)::BIGINT AS run FROM mr)"""

@@ -24,8 +24,11 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None, dbl: str = "", ctes: list[str] | None = None, digits: int = DIGITS):
-    """Register ``fn(spark, sf)`` under ``name``; ``dbl`` lists the float columns of ``sql``."""
+def query(name: str, sql: str | None = None, dbl: str = "", ctes: list[str] | None = None, digits: int = DIGITS, big: str = ""):
+    """Register ``fn(spark, sf)`` under ``name``.
+
+    ``dbl`` lists the float columns of ``sql`` to round, ``big`` those to read as BIGINT.
+    """
 
     def deco(fn):
         if name in QUERIES:
@@ -35,9 +38,10 @@ def query(name: str, sql: str | None = None, dbl: str = "", ctes: list[str] | No
             body = sql.strip()
             if ctes:
                 body = "WITH " + ", ".join(ctes) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
-            if dbl:
-                rep = ", ".join(f"round({c}, {digits}) + 0 AS {c}" for c in dbl.split())
-                body = f"SELECT * REPLACE ({rep}) FROM ({body})"
+            rep = [f"round({c}, {digits}) + 0 AS {c}" for c in dbl.split()]
+            rep += [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
+            if rep:
+                body = f"SELECT * REPLACE ({', '.join(rep)}) FROM ({body})"
             ORACLES[name] = body
         return fn
 

@@ -16,13 +16,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def session(cores="8", **conf):
     b = (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "12g")
         .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     s = b.getOrCreate()
-    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setLogLevel("OFF")
     return s
 
 
@@ -37,12 +37,12 @@ def canon(pdf):
     pdf = pdf[sorted(pdf.columns)]
 
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "~"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
         if isinstance(v, (int,)) or type(v).__name__.startswith("int"):
-            return str(int(v))
+            return repr(round(float(v), 6) + 0.0)
         if isinstance(v, float) or type(v).__name__.startswith("float"):
             return repr(round(float(v), 6) + 0.0)
         return str(v)
