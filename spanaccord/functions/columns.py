@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def canon_label(label: Column, devoiced: Column) -> Column:
@@ -13,7 +13,7 @@ def canon_label(label: Column, devoiced: Column) -> Column:
     return F.when(devoiced, F.upper(label)).otherwise(label)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

@@ -58,6 +58,11 @@ def max_before(expr) -> Spec:
     return Spec("max_before", _c(expr))
 
 
+def min_from(expr) -> Spec:
+    """Minimum over this row and the rows after."""
+    return Spec("min_from", _c(expr))
+
+
 def number() -> Spec:
     """1-based row number."""
     return Spec("running_sum", F.lit(1).cast("long"))
@@ -140,6 +145,7 @@ def scan(
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
     after = ordered.rowsBetween(1, Window.unboundedFollowing)
+    onward = ordered.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*keys, PIECE)
 
     across = Window.partitionBy(*keys).orderBy(PIECE)
@@ -186,6 +192,11 @@ def scan(
             carries.append(F.max(m).over(across_before).alias(c))
             local.append((f"_l_{name}", F.max(s.expr).over(before)))
             joins.append(F.greatest(f"_l_{name}", c).alias(name))
+        elif s.kind == "min_from":
+            summaries.append(F.min(s.expr).alias(m))
+            carries.append(F.min(m).over(across_after).alias(c))
+            local.append((f"_l_{name}", F.min(s.expr).over(onward)))
+            joins.append(F.least(f"_l_{name}", c).alias(name))
         elif s.kind == "total":
             summaries.append(F.sum(s.expr).alias(m))
             carries.append(F.sum(m).over(across_all).alias(c))
@@ -219,6 +230,7 @@ def _plain(df, keys, order, specs, keep_piece) -> DataFrame:
         "first_after": lambda e: F.first(e, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
         "running_sum": lambda e: F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "max_before": lambda e: F.max(e).over(before),
+        "min_from": lambda e: F.min(e).over(w.rowsBetween(0, Window.unboundedFollowing)),
         "total": lambda e: F.sum(e).over(Window.partitionBy(*(keys or [PIECE]))),
     }
     kept = [c for c in df.columns if c not in specs and (keep_piece or c != PIECE)]

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["reshape", "windows", "joins", "aggregates", "scoring"]
+FAMILIES = ["reshape", "windows", "joins", "aggregates", "scoring", "resample", "align", "text"]
 
 
 def load():

@@ -207,3 +207,41 @@ def phones(spark, sf) -> DataFrame:
         sym.alias("sym"), sym.isin("a", "i", "H").alias("is_vowel"),
         (e % 3 == 0).alias("start_uncertain"), (e % 4 == 0).alias("end_uncertain"),
     )
+
+
+def hangul_words(spark, sf) -> DataFrame:
+    """Hangul spellings made from the distinct words of the documents: two of three syllables."""
+    from spanaccord.functions.hashing import h32
+
+    w = words(spark, sf).select(F.lower("word").alias("word")).distinct()
+
+    def syllable(tag, n):
+        cp = F.lit(0xAC00) + h32(F.col("word"), tag) % n
+        return F.decode(F.unhex(F.lpad(F.hex(cp), 4, "0")), "UTF-16BE")
+
+    last = F.when(h32(F.col("word"), "d") % 4 == 0, "").otherwise(syllable("c", 11172))
+    alt = F.when(h32(F.col("word"), "e") % 3 == 0, syllable("f", 588)).otherwise(syllable("b", 11172))
+    return w.select(
+        "word", F.concat(syllable("a", 11172), syllable("b", 11172), last).alias("token"),
+        F.concat(syllable("a", 11172), alt, last).alias("other"), (h32(F.col("word"), "k") % 3).cast("int").alias("k"),
+    )
+
+
+IPA_LIST = "k ɡ k̚ kʰ t d t̚ tʰ p b p̚ s sʰ tɕ dʑ h m n ŋ ɾ ɭ i e ɐ o u ʌ ɨ j w k͈ ʎː".split()
+CHANGES = ["tensification", "aspiration", "nasalization_obstruent", "nasalization_liquid", "liquidization", "palatalization", "liaison"]
+
+
+def ipa_pairs(spark, sf) -> DataFrame:
+    """Citation and applied phone sequences made from the distinct words of the documents."""
+    from spanaccord.functions.hashing import h32
+
+    w = words(spark, sf).select(F.lower("word").alias("word")).distinct().where(F.col("word").rlike("^[a-z]{3,}$"))
+    table = F.array(*[F.lit(x) for x in IPA_LIST])
+    h = lambda tag: h32(F.col("word"), tag)
+    cit = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.get(table, (h32(F.col("word"), i) % len(IPA_LIST)).cast("int")))
+    spot = (h("p") % F.length("word")).cast("int")
+    san = F.transform("citation", lambda x, i: F.when(i == spot, F.get(table, (h("q") % len(IPA_LIST)).cast("int"))).otherwise(x))
+    d = w.withColumn("citation", cit).withColumn("applied", san)
+    d = d.withColumn("applied", F.when(h("d") % 5 == 0, F.slice("applied", F.lit(1), F.size("applied") - 1)).otherwise(F.col("applied")))
+    change = F.get(F.array(*[F.lit(c) for c in CHANGES]), (h("t") % len(CHANGES)).cast("int"))
+    return d.select("word", "citation", "applied", change.alias("change"), spot.alias("border"), (h("y") % 2).cast("int").alias("decided"))

@@ -70,3 +70,28 @@ mr AS (SELECT *, lag(sym) OVER w AS p, lag(is_vowel) OVER w AS pv,
   FROM ph WINDOW w AS (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id)),
 runs AS (SELECT *, sum(CASE WHEN coalesce((sym = 'H' AND pv) OR (p = 'Q' AND sym = 'SclS') OR (p = 'SclS' AND h = 'Q') OR (p = 'N' AND sym IN ('m','n','ny','my')) OR (devoiced AND is_vowel AND NOT pv), false) THEN 0 ELSE 1 END)
   OVER (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id)::BIGINT AS run FROM mr)"""
+
+
+def h32(expr):
+    return f"('0x' || substr(md5({expr}), 1, 8))::BIGINT"
+
+
+def _syl(tag, n):
+    return f"chr((44032 + {h32(chr(39).join(['word || ', '|' + tag, '']))} % {n})::INT)"
+
+
+HANGUL = f"""
+hw AS (SELECT word, {_syl('a', 11172)} || {_syl('b', 11172)} || CASE WHEN {h32("word || '|d'")} % 4 = 0 THEN '' ELSE {_syl('c', 11172)} END AS token,
+  {_syl('a', 11172)} || CASE WHEN {h32("word || '|e'")} % 3 = 0 THEN {_syl('f', 588)} ELSE {_syl('b', 11172)} END || CASE WHEN {h32("word || '|d'")} % 4 = 0 THEN '' ELSE {_syl('c', 11172)} END AS other,
+  {h32("word || '|k'")} % 3 AS k FROM (SELECT DISTINCT lower(word) AS word FROM words)),
+syl AS (SELECT word, i - 1 AS i, unicode(a) - 44032 AS a, CASE WHEN b <> '' THEN unicode(b) - 44032 END AS b, unicode(o) - 44032 AS o FROM (SELECT word, i, token[i] AS a, token[i + 1] AS b, other[i] AS o FROM (SELECT *, unnest(range(1, length(token) + 1)) AS i FROM hw)))"""
+
+from spanaccord.plans.bindings import CHANGES, IPA_LIST  # noqa: E402
+
+_ipa = "[" + ",".join(f"'{x}'" for x in IPA_LIST) + "]"
+_n = len(IPA_LIST)
+IPA = f"""
+ip0 AS (SELECT word, list_transform(range(0, length(word)), lambda i: {_ipa}[{h32("word || '|' || i")} % {_n} + 1]) AS citation, {h32("word || '|p'")} % length(word) AS border, {_ipa}[{h32("word || '|q'")} % {_n} + 1] AS q,
+  {h32("word || '|d'")} % 5 = 0 AS cutoff, [{','.join(f"'{c}'" for c in CHANGES)}][{h32("word || '|t'")} % {len(CHANGES)} + 1] AS change, {h32("word || '|y'")} % 2 AS decided
+  FROM (SELECT DISTINCT lower(word) AS word FROM words WHERE regexp_full_match(lower(word), '[a-z]{{3,}}'))),
+ip AS (SELECT *, CASE WHEN cutoff THEN full_[1:-2] ELSE full_ END AS applied FROM (SELECT *, citation[1:border] || [q] || citation[border + 2:] AS full_ FROM ip0))"""

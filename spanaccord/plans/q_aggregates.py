@@ -179,11 +179,11 @@ def g24(spark, sf):
     return G.run_mean_sd(r, ["process"], "acc")
 
 
-@query("g25_box_stats", """WITH q AS (SELECT process, quantile_cont(dev_word_ms, 0.25) AS q1, quantile_cont(dev_word_ms, 0.5) AS q2, quantile_cont(dev_word_ms, 0.75) AS q3 FROM dcs GROUP BY 1)
-  SELECT process, q1, q2, q3, min(dev_word_ms) FILTER (dev_word_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(dev_word_ms) FILTER (dev_word_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
-  count(*) FILTER (NOT dev_word_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_out FROM dcs JOIN q USING (process) GROUP BY 1, 2, 3, 4""", "q1 q2 q3 low high", [DEC])
+@query("g25_box_stats", """WITH q AS (SELECT process, quantile_cont(dev_site_ms, 0.25) AS q1, quantile_cont(dev_site_ms, 0.5) AS q2, quantile_cont(dev_site_ms, 0.75) AS q3 FROM dcs GROUP BY 1)
+  SELECT process, q1, q2, q3, min(dev_site_ms) FILTER (dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(dev_site_ms) FILTER (dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
+  count(*) FILTER (NOT dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_out FROM dcs JOIN q USING (process) WHERE dev_site_ms IS NOT NULL GROUP BY 1, 2, 3, 4""", "q1 q2 q3 low high", [DEC])
 def g25(spark, sf):
-    return G.box_stats(B.decisions(spark, sf), ["process"], F.col("dev_word_ms"))
+    return G.box_stats(B.decisions(spark, sf), ["process"], F.col("dev_site_ms"))
 
 
 CHARS = """cw AS (SELECT doc, pos, word, string_split(word, '') AS s FROM (SELECT DISTINCT 0 AS doc, 0 AS pos, lower(word) AS word FROM words WHERE word SIMILAR TO '[A-Za-z:]+'))"""

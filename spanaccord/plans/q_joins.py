@@ -34,7 +34,7 @@ def j03(spark, sf):
     return J.compatible(df, B.label_map(spark), "ref_label", "hyp_label").select("unit_id", "compatible")
 
 
-@query("j04_join_units", """SELECT a.event_id, a.error_type, r.merged_from, r.boundary_source_end, r.unit_id IS NOT NULL AS unit_found FROM aln a LEFT JOIN ref r ON r.unit_id = a.ref_unit_id AND r.event_id % 97 <> 0""", ctes=[UNITS, ALN])
+@query("j04_join_units", """SELECT a.event_id, a.error_type, r.merged_from, r.boundary_source_end, r.unit_id IS NOT NULL AS unit_found FROM aln a LEFT JOIN (SELECT * FROM ref WHERE event_id % 97 <> 0) r ON r.unit_id = a.ref_unit_id""", ctes=[UNITS, ALN])
 def j04(spark, sf):
     u = B.windowed_units(spark, sf)
     out = J.join_units(B.alignment(spark, sf, u), u.where("event_id % 97 <> 0"), ["merged_from", "boundary_source_end"])

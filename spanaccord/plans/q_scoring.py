@@ -48,15 +48,15 @@ def m03b(spark, sf):
     return M.class_metrics(M.confusion(d, ["source"]))
 
 
-LAB = """lab AS (SELECT *, (['i̥','ɯ','k i̥','s','i','t ɯ̥','a','ɕ'])[(event_id * 5 + event_id // 3) % 8 + 1] AS lab, (['i','ɯ̥','a k','t','s','ɨ̥ x','eː'])[(event_id * 3 + event_id // 2) % 7 + 1] AS hlab FROM aln)"""
+LAB = """lab AS (SELECT *, (['i̥','ɯ','k i̥','s','i','t ɯ̥','a','ɕ'])[(event_id * 5 + event_id // 4) % 8 + 1] AS lab, (['i','ɯ̥','a k','t','s','ɨ̥ x','eː'])[(event_id * 3 + event_id // 3) % 7 + 1] AS hlab FROM aln)"""
 
 
 def labelled(spark, sf):
     e = F.col("event_id")
     pick = lambda vals, i: F.element_at(F.array(*[F.lit(v) for v in vals]), (i + 1).cast("int"))
     return B.alignment(spark, sf).select(
-        "*", pick(["i̥", "ɯ", "k i̥", "s", "i", "t ɯ̥", "a", "ɕ"], (e * 5 + F.floor(e / 3)) % 8).alias("lab"),
-        pick(["i", "ɯ̥", "a k", "t", "s", "ɨ̥ x", "eː"], (e * 3 + F.floor(e / 2)) % 7).alias("hlab"),
+        "*", pick(["i̥", "ɯ", "k i̥", "s", "i", "t ɯ̥", "a", "ɕ"], (e * 5 + F.floor(e / 4)) % 8).alias("lab"),
+        pick(["i", "ɯ̥", "a k", "t", "s", "ɨ̥ x", "eː"], (e * 3 + F.floor(e / 3)) % 7).alias("hlab"),
     )
 
 
@@ -209,12 +209,12 @@ def r07(spark, sf):
     return R.median_diff(B.decisions(spark, sf), ["process"], "dev_site_ms", "correct")
 
 
-@query("r08_quantile_modes", """WITH s AS (SELECT speaker, list_sort(list(dev_word_ms)) AS v, count(*) AS n, quantile_cont(dev_word_ms, 0.025) AS low, quantile_cont(dev_word_ms, 0.975) AS high FROM dcs GROUP BY 1)
+@query("r08_quantile_modes", """WITH s AS (SELECT speaker, list_sort(list(dev_site_ms)) AS v, count(*) AS n, quantile_cont(dev_site_ms, 0.025) AS low, quantile_cont(dev_site_ms, 0.975) AS high FROM dcs WHERE dev_site_ms IS NOT NULL GROUP BY 1)
   SELECT speaker, low, high, v[least(floor(0.025::DOUBLE * n)::INT, n - 1) + 1] AS low_i, v[least(floor(0.975::DOUBLE * n)::INT, n - 1) + 1] AS high_i, v[floor(0.025::DOUBLE * (n - 1))::INT + 1] AS low_j, v[floor(0.975::DOUBLE * (n - 1))::INT + 1] AS high_j FROM s""", "low high low_i high_i low_j high_j", [DEC])
 def r08(spark, sf):
     d = B.decisions(spark, sf)
     out = None
     for tag, mode in (("", "linear"), ("_i", "index"), ("_j", "index1")):
-        q = Q.quantiles(d, ["speaker"], "dev_word_ms", {f"low{tag}": 0.025, f"high{tag}": 0.975}, mode)
+        q = Q.quantiles(d, ["speaker"], "dev_site_ms", {f"low{tag}": 0.025, f"high{tag}": 0.975}, mode)
         out = q if out is None else out.join(q, "speaker")
     return out
