@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["reshape", "windows", "joins", "aggregates", "scoring", "resample", "align", "text", "models"]
+FAMILIES = ["reshape", "windows", "joins", "aggregates", "scoring", "resample", "align", "text", "models", "sources"]
 
 
 def load():

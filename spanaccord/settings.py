@@ -32,3 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanaccord-ckpt-"))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of one run, in the shared checkpoint folder where there is one."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanaccord-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
