@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord.operators.groups import join_groups
 from spanaccord.operators.intervals import assign_windows, build_windows
-from spanaccord.operators.scan import first_after, lag, max_before, min_from, running_sum, scan, total
+from spanaccord.operators.scan import first_after, is_split, lag, max_before, min_from, no_piece, running_sum, scan, total
 
 # fixed values: scores of the alignment and the farthest allowed pair in seconds
 MATCH, MISMATCH, GAP, FAR_S, MAX_SPAN = 2, -1, -2, 0.15, 3
 DEFAULT = {"config": "default", "match": MATCH, "mismatch": MISMATCH, "gap": GAP, "far": FAR_S}
 
-_STEP = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "rhk"]))
+_STEP = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "rhkc"]))
 _STEPS = T.StructType([
     T.StructField("a", _STEP), T.StructField("b", _STEP), T.StructField("oa", T.IntegerType()), T.StructField("ob", T.IntegerType()),
 ])
@@ -70,6 +70,10 @@ def _tables(r0, r1, ok, parts, h0, h1, lab, match, mismatch, gap, far):
     return s, one, many
 
 
+#: kinds of a step: addition before all units of a piece, omission made while additions are open, other
+_LEAD, _OPEN, _BODY = 0, 1, 2
+
+
 def _walk(s, one, many, match, gap, pending):
     """Steps from the end; ``pending`` means additions of a later piece are still open."""
     i, j = s.shape[0] - 1, s.shape[1] - 1
@@ -77,9 +81,8 @@ def _walk(s, one, many, match, gap, pending):
     if pending:
         while i > 0 and s[i, j] == s[i - 1, j] + gap:
             i -= 1
-            out.append((i, -1, 0))
-        if i == 0:
-            return out + [(-1, q, 1) for q in range(j - 1, -1, -1)], 1
+            out.append((i, -1, 0, _OPEN))
+    closed = i > 0
     while i > 0:
         took = None
         if j > 0:
@@ -90,15 +93,16 @@ def _walk(s, one, many, match, gap, pending):
             if took is None and one[i - 1, j - 1] > _LOW and s[i, j] == s[i - 1, j - 1] + one[i - 1, j - 1]:
                 took = (i - 1, j - 1, 1)
         if took is not None:
-            out.append(took)
+            out.append((*took, _BODY))
             i, j = took[0], took[1]
         elif s[i, j] == s[i - 1, j] + gap:
             i -= 1
-            out.append((i, -1, 0))
+            out.append((i, -1, 0, _BODY))
         else:
             j -= 1
-            out.append((-1, j, 1))
-    return out + [(-1, q, 1) for q in range(j - 1, -1, -1)], int(j > 0)
+            out.append((-1, j, 1, _BODY))
+    left_open = j > 0 or (pending and not closed)
+    return out + [(-1, q, 1, _LEAD) for q in range(j - 1, -1, -1)], int(left_open)
 
 
 @F.pandas_udf(_STEPS)
@@ -110,8 +114,8 @@ def _solve(r0: pd.Series, r1: pd.Series, ok: pd.Series, parts: pd.Series, h0: pd
         s, one, many = _tables(arr(a0), arr(a1), o, p, arr(b0), arr(b1), l, ma, mi, ga, fa)
         sa, oa = _walk(s, one, many, ma, ga, False)
         sb, ob = _walk(s, one, many, ma, ga, True)
-        d = lambda x: [{"r": r, "h": h, "k": k} for r, h, k in x[::-1]]
-        rows.append((d(sa), None if sb == sa else d(sb), oa, ob))
+        d = lambda x: [{"r": r, "h": h, "k": k, "c": c} for r, h, k, c in x[::-1]]
+        rows.append((d(sa), d(sb), oa, ob))
     return pd.DataFrame(rows, columns=["a", "b", "oa", "ob"])
 
 
@@ -145,11 +149,12 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
 
     key = ["config", "file_id", "ipu_id"]
     order = ["t_start", "is_ref", "unit_id"]
-    s = scan(both, key, order, {"_prev": lag("t_start"), "_end": max_before("t_end"), "_next_end": min_from("t_end")}, keep_piece=True)
+    s = scan(both, key, order, {"_prev": lag("t_start"), "_end": max_before("t_end"), "_next_end": min_from("t_end")}, keep_piece=True, recheck=True)
     apart = F.coalesce((F.col("t_start") - F.col("_prev") > F.col("far")) & (F.col("_next_end") - F.col("_end") > F.col("far")), F.lit(True))
-    s = scan(s.withColumn("_cut", apart.cast("long")), key, order, {"_part": running_sum("_cut")})
+    s = scan(s.withColumn("_cut", apart.cast("long")), key, order, {"_part": running_sum("_cut")}, keep_piece=True)
 
-    s = join_groups(s, label_compat(both.where("is_ref"), label_map), ["label"], "left")
+    split = is_split(s)
+    s = join_groups(s.drop("_piece"), label_compat(both.where("is_ref"), label_map), ["label"], "left")
     item = F.struct(
         "t_start", "unit_id", "t_end", "label", "phone_class",
         F.when(F.col("is_ref"), F.col("ok")).alias("ok"), F.when(F.col("is_ref"), F.col("parts")).alias("parts"),
@@ -163,22 +168,29 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
     # which of the two solutions holds: the open additions of the next piece
     oa, ob = F.col("_s.oa"), F.col("_s.ob")
     turn = ((oa == 1) & (ob == 0)).cast("long")
+    if not split:
+        g = g.select("*", no_piece())        # no hot window among the units, so none among the pieces
     c = scan(g.withColumn("_turn", turn), key, ["_part"], {"_t": running_sum("_turn"), "_all": total("_turn")}, keep_piece=True)
     known = F.when(oa == ob, F.struct(oa.alias("o"), F.col("_t").alias("t")))
-    c = scan(c, key, ["_part"], {"_k": first_after(known)})
+    c = scan(c, key, ["_part"], {"_k": first_after(known)}, keep_piece=True)
     open_ = (F.coalesce("_k.o", F.lit(0)) + F.coalesce("_k.t", "_all") - F.col("_t")) % 2
-    steps = F.when((open_ == 1) & F.col("_s.b").isNotNull(), F.col("_s.b")).otherwise(F.col("_s.a"))
-    e = c.select(*key, "_part", "R", "H", F.posexplode(steps).alias("step", "x"))
+    c = c.withColumn("_steps", F.when(open_ == 1, F.col("_s.b")).otherwise(F.col("_s.a")))
+    # open omissions come after the additions they were made over: in the next piece that has anything else
+    through = (open_ == 1) & ~F.exists("_steps", lambda x: x["c"] == _BODY)
+    c = scan(c.withColumn("_through", through), key, ["_part"], {"_to": first_after(F.when(~F.col("_through"), F.col("_part")))})
+    e = c.select(*key, "_part", "_to", "_through", "R", "H", F.posexplode("_steps").alias("step", "x"))
+    moved = (F.col("x.c") == _OPEN) | ((F.col("x.c") == _LEAD) & F.col("_through"))
+    place = F.struct(F.when(moved, F.col("_to")).otherwise(F.col("_part")).alias("part"), F.col("x.c").alias("kind"), F.col("_part").alias("own"), F.col("step").alias("step"))
     r = F.get("R", F.col("x.r"))
     hs = F.when(F.col("x.k") > 0, F.slice("H", F.col("x.h") + 1, F.col("x.k"))).otherwise(F.expr("slice(H, 1, 0)"))
-    e = e.select(*key, "_part", "step", F.when(F.col("x.r") >= 0, r).alias("r"), hs.alias("hs"))
+    e = e.select(*key, place.alias("position"), F.when(F.col("x.r") >= 0, r).alias("r"), hs.alias("hs"))
     first, last = F.get("hs", F.lit(0)), F.element_at("hs", -1)
     has = F.size("hs") > 0
     ms = lambda a, b: F.when(F.col("r").isNotNull() & has, (a - b) * 1000.0)
     labels = F.transform("hs", lambda x: x["label"])
     return classify_pairs(
         e.select(
-            *key, (F.col("_part") * F.lit(1000000) + F.col("step")).alias("position"),
+            *key, "position",
             F.col("r.unit_id").alias("ref_unit_id"), F.transform("hs", lambda x: x["unit_id"]).alias("hyp_unit_ids"),
             F.col("r.label").alias("ref_label_source"), labels.alias("hyp_labels"),
             F.coalesce("r.phone_class", F.when(has, first["phone_class"])).alias("phone_class"),

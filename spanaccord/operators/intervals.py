@@ -89,7 +89,7 @@ def nearest_boundary(ref: DataFrame, other: DataFrame, keys: list[str], t: str =
     a = ref.select(*keys, id_col, t, F.lit(1).alias("_ref"))
     b = other.select(*keys, F.lit(None).cast(a.schema[id_col].dataType).alias(id_col), t, F.lit(0).alias("_ref"))
     mark = F.when(F.col("_ref") == 0, F.col(t))
-    s = scan(a.unionByName(b), keys, [t, "_ref"], {"_b": last_before(mark), "_a": first_after(mark)})
+    s = scan(a.unionByName(b), keys, [t, "_ref"], {"_b": last_before(mark), "_a": first_after(mark)}, recheck=True)
     return s.where("_ref = 1").select(*keys, id_col, t, F.least(F.col(t) - F.col("_b"), F.col("_a") - F.col(t)).alias("nearest"))
 
 

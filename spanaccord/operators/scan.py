@@ -8,7 +8,10 @@ row per piece; their number is bounded by ``settings.MAX_PARTS`` (times a small
 factor), so that table is safe to broadcast whatever the input size.
 
 Ordinary keys stay in piece 0 and take the plain window.  One count per key is
-run first; where it finds no hot key the plan is the plain window alone.
+run first; where it finds no hot key the plan is the plain window alone, and the
+key columns remember that (column metadata), so a later scan by the same or
+finer keys does not count again.  Where hot keys exist, the rows are read
+several times and are therefore checkpointed once per scan.
 """
 
 from __future__ import annotations
@@ -77,20 +80,25 @@ def _c(expr) -> Column:
     return F.col(expr) if isinstance(expr, str) else expr
 
 
-def with_pieces(df: DataFrame, keys: list[str], split_on: Column | str) -> DataFrame:
+def with_pieces(df: DataFrame, keys: list[str], split_on: Column | str, recheck: bool = False) -> DataFrame:
     """Add ``_piece``: 0 for ordinary keys, 1..k in order of ``split_on`` for hot ones.
 
     A key is hot when it holds more than one share of the table
-    (``rows / parts``) and more than ``spanaccord.hotRows`` rows.  Rows with
-    equal ``split_on`` always share a piece.
+    (``rows / parts``) and more than ``spark.spanaccord.hotRows`` rows.  Rows with
+    equal ``split_on`` always share a piece.  ``recheck`` counts even where an
+    earlier scan found no hot key (after a union or a join that adds rows).
     """
+    if not recheck and _known_cool(df, keys):
+        return df.select("*", no_piece())
     spark = df.sparkSession
     parts, floor = settings.parts(spark), settings.hot_rows(spark)
     split_on = _c(split_on)
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     seen = sized.agg(F.max("_n").alias("top"), F.sum("_n").alias("rows")).first()
     if seen.top is None or seen.top <= max(floor, seen.rows / parts):
-        return df.select("*", F.lit(0).alias(PIECE, metadata={"split": False}))
+        return df.select("*", no_piece())
+    df = settings.cut(df)
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     share = sized.agg(F.greatest(F.sum("_n") / F.lit(float(parts)), F.lit(float(floor)))).scalar()
     hot = sized.withColumn("_share", share).where("_n > _share")
     marks = [i / parts for i in range(1, parts)]
@@ -129,6 +137,7 @@ def scan(
     specs: dict[str, Spec],
     split_on: Column | str | None = None,
     keep_piece: bool = False,
+    recheck: bool = False,
 ) -> DataFrame:
     """Add one column per spec, computed along ``order`` inside ``keys``.
 
@@ -137,9 +146,10 @@ def scan(
     """
     order = [_c(o) for o in order]
     if PIECE not in df.columns:
-        df = with_pieces(df, keys, order[0] if split_on is None else split_on)
-    if not _split(df):
+        df = with_pieces(df, keys, order[0] if split_on is None else split_on, recheck)
+    if not is_split(df):
         return _plain(df, keys, order, specs, keep_piece)
+    df = settings.cut(df)
     place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     ordered = Window.partitionBy(*keys, PIECE).orderBy(*order)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -214,8 +224,19 @@ def scan(
     return joined.select(*kept, *joins)
 
 
-def _split(df: DataFrame) -> bool:
-    """False when ``with_pieces`` found no hot key and set a constant piece."""
+def _known_cool(df: DataFrame, keys: list[str]) -> bool:
+    """Did an earlier scan find no hot key for a part of these keys."""
+    have = set(keys)
+    return any(set(c.split(",")) <= have for k in keys if k in df.columns for c in df.schema[k].metadata.get("cool", []))
+
+
+def no_piece() -> Column:
+    """The piece column of a table known to have no hot key."""
+    return F.lit(0).alias(PIECE, metadata={"split": False})
+
+
+def is_split(df: DataFrame) -> bool:
+    """False when no hot key was found and the piece is a constant."""
     return df.schema[PIECE].metadata.get("split", True)
 
 
@@ -234,4 +255,8 @@ def _plain(df, keys, order, specs, keep_piece) -> DataFrame:
         "total": lambda e: F.sum(e).over(Window.partitionBy(*(keys or [PIECE]))),
     }
     kept = [c for c in df.columns if c not in specs and (keep_piece or c != PIECE)]
+    if keys and keys[0] in kept:
+        meta = dict(df.schema[keys[0]].metadata)
+        meta["cool"] = sorted({*meta.get("cool", []), ",".join(keys)})
+        kept[kept.index(keys[0])] = F.col(keys[0]).alias(keys[0], metadata=meta)
     return df.select(*kept, *[made[s.kind](s.expr).alias(n) for n, s in specs.items()])

@@ -13,7 +13,7 @@ MAX_PARTS = 4096
 
 
 def hot_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("spanaccord.hotRows", str(HOT_ROWS_DEFAULT)))
+    return int(spark.conf.get("spark.spanaccord.hotRows", str(HOT_ROWS_DEFAULT)))
 
 
 def parts(spark: SparkSession) -> int:

@@ -80,7 +80,7 @@ if __name__ == "__main__":
 
     sf = "/root/testdata/sf0.01"
     args = [a for a in sys.argv[1:] if not a.startswith("-")]
-    spark = session(**({"spanaccord__hotRows": "50"} if "--hot" in sys.argv else {}))
+    spark = session(**({"spark__spanaccord__hotRows": "50"} if "--hot" in sys.argv else {}))
     con = duck(sf)
     qs, sqls = e.queries(), e.oracle_sql()
     bad = []
