@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord.operators.groups import join_groups
 from spanaccord.operators.intervals import assign_windows, build_windows
-from spanaccord.operators.scan import first_after, is_split, lag, max_before, min_from, no_piece, running_sum, scan, total
+from spanaccord.operators.scan import first_after, is_split, known_cool, lag, max_before, min_from, no_piece, running_sum, scan, total
 
 # fixed values: scores of the alignment and the farthest allowed pair in seconds
 MATCH, MISMATCH, GAP, FAR_S, MAX_SPAN = 2, -1, -2, 0.15, 3
@@ -135,6 +135,8 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
     ``hyp``: file_id, unit_id, t_start, t_end, label, phone_class.
     Files without units on one of the sides are left out.
     """
+    cool = known_cool(ref, ["file_id", "ipu_id"]) and known_cool(hyp, ["file_id"])
+    labels = ref.select(F.col("label_source").alias("label"))
     ref = ref.withColumn("ipu_id", F.coalesce("ipu_id", F.lit("_nofile")))
     ref = ref.join(hyp.select("file_id").distinct(), "file_id", "left_semi")
     windows = build_windows(ref)
@@ -149,19 +151,17 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
 
     key = ["config", "file_id", "ipu_id"]
     order = ["t_start", "is_ref", "unit_id"]
-    s = scan(both, key, order, {"_prev": lag("t_start"), "_end": max_before("t_end"), "_next_end": min_from("t_end")}, keep_piece=True, recheck=True)
+    s = scan(both, key, order, {"_prev": lag("t_start"), "_end": max_before("t_end"), "_next_end": min_from("t_end")}, keep_piece=True, recheck=not cool)
     apart = F.coalesce((F.col("t_start") - F.col("_prev") > F.col("far")) & (F.col("_next_end") - F.col("_end") > F.col("far")), F.lit(True))
     s = scan(s.withColumn("_cut", apart.cast("long")), key, order, {"_part": running_sum("_cut")}, keep_piece=True)
 
     split = is_split(s)
-    s = join_groups(s.drop("_piece"), label_compat(both.where("is_ref"), label_map), ["label"], "left")
+    s = join_groups(s.drop("_piece"), label_compat(labels, label_map), ["label"], "left")
     item = F.struct(
         "t_start", "unit_id", "t_end", "label", "phone_class",
         F.when(F.col("is_ref"), F.col("ok")).alias("ok"), F.when(F.col("is_ref"), F.col("parts")).alias("parts"),
     )
-    side = lambda c: F.array_sort(F.collect_list(F.when(c, item)), lambda x, y: (
-        F.when(F.struct(x["t_start"], x["unit_id"]) < F.struct(y["t_start"], y["unit_id"]), -1)
-        .when(F.struct(x["t_start"], x["unit_id"]) > F.struct(y["t_start"], y["unit_id"]), 1).otherwise(0)))
+    side = lambda c: F.array_sort(F.collect_list(F.when(c, item)))  # noqa: E731  (by start, then id)
     g = s.groupBy(*key, "_part", "match", "mismatch", "gap", "far").agg(side(F.col("is_ref")).alias("R"), side(~F.col("is_ref")).alias("H"))
     g = g.withColumn("_s", _solve("R.t_start", "R.t_end", "R.ok", "R.parts", "H.t_start", "H.t_end", "H.label", "match", "mismatch", "gap", "far"))
 

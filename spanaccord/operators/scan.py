@@ -88,7 +88,7 @@ def with_pieces(df: DataFrame, keys: list[str], split_on: Column | str, recheck:
     equal ``split_on`` always share a piece.  ``recheck`` counts even where an
     earlier scan found no hot key (after a union or a join that adds rows).
     """
-    if not recheck and _known_cool(df, keys):
+    if not recheck and known_cool(df, keys):
         return df.select("*", no_piece())
     spark = df.sparkSession
     parts, floor = settings.parts(spark), settings.hot_rows(spark)
@@ -224,7 +224,7 @@ def scan(
     return joined.select(*kept, *joins)
 
 
-def _known_cool(df: DataFrame, keys: list[str]) -> bool:
+def known_cool(df: DataFrame, keys: list[str]) -> bool:
     """Did an earlier scan find no hot key for a part of these keys."""
     have = set(keys)
     return any(set(c.split(",")) <= have for k in keys if k in df.columns for c in df.schema[k].metadata.get("cool", []))
