@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from spanaccord import settings
 from spanaccord.operators import align as A, audit as Q, reshape as P, tokens as TK
 from spanaccord.operators.scan import number, scan
 from spanaccord.plans import bindings as B
@@ -14,7 +15,7 @@ GRID = [dict(A.DEFAULT, config=f"far={f}", far=f) for f in (0.05, 0.15, 0.3)]
 
 def sides(spark, sf, squeeze=None):
     """Evaluable reference and hypothesis units; ``squeeze`` makes the time axis dense."""
-    u = B.windowed_units(spark, sf)
+    u = settings.cut(B.windowed_units(spark, sf))       # read several times below
     r = P.evaluable(u)
     if squeeze:
         u = u.withColumn("t_start", F.col("t_start") / squeeze).withColumn("t_end", F.col("t_end") / squeeze)
