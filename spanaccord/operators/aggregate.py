@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from spanaccord.operators.groups import join_groups
+from spanaccord.operators.groups import beside, join_groups
 from spanaccord.operators.quantile import medians, quantiles
 from spanaccord.operators.reshape import TOLERANCES_MS, evaluable_cond, first_reason, within
 
@@ -174,7 +174,7 @@ def per_word_accuracy(df: DataFrame, word: str, correct: str, label: str, min_n:
         div(F.sum(F.col("majority") * F.col("n")), F.sum("n")).alias("weighted_majority"),
         F.avg((F.col("acc") < F.col("majority")).cast("int")).alias("share_below"),
     )
-    return a.join(q)
+    return beside(a, q)
 
 
 def word_rates(tokens: DataFrame, words: DataFrame, word: str, env: str, event: str, min_n: int = 5) -> DataFrame:

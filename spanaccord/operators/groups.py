@@ -17,3 +17,8 @@ def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "i
     """
     small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     return df.join(F.broadcast(groups) if small else groups, keys, how)
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row, as scalar subqueries."""
+    return df.select("*", *[one.select(c).scalar().alias(c) for c in one.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord import settings
 from spanaccord.operators.aggregate import div
-from spanaccord.operators.groups import join_groups
+from spanaccord.operators.groups import beside, join_groups
 from spanaccord.operators.rank import mean_cluster_auc
 from spanaccord.operators.resample import boot_mean, boot_summary, cross_products, product_columns
 
@@ -161,8 +161,8 @@ def welch(runs: DataFrame, group: str, value: str, a: str, b: str, by: list[str]
 def variance_components(df: DataFrame, outer: str, inner: str, value: Column) -> DataFrame:
     """Variance between outer groups, between inner groups within them, and within.
 
-    Moment estimates of a nested layout with unequal sizes.  The reference fits
-    these by restricted likelihood; with balanced data both agree.
+    Moment estimates of a nested layout with unequal sizes.  With balanced data they
+    agree with restricted likelihood.
     """
     cell = df.where(value.isNotNull()).groupBy(outer, inner).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
     grp = cell.groupBy(outer).agg(
@@ -249,7 +249,7 @@ def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int]
     both = settings.cut(per[0].join(per[1], cluster).withColumn("gain", F.col("auc1") - F.col("auc0")))
     ci = boot_summary(boot_mean(both, cluster, "gain", reps, seed), [], "value")
     point = both.agg(F.avg("auc0").alias("auc0"), F.avg("auc1").alias("auc1"), F.avg("gain").alias("gain"), F.count("gain").alias("n_clusters"))
-    return point.join(ci).withColumn("small_increment", F.col("gain") < 0.02)
+    return beside(point, ci).withColumn("small_increment", F.col("gain") < 0.02)
 
 
 def cv_report(pred: DataFrame, cluster: str, label: str, strata: list[str]) -> DataFrame:
@@ -258,4 +258,4 @@ def cv_report(pred: DataFrame, cluster: str, label: str, strata: list[str]) -> D
 
     a = auc(pred, [], "p", label).select(F.col("auc").alias("pooled_auc"))
     s = stratified_auc(pred, strata, "p", label).select(F.col("auc").alias("stratified_auc"))
-    return a.join(s).join(mean_cluster_auc(pred, cluster, "p", label).select("mean_auc", "n_used"))
+    return beside(beside(a, s), mean_cluster_auc(pred, cluster, "p", label).select("mean_auc", "n_used"))

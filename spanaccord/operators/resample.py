@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from spanaccord.functions.hashing import h32, hex_hash
 from spanaccord.operators.aggregate import div
+from spanaccord.operators.groups import beside
 from spanaccord.operators.quantile import quantiles
 from spanaccord.operators.rank import auc, weighted_median_diff
 from spanaccord.operators.scan import number, scan, total
@@ -69,7 +70,7 @@ def boot_summary(reps: DataFrame, by: list[str], value: str, mode: str = "linear
     """Interval, standard error and number of valid replicates."""
     a = reps.groupBy(*by).agg(F.count(value).alias("n_valid"), F.stddev_samp(value).alias("se"))
     q = quantiles(reps, by, value, {"low": 0.025, "high": 0.975}, mode)
-    return a.join(q, by, "left") if by else a.join(q)
+    return a.join(q, by, "left") if by else beside(a, q)
 
 
 def boot_ratio(stats: DataFrame, key: str, by: list[str], num: str, den: str, reps: int, seed: str = "1") -> DataFrame:
@@ -160,5 +161,5 @@ def interval_report(points: DataFrame, reps: DataFrame, by: list[str], values: l
     for v in values:
         s = boot_summary(reps, by, v)
         pt = points.select(*by, F.lit(v).alias("quantity"), F.col(v).alias("estimate"))
-        frames.append(pt.join(s, by, "left") if by else pt.join(s))
+        frames.append(pt.join(s, by, "left") if by else beside(pt, s))
     return reduce(DataFrame.unionByName, frames)

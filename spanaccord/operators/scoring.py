@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanaccord.operators.aggregate import div
+from spanaccord.operators.groups import beside
 from spanaccord.operators.joins import compare_runs
 
 CELLS = ["tp", "fn", "fp", "tn"]
@@ -168,7 +169,7 @@ def direction_by_cluster(df: DataFrame, cluster: str, by: list[str] | None = Non
         F.count_if(F.col("d") < 0).alias("more_false_hits"), F.count_if(F.col("d") == 0).alias("equal"),
     )
     m = medians(c, by, "d", "median_diff")
-    return a.join(m, by) if by else a.join(m)
+    return a.join(m, by) if by else beside(a, m)
 
 
 def verdict(report: DataFrame) -> DataFrame:
@@ -184,7 +185,7 @@ def system_deltas(metrics: DataFrame, system: str, base: str, by: list[str] | No
     cols = ["agree", "ba", "sens", "spec", "mcc"]
     b = metrics.where(F.col(system) == base).select(*by, *[F.col(c).alias(f"_{c}") for c in cols])
     o = metrics.where(F.col(system) != base)
-    j = o.join(b, by) if by else o.join(F.broadcast(b))
+    j = o.join(b, by) if by else beside(o, b)
     d = {c: F.col(c) - F.col(f"_{c}") for c in cols}
     return j.select(*by, system, *[v.alias(f"delta_{c}") for c, v in d.items()], (d["agree"] - d["ba"]).alias("delta_agree_minus_ba"))
 
