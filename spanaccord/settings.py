@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,22 +22,25 @@ def parts(spark: SparkSession) -> int:
     return max(8, min(MAX_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, if it names one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
     where nothing is set (tests on one machine) a fresh folder is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanaccord-ckpt-"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="spanaccord-ckpt-"))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files of one run, in the shared checkpoint folder where there is one."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanaccord-")
+    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="spanaccord-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
