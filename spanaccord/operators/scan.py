@@ -93,41 +93,41 @@ def with_pieces(df: DataFrame, keys: list[str], split_on: Column | str, recheck:
     spark = df.sparkSession
     parts, floor = settings.parts(spark), settings.hot_rows(spark)
     split_on = _c(split_on)
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    seen = sized.agg(F.max("_n").alias("top"), F.sum("_n").alias("rows")).first()
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n"))
+    seen = sized.agg(F.max("_hot_n").alias("top"), F.sum("_hot_n").alias("rows")).first()
     if seen.top is None or seen.top <= max(floor, seen.rows / parts):
         return df.select("*", no_piece())
     df = settings.cut(df)
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share = sized.agg(F.greatest(F.sum("_n") / F.lit(float(parts)), F.lit(float(floor)))).scalar()
-    hot = sized.withColumn("_share", share).where("_n > _share")
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n"))
+    share = sized.agg(F.greatest(F.sum("_hot_n") / F.lit(float(parts)), F.lit(float(floor)))).scalar()
+    hot = sized.withColumn("_hot_share", share).where("_hot_n > _hot_share")
     marks = [i / parts for i in range(1, parts)]
     if keys:
         rows = df.join(F.broadcast(hot), keys)          # fewer than `parts` hot keys exist
     else:
-        rows = df.withColumn("_n", sized.scalar()).withColumn("_share", share).where("_n > _share")
+        rows = df.withColumn("_hot_n", sized.scalar()).withColumn("_hot_share", share).where("_hot_n > _hot_share")
     cuts = (
         rows.groupBy(*keys)
         .agg(
-            F.percentile_approx(split_on.cast("double"), marks, 10 * parts).alias("_q"),
-            F.ceil(F.max(F.col("_n") / F.col("_share"))).alias("_k"),
+            F.percentile_approx(split_on.cast("double"), marks, 10 * parts).alias("_hot_q"),
+            F.ceil(F.max(F.col("_hot_n") / F.col("_hot_share"))).alias("_hot_k"),
         )
         # keep about k of the marks: all hot keys together keep at most 2 * parts of them
         .withColumn(
-            "_cuts",
-            F.expr(f"filter(_q, (x, i) -> floor((i + 1) * _k / {parts}) > floor(i * _k / {parts}))"),
+            "_hot_cuts",
+            F.expr(f"filter(_hot_q, (x, i) -> floor((i + 1) * _hot_k / {parts}) > floor(i * _hot_k / {parts}))"),
         )
-        .select(*keys, "_cuts")
+        .select(*keys, "_hot_cuts")
     )
     at = split_on.cast("double")
     if keys:
         out = df.join(F.broadcast(cuts), keys, "left")
     else:
-        out = df.withColumn("_cuts", cuts.select("_cuts").scalar())
-    piece = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_cuts", lambda c: c < at)) + 1
+        out = df.withColumn("_hot_cuts", cuts.select("_hot_cuts").scalar())
+    piece = F.when(F.col("_hot_cuts").isNull(), F.lit(0)).otherwise(
+        F.size(F.filter("_hot_cuts", lambda c: c < at)) + 1
     )
-    return out.withColumn(PIECE, piece.cast("int")).drop("_cuts")
+    return out.withColumn(PIECE, piece.cast("int")).drop("_hot_cuts")
 
 
 def scan(

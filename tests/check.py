@@ -78,7 +78,7 @@ def compare(spark, con, fn, sql, sf):
 if __name__ == "__main__":
     import __spark_entry__ as e
 
-    sf = "/root/testdata/sf0.01"
+    sf = next((a[5:] for a in sys.argv if a.startswith("--sf=")), "/root/testdata/sf0.01")
     args = [a for a in sys.argv[1:] if not a.startswith("-")]
     spark = session(**({"spark__spanaccord__hotRows": "50"} if "--hot" in sys.argv else {}))
     con = duck(sf)
