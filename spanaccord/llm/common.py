@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spanaccord.settings import cut
 
-__all__ = ["bounded_sample", "components", "cut", "map_rows", "table", "text_of"]
+__all__ = ["bounded_sample", "components", "cut", "likely", "map_rows", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,3 +82,20 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     # the grouped star: every edge is (node, root)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+#: bits of the filter that ``likely`` broadcasts: 131,072 words, whatever the number of keys
+FILTER_BITS = 23
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``wanted`` (one column, also called ``key``); none that is goes missing.
+
+    The wanted keys set bits of a table of fixed size, which every task gets.  With many more keys than bits
+    all rows pass; an exact join has to follow.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    words = wanted.select(F.shiftright(at, 6).alias("_part"), bit.alias("_bit")).groupBy("_part").agg(F.bit_or("_bit").alias("_word"))
+    met = df.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_part")).where(F.getbit("_word", (at % 64).cast("int")) == 1)
+    return met.drop("_part", "_word")

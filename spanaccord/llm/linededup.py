@@ -4,40 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanaccord.llm.common import components, cut, text_of
+from spanaccord.llm.common import components, cut, likely, text_of
 
 #: arrays that the indexed lines of one segment are dealt to
-SALTS = 64
+SALTS = 8
+#: characters after which a comparison looks whether its bands are empty
+RUN = 24
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of ``parts``; the last segments take what division leaves."""
-    base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    start = base * i + F.greatest(F.lit(0), F.lit(i - parts) + more)
-    return start, base + (F.lit(i) >= F.lit(parts) - more).cast("int")
-
-
-def segment_keys(line: Column, budget: int) -> Column:
-    """array<struct<key, indexed>>: segments of the line and the substrings that may equal a segment of another.
+def segment_keys(lines: DataFrame, budget: int) -> DataFrame:
+    """(key, i, indexed) of lines (i, line, n): segments of each line and the substrings that may equal a segment of another.
 
     The line is looked up as the longer of a pair, in the lines shorter by 0 to ``budget`` characters.  The
     positions are those at which both the part before and the part after can stay within the budget.
     """
-    n, parts, out = F.length(line), budget + 1, []
-    for shorter in range(budget + 1):
-        m = n - shorter
-        for i in range(parts):
-            start, size = _segment(m, i, parts)
-            for shift in range(max(-i, shorter - (budget - i)), min(i, shorter + (budget - i)) + 1):
-                at = start + shift
-                key = F.xxhash64(F.lit(i), m, F.substring(line, at + 1, size))
-                ok = (at >= 0) & (at + size <= n)
-                out.append(F.struct(F.when(ok, key).alias("key"), F.lit(int(shorter == 0 and shift == 0)).alias("indexed")))
-    return F.filter(F.array(*out), lambda x: x["key"].isNotNull())
+    parts = budget + 1
+    places = [(d, k, shift) for d in range(budget + 1) for k in range(parts) for shift in range(max(-k, d - (budget - k)), min(k, d + (budget - k)) + 1)]
+    rows = lines.select("i", "line", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("s")) for d, k, s in places])).alias("p"))
+    rows = rows.select("i", "line", "n", "p.k", "p.s", (F.col("n") - F.col("p.d")).alias("m"), ((F.col("p.d") == 0) & (F.col("p.s") == 0)).cast("int").alias("indexed"))
+    base, more = F.floor(F.col("m") / parts).cast("int"), F.col("m") % parts
+    at = base * F.col("k") + F.greatest(F.lit(0), F.col("k") - parts + more) + F.col("s")
+    rows = rows.select("i", "line", "n", "k", "m", "indexed", at.alias("at"), (base + (F.col("k") >= parts - more).cast("int")).alias("size"))
+    key = F.shiftrightunsigned(F.xxhash64("k", "m", F.substr("line", F.col("at") + 1, F.col("size"))), 16)
+    return rows.where("at >= 0 and at + size <= n").select(key.alias("key"), "i", "indexed")
+
+
+def codes(line: Column, budget: int) -> Column:
+    """Code points of a line behind ``budget`` marks that equal none."""
+    points = F.when(F.length(line) > 0, F.transform(F.split(line, ""), lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array_repeat(F.lit(-1), budget), points)
 
 
 def within(x: Column, y: Column, budget: int) -> Column:
-    """Whether two arrays of code points are within ``budget`` edits: banded bit-parallel automaton.
+    """Whether two ``codes`` are within ``budget`` edits: banded bit-parallel automaton.
 
     One word holds, for every number of errors, a band of 2*budget+1 bits: the diagonals reached with so
     many errors.  A character of y moves all bands at once; nothing outside the band is looked at, and a
@@ -50,10 +49,10 @@ def within(x: Column, y: Column, budget: int) -> Column:
         first |= sum(1 << (budget + d) for d in range(e + 1)) << (wide * e)
 
     def step(state: Column, j: Column) -> Column:
-        c = F.get(y, j)
+        c = F.get(y, j + budget)
         eq = F.lit(0).cast("long")
         for d in range(-budget, budget + 1):
-            eq = eq + F.when((j + d >= 0) & (F.get(x, F.greatest(j + d, F.lit(0))) == c), F.lit(1 << (budget + d)).cast("long")).otherwise(F.lit(0).cast("long"))
+            eq = eq + F.when(F.get(x, j + (budget + d)) == c, F.lit(1 << (budget + d)).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.when(state == 0, state).otherwise(_advance(state, eq))
 
     def _advance(state: Column, eq: Column) -> Column:
@@ -71,8 +70,12 @@ def within(x: Column, y: Column, budget: int) -> Column:
 
         return F.get(F.transform(F.array(eq), moved), F.lit(0))
 
-    steps = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(steps, F.lit(first).cast("long"), step)
+    def run(state: Column, lo: Column) -> Column:
+        steps = F.sequence(lo, F.least(lo + (RUN - 1), F.size(y) - (budget + 1)))
+        return F.when(state == 0, state).otherwise(F.aggregate(steps, state, step))
+
+    runs = F.when(F.size(y) > budget, F.sequence(F.lit(0), F.size(y) - (budget + 1), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    end = F.aggregate(runs, F.lit(first).cast("long"), run)
     at = F.size(x) - F.size(y) + budget
     top = F.shiftright(end, wide * budget)
     return (F.abs(F.size(x) - F.size(y)) <= budget) & (F.getbit(top, F.greatest(at, F.lit(0))) == 1)
@@ -92,26 +95,20 @@ def _name(line: Column) -> list[Column]:
 def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
     """Links (a, b) between different lines within ``budget`` edits, both of at least ``min_chars`` characters.
 
-    ``lines`` has the column line.  Lines are folded to distinct ones first.  Segments that only one line
-    has are dropped after one shuffle of (key, line number) pairs; only lines with a shared segment are
-    fetched.  Lines indexed under one key are dealt to arrays and compared inside the row, so a frequent
-    segment emits its links and not its pairs.  a and b are 32 hex digits, a < b.
+    ``lines`` has the column line.  One shuffle of (key, least and greatest line number), added up inside
+    every task first, finds the segments that different lines share; the keys of such segments alone are made
+    again, and the lines under them fetched, through filters of fixed size and exact joins.  Line numbers are
+    48 bits of a hash: what they confuse is told apart by the texts.  Lines indexed under one key are dealt
+    to arrays and compared inside the row, so a frequent segment emits its links and not its pairs.  a and b
+    are 32 hex digits, a < b.
     """
-    distinct = lines.where(F.length("line") >= min_chars).select("line").distinct()
-    number = F.shiftright(F.xxhash64("line"), 1)
-    keys = distinct.select(number.alias("i"), F.explode(segment_keys(F.col("line"), budget)).alias("k")).select(F.col("k.key").alias("key"), F.shiftleft("i", 1).bitwiseOR(F.col("k.indexed")).alias("v"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key")
-    i = F.shiftright("v", 1)
-    live = (
-        keys.withColumn("lo", F.min(i).over(w)).withColumn("hi", F.max(i).over(w)).withColumn("some", F.max(F.col("v").bitwiseAND(F.lit(1))).over(w))
-        .where("lo < hi and some = 1").select("key", i.alias("i"), F.col("v").bitwiseAND(F.lit(1)).alias("indexed"))
-    )
-    live = cut(live)
+    long = lines.where(F.length("line") >= min_chars).select("line", F.length("line").alias("n"), F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
+    keys = segment_keys(long, budget)
+    shared = cut(keys.groupBy("key").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("indexed").alias("some")).where("lo < hi and some = 1").select("key"))
+    live = cut(likely(keys, "key", shared).distinct().join(shared, "key", "left_semi"))
     wanted = live.select("i").distinct()
-    texts = distinct.withColumn("i", number).join(wanted, "i", "left_semi").select("i", "line", F.transform(F.split("line", ""), lambda c: F.ascii(c)).alias("c"))
-    texts = cut(texts)
+    texts = likely(long.select("i", "line"), "i", wanted).distinct().join(wanted, "i", "left_semi")
+    texts = cut(texts.select("i", "line", codes(F.col("line"), budget).alias("c")))
     probe = live.join(texts, "i").select("key", "indexed", "line", "c")
     index = probe.where("indexed = 1").groupBy("key", F.pmod(F.xxhash64("line"), F.lit(SALTS)).alias("s")).agg(F.collect_list(F.struct("line", "c")).alias("others")).drop("s")
     size = F.size("c")
@@ -136,7 +133,7 @@ def repeated_lines(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> Dat
     firsts = occurs.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("k"), F.count("*").alias("n"))
     part = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("long")
     classes = components(near_lines(_lines(docs), budget, min_chars)).select(part(1).alias("a"), part(17).alias("b"), "root")
-    members = cut(classes.join(firsts, ["a", "b"]).select("a", "b", "root", "k"))
+    members = classes.join(firsts, ["a", "b"]).select("a", "b", "root", "k")
     keeper = members.groupBy("root").agg(F.min(F.struct("k", "a", "b")).alias("best"))
     chosen = members.join(keeper, "root").select("a", "b", F.col("best.k").alias("ck"), ((F.col("a") != F.col("best.a")) | (F.col("b") != F.col("best.b"))).alias("near"))
     ruled = firsts.join(chosen, ["a", "b"], "left").where("n > 1 or ck is not null").select("a", "b", F.coalesce("ck", "k").alias("keep"), F.coalesce("near", F.lit(False)).alias("near"))
