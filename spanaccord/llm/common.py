@@ -47,13 +47,17 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, order: Column, max_ch
     """At most ``per_class`` rows and ``max_chars`` characters of text for each value of ``by``.
 
     Rows come in the order of a hash, so every run draws the same ones; equal
-    texts of a class count once.  The row limit is applied inside every task
-    before the shuffle, so a frequent class moves few rows.
+    texts of a class count once.  Classes are counted first and thinned by a hash,
+    so that few texts are moved; there is one row per class, of which there are few.
     """
     from pyspark.sql import Window
 
+    # one row per class: thin every class to a few times what is wanted before texts are moved
+    sizes = df.groupBy(by).agg(F.count("*").alias("_size")).withColumnRenamed(by, "_class")
+    span = 1 << 30
+    thin = df.join(F.broadcast(sizes), F.col(by) == F.col("_class")).where(F.pmod(F.xxhash64(order, F.lit(1)), F.lit(span)).cast("double") * F.col("_size") <= float(6 * per_class * span)).drop("_class", "_size")
     w = Window.partitionBy(by).orderBy(order, F.xxhash64(text))
-    ranked = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 4 * per_class).drop("_rank")
+    ranked = thin.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 4 * per_class).drop("_rank")
     once = ranked.withColumn("_same", F.row_number().over(Window.partitionBy(by, text).orderBy(order))).where("_same = 1").drop("_same")
     run = once.withColumn("_rank", F.row_number().over(w)).withColumn("_sum", F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return run.where((F.col("_rank") <= per_class) & ((F.col("_sum") <= max_chars) | (F.col("_rank") == 1))).drop("_rank", "_sum")
