@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
-#: groups up to this number are sent to every task
-BROADCAST_GROUPS = 500_000
+from pyspark.sql import DataFrame, functions as F
 
 
 def join_groups(df: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join one row per group back to the rows of ``df``.
+    """Join one row per group back to the rows of ``df``; a null key is a group like any other.
 
-    The number of groups is counted first.  Few groups are broadcast, which
-    leaves ``df`` where it is; many groups go through an ordinary shuffle join,
-    whose hot keys adaptive execution splits.
+    The size in bytes decides at run time whether the groups are broadcast; else it is an ordinary shuffle
+    join, whose hot keys adaptive execution splits.
     """
-    small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    return df.join(F.broadcast(groups) if small else groups, keys, how)
+    named = groups.select(*[F.col(f"`{c}`").alias(f"_key_{c}") if c in keys else F.col(f"`{c}`") for c in groups.columns])
+    on = reduce(lambda x, y: x & y, [df[k].eqNullSafe(named[f"_key_{k}"]) for k in keys])
+    return df.join(named, on, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:

@@ -122,8 +122,12 @@ def _t_cdf(t: float, v: float) -> float:
 
 
 def _t_quantile(q: float, v: float) -> float:
-    lo, hi = -1e4, 1e4
-    for _ in range(120):
+    lo, hi = -1.0, 1.0
+    while _t_cdf(lo, v) > q and lo > -1e300:
+        lo *= 4
+    while _t_cdf(hi, v) < q and hi < 1e300:
+        hi *= 4
+    for _ in range(200):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if _t_cdf(mid, v) < q else (lo, mid)
     return (lo + hi) / 2

@@ -28,6 +28,13 @@ def _shared_folder(spark: SparkSession) -> str | None:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def _local_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder for tests on one machine; on a cluster its files would not be shared."""
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
@@ -36,11 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_folder(spark) or tempfile.mkdtemp(prefix="spanaccord-ckpt-"))
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark) or _local_folder(spark, "spanaccord-ckpt-"))
     return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for files of one run, in the shared checkpoint folder where there is one."""
-    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="spanaccord-")
+    base = _shared_folder(spark) or _local_folder(spark, "spanaccord-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -78,7 +78,8 @@ def read_xml_units(spark: SparkSession, path: str, row_tag: str = "Talk") -> Dat
 
 def parse_tiers(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
     """Interval rows of the named tiers in a text column."""
-    t = df.select(*keys, F.explode(F.slice(F.split(content, r"item \[\d+\]:"), F.lit(2), F.lit(1_000_000))).alias("_t"))
+    parts = df.select(*keys, F.split(content, r"item \[\d+\]:").alias("_p"))
+    t = parts.select(*keys, F.explode(F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0)))).alias("_t"))
     number = r"xmin\s*=\s*([-\d.eE]+)\s+xmax\s*=\s*([-\d.eE]+)\s+text\s*=\s*\"((?:[^\"]|\"\")*)\""
     get = lambda i: F.regexp_extract_all("_t", F.lit(number), F.lit(i))
     z = F.arrays_zip(get(1).alias("a"), get(2).alias("b"), get(3).alias("c"))

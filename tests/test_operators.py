@@ -283,3 +283,14 @@ def test_token_decisions(spark):
     }
     comp = {(r.word, tuple(r.pron), r.pos): r.value for r in TK.competing_positions(lex).collect()}
     assert comp == {("w", ("k", "i"), 1): "V", ("w", ("k", "i̥"), 1): "D", ("w", ("k",), 1): "A"}
+
+
+def test_null_group_keys_stay(spark):
+    from spanaccord.operators.groups import join_groups
+    from spanaccord.operators.reshape import collapse_rare, keep_frequent
+
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    assert sorted(r.v for r in keep_frequent(df, ["k"], 2).collect()) == [2, 3]
+    assert {r.v: r.k for r in collapse_rare(df, "k", 3).collect()} == {1: "other_rare", 2: "other_rare", 3: "other_rare"}
+    sums = df.groupBy("k").sum("v").withColumnRenamed("sum(v)", "s")
+    assert {r.v: r.s for r in join_groups(df, sums, ["k"]).collect()} == {1: 1, 2: 5, 3: 5}
