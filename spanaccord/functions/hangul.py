@@ -10,16 +10,16 @@ JUNG = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 JONG = " ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
 FIRST, COUNT = 0xAC00, 11172
 # fixed values: compound codas as coda, what stays, what moves; codas whose h is lost
-COMPOUND = "ㄳㄱㅅ ㄵㄴㅈ ㄺㄹㄱ ㄻㄹㅁ ㄼㄹㅂ ㄽㄹㅅ ㄾㄹㅌ ㄿㄹㅍ ㅄㅂㅅ"
-H_LOST = "ㄶㄴ ㅀㄹ"
+COMPOUND = {"ㄳ": ("ㄱ", "ㅅ"), "ㄵ": ("ㄴ", "ㅈ"), "ㄺ": ("ㄹ", "ㄱ"), "ㄻ": ("ㄹ", "ㅁ"), "ㄼ": ("ㄹ", "ㅂ"), "ㄽ": ("ㄹ", "ㅅ"), "ㄾ": ("ㄹ", "ㅌ"), "ㄿ": ("ㄹ", "ㅍ"), "ㅄ": ("ㅂ", "ㅅ")}
+H_LOST = {"ㄶ": "ㄴ", "ㅀ": "ㄹ"}
 # fixed values: obstruent codas that become nasal, plain sounds that aspirate, codas that palatalise
-NASAL_CODAS = "ㄱㄲㅋㄳㄺㄷㅅㅆㅈㅊㅌㅎㅂㅍㄼㄿㅄ"
-ASPIRATING = "ㄱㄷㅂㅈ"
-PALATAL_CODAS = "ㄷㅌ"
+NASAL_CODAS = ("ㄱ", "ㄲ", "ㅋ", "ㄳ", "ㄺ", "ㄷ", "ㅅ", "ㅆ", "ㅈ", "ㅊ", "ㅌ", "ㅎ", "ㅂ", "ㅍ", "ㄼ", "ㄿ", "ㅄ")
+ASPIRATING = ("ㄱ", "ㄷ", "ㅂ", "ㅈ")
+PALATAL_CODAS = ("ㄷ", "ㅌ")
 # fixed values: plain to tense, plain to aspirated, vowel pairs that count as raising
-TENSE = "ㄱㄲ ㄷㄸ ㅂㅃ ㅅㅆ ㅈㅉ"
-ASPIRATED = "ㄱㅋ ㄷㅌ ㅂㅍ ㅈㅊ"
-RAISING = "ㅗㅜ ㅓㅡ ㅐㅔ ㅏㅐ ㅕㅔ ㅑㅐ ㅗㅚ ㅜㅡ"
+TENSE = {"ㄱ": "ㄲ", "ㄷ": "ㄸ", "ㅂ": "ㅃ", "ㅅ": "ㅆ", "ㅈ": "ㅉ"}
+ASPIRATED = {"ㄱ": "ㅋ", "ㄷ": "ㅌ", "ㅂ": "ㅍ", "ㅈ": "ㅊ"}
+RAISING = [("ㅗ", "ㅜ"), ("ㅓ", "ㅡ"), ("ㅐ", "ㅔ"), ("ㅏ", "ㅐ"), ("ㅕ", "ㅔ"), ("ㅑ", "ㅐ"), ("ㅗ", "ㅚ"), ("ㅜ", "ㅡ")]
 
 
 def code(ch: Column) -> Column:
@@ -50,7 +50,7 @@ def compose(cho: Column, jung: Column, jong: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(cp.cast("long")), 4, "0")), "UTF-16BE")
 
 
-def _ids(table: str, letters: str) -> list[int]:
+def _ids(table: str, letters: str | tuple[str, ...]) -> list[int]:
     return [table.index(x) for x in letters]
 
 
@@ -63,9 +63,9 @@ def resyllabify(left: Column, right: Column) -> Column:
     for i, x in enumerate(JONG):
         if x != " " and x in CHO:
             stay[i], move[i] = 0, CHO.index(x)
-    for a, b, c in COMPOUND.split():
+    for a, (b, c) in COMPOUND.items():
         stay[JONG.index(a)], move[JONG.index(a)] = JONG.index(b), CHO.index(c)
-    for a, b in H_LOST.split():
+    for a, b in H_LOST.items():
         stay[JONG.index(a)], move[JONG.index(a)] = 0, CHO.index(b)
     table = lambda d: F.create_map(*[F.lit(v) for kv in d.items() for v in kv])
     a, b = code(F.substring(left, -1, 1)), code(F.substring(right, 1, 1))
@@ -105,9 +105,9 @@ def classify_pair(a: Column, b: Column) -> Column:
     def labels(x, y):
         x, y = code(x), code(y)
         cx, cy, vx, vy, jx, jy = onset(x), onset(y), nucleus(x), nucleus(y), coda(x), coda(y)
-        pairs = lambda t, s, p, q: F.struct(p, q).isin([F.struct(F.lit(t.index(m)), F.lit(t.index(n))) for m, n in s.split()])
+        pairs = lambda t, s, p, q: F.struct(p, q).isin([F.struct(F.lit(t.index(m)), F.lit(t.index(n))) for m, n in s])
         empty = CHO.index("ㅇ")
-        on = F.when(cx != cy, F.when(pairs(CHO, TENSE, cx, cy), "tensification").when(pairs(CHO, ASPIRATED, cx, cy), "aspiration")
+        on = F.when(cx != cy, F.when(pairs(CHO, TENSE.items(), cx, cy), "tensification").when(pairs(CHO, ASPIRATED.items(), cx, cy), "aspiration")
                     .when((cx == empty) | (cy == empty), "onset_liaison").otherwise("onset_other"))
         vo = F.when(vx != vy, F.when(pairs(JUNG, RAISING, vx, vy), "vowel_raising").otherwise("vowel_other"))
         co = F.when(jx != jy, F.when(jy == 0, "coda_deletion").when(jx == 0, "coda_addition").otherwise("coda_change"))

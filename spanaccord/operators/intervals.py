@@ -39,10 +39,14 @@ def point_join(points: DataFrame, at: Column, spans: DataFrame, lo: Column, hi:
 
 
 def point_in_interval(units: DataFrame, words: DataFrame, keys: list[str], start="t_start", end="t_end", w_start="w_start", w_end="w_end") -> DataFrame:
-    """The word that holds the midpoint of a unit, half-open."""
+    """The first word, by start, end and its other columns, that holds the midpoint of a unit, half-open.
+
+    Repeated units count once.
+    """
     mid = (F.col(start) + F.col(end)) / 2
-    j = point_join(units, mid, words, F.col(w_start), F.col(w_end), keys)
-    return j.where(mid < F.col(w_end))
+    j = point_join(units, mid, words, F.col(w_start), F.col(w_end), keys).where(mid < F.col(w_end))
+    own = [w_start, w_end, *[c for c in words.columns if c not in (*keys, w_start, w_end)]]
+    return j.groupBy(*units.columns).agg(F.min(F.struct(*own)).alias("_word")).select(*units.columns, "_word.*")
 
 
 def contained(units: DataFrame, spans: DataFrame, keys: list[str], eps: float = 1e-6, start="t_start", end="t_end", s_start="s_start", s_end="s_end") -> DataFrame:

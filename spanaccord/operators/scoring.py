@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanaccord.operators.aggregate import div
@@ -125,37 +127,57 @@ def mcnemar(cells: DataFrame) -> DataFrame:
     return erfc_of(cells.withColumn("chi2", chi), F.sqrt(F.col("chi2") / 2), "p_chi2")
 
 
+def _stirling_rest(m: Column) -> Column:
+    """log(m!) less (m + 1/2) log m - m + log(2 pi) / 2: exact sums below 16, the series from there on."""
+    x = F.greatest(m, F.lit(1)).cast("double")
+    logs = F.aggregate(F.sequence(F.lit(1), F.least(F.greatest(m, F.lit(1)), F.lit(16)).cast("int")), F.lit(0.0), lambda s, i: s + F.log(i.cast("double")))
+    small = logs - (x + 0.5) * F.log(x) + x - math.log(2 * math.pi) / 2
+    r = 1.0 / (x * x)
+    return F.when(m < 16, small).otherwise((1 / 12 - r * (1 / 360 - r * (1 / 1260 - r * (1 / 1680 - r / 1188)))) / x)
+
+
 def mcnemar_exact(cells: DataFrame) -> DataFrame:
     """Exact two-sided binomial p value, min(1, 2 * P(X <= min(b, c))), X ~ Bin(b + c, 1/2).
 
-    Terms of the tail are built on log scale with running log factorials over a
-    sequence; the row holds one pair of counts, so the sequence is as long as
-    the smaller count.
+    The tail is a regularised incomplete beta function, I_1/2(n - k, k + 1): the chance of k itself times a
+    continued fraction, whose number of steps grows with the square root of n.
     """
-    k, n = F.least("fn", "fp"), F.col("fn") + F.col("fp")
-    # log C(n, i) is carried from term to term: C(n, i) = C(n, i-1) * (n - i + 1) / i
-    start = F.struct(F.lit(0.0).alias("lc"), F.lit(0.0).alias("s"))
-    shift = n.cast("double") * F.log(F.lit(2.0))
+    k, n = F.least("fn", "fp").cast("long"), (F.col("fn") + F.col("fp")).cast("long")
+    kd, nd = k.cast("double"), n.cast("double")
+    u = (2 * kd - nd) / nd
+    away = nd / 2 * (F.log1p(u) + F.log1p(-u) + u * (F.log1p(u) - F.log1p(-u)))
+    chance = F.when(k == 0, F.exp(-nd * math.log(2.0))).otherwise(
+        F.sqrt(nd / (2 * math.pi * kd * (nd - kd))) * F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - away)
+    )
+    a, b = nd - kd, kd + 1
 
-    def step(acc, i):
-        nn = acc["lc"] + F.when(i == 0, 0.0).otherwise(F.log((n - i + 1).cast("double")) - F.log(F.greatest(i, F.lit(1)).cast("double")))
-        return F.struct(nn.alias("lc"), (acc["s"] + F.exp(nn - shift)).alias("s"))
+    def step(rest: Column, i: Column) -> Column:
+        m = i.cast("double")
+        odd = -(a + m) * (a + b + m) / (2 * (a + 2 * m) * (a + 2 * m + 1))
+        even = m * (b - m) / (2 * (a + 2 * m - 1) * (a + 2 * m))
+        return 1 + even / (1 + odd / rest)
 
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), start, step, lambda a: a["s"])
-    return cells.withColumn("p_exact", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
+    deep = (F.lit(64) + F.ceil(4 * F.sqrt(nd))).cast("int")
+    rest = F.aggregate(F.sequence(deep, F.lit(1), F.lit(-1)), F.lit(1.0), step)
+    tail = chance / 2 / (1 - (a + b) / (2 * (a + 1)) / rest)
+    return cells.withColumn("p_exact", F.when((n == 0) | (2 * k == n), F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
-# fixed values: coefficients of a Chebyshev-type fit of erfc, relative error below 1.2e-7
-_ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+def erfc_of(df: DataFrame, z: Column, name: str) -> DataFrame:
+    """Complementary error function of a non-negative column (there is no such SQL function).
+
+    Below 2 one less the series of positive terms, from 2 on the continued fraction.
+    """
+    start = F.struct(z.alias("term"), z.alias("sum"))
 
+    def add(acc: Column, i: Column) -> Column:
+        t = acc["term"] * (2 * z * z / (2 * i + 1))
+        return F.struct(t.alias("term"), (acc["sum"] + t).alias("sum"))
 
-def erfc_of(df: DataFrame, z: Column, name: str) -> DataFrame:
-    """Complementary error function of a non-negative column (there is no such SQL function)."""
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(_ERFC[-1])
-    for c in reversed(_ERFC[:-1]):
-        poly = F.lit(c) + t * poly
-    return df.withColumn(name, t * F.exp(poly - z * z))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, add, lambda acc: acc["sum"])
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-z * z) * series
+    far = F.exp(-z * z) / math.sqrt(math.pi) / F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), z, lambda acc, i: z + i / (2 * acc))
+    return df.withColumn(name, F.when(z < 2, near).otherwise(far))
 
 
 def direction_by_cluster(df: DataFrame, cluster: str, by: list[str] | None = None) -> DataFrame:

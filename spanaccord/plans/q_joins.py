@@ -48,7 +48,7 @@ def j05(spark, sf):
     return J.join_id_list(B.alignment(spark, sf, r).where("ref_unit_id is not null"), B.hyp_units(spark, sf, r), "event_id")
 
 
-@query("j06_point_in_interval", """SELECT h.unit_id, w.ipu_id FROM hyp h JOIN wd w ON w.file_id = h.file_id AND (h.t_start + h.t_end) / 2 >= w.w_start AND (h.t_start + h.t_end) / 2 < w.w_end""", ctes=[UNITS, HYP, WORDS_SQL])
+@query("j06_point_in_interval", """SELECT h.unit_id, w.ipu_id FROM hyp h JOIN wd w ON w.file_id = h.file_id AND (h.t_start + h.t_end) / 2 >= w.w_start AND (h.t_start + h.t_end) / 2 < w.w_end QUALIFY row_number() OVER (PARTITION BY h.file_id, h.unit_id ORDER BY w.w_start, w.w_end, w.ipu_id) = 1""", ctes=[UNITS, HYP, WORDS_SQL])
 def j06(spark, sf):
     u = B.windowed_units(spark, sf)
     return I.point_in_interval(B.hyp_units(spark, sf, u), spans(spark, sf, u), ["file_id"]).select("unit_id", "ipu_id")

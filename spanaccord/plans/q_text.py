@@ -11,7 +11,7 @@ from spanaccord.plans.registry import query
 
 W = words()
 NAS = "(1,2,3,7,9,11,14,17,18,19,20,22,23,24,25,26,27)"
-_cls = PH._classes(PH.CLASS_TEXT)
+_cls = PH.CLASS_OF
 CLS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _cls.items()) + "}"
 
 
@@ -49,8 +49,8 @@ def t03(spark, sf):
 
 
 _simple = {i: (0, H.CHO.index(x)) for i, x in enumerate(H.JONG) if x != " " and x in H.CHO}
-_comp = {H.JONG.index(a): (H.JONG.index(b), H.CHO.index(c)) for a, b, c in H.COMPOUND.split()}
-_hl = {H.JONG.index(a): (0, H.CHO.index(b)) for a, b in H.H_LOST.split()}
+_comp = {H.JONG.index(a): (H.JONG.index(b), H.CHO.index(c)) for a, (b, c) in H.COMPOUND.items()}
+_hl = {H.JONG.index(a): (0, H.CHO.index(b)) for a, b in H.H_LOST.items()}
 RESYL = "(VALUES " + ", ".join(f"({k},{s},{m})" for k, (s, m) in sorted({**_simple, **_comp, **_hl}.items())) + ") r(j, stay, move)"
 
 
@@ -92,12 +92,12 @@ def t07(spark, sf):
 
 
 def _grow(k):
-    s = ",".join(f"'{x}'" for x in PH.GROWS[k].split())
+    s = ",".join(f"'{x}'" for x in PH.GROWS[k])
     f = lambda c: f"list_sum(list_transform({c}, lambda p: CASE WHEN replace(p, 'ː', '') IN ({s}) THEN CASE WHEN p LIKE '%ː%' THEN 2 ELSE 1 END ELSE 0 END))"
     return f"{f('applied')} > {f('citation')}"
 
 
-_kept = PH._classes(PH.KEPT_TEXT)
+_kept = PH.KEPT_CLASS
 _kmap = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _kept.items()) + "}"
 _kc = lambda c, k: f"coalesce(list_sum(list_transform({c}, lambda p: CASE WHEN {_kmap}[replace(p, 'ː', '')] = '{k}' THEN CASE WHEN p LIKE '%ː%' THEN 2 ELSE 1 END ELSE 0 END)), 0)"
 LIAISON = " AND ".join(f"{_kc('applied', k)} >= {_kc('citation', k)}" for k in dict.fromkeys(_kept.values()) if k != "H") + " AND citation <> applied"

@@ -1,7 +1,9 @@
 """Worked cases and brute-force checks of single operators."""
 
 import itertools
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,7 +98,38 @@ def test_mcnemar_p_values(spark):
     e = [r.p_exact for r in M.mcnemar_exact(c).collect()]
     assert e[0] == pytest.approx(2 * (1 + 12 + 66) / 4096) and e[1] == 1.0
     r = M.mcnemar(c).first()
-    assert r.chi2 == pytest.approx(49 / 12) and r.p_chi2 == pytest.approx(0.04331, abs=1e-4)
+    assert r.chi2 == pytest.approx(49 / 12) and r.p_chi2 == pytest.approx(math.erfc(math.sqrt(49 / 24)), rel=1e-12)
+
+
+def test_p_values_at_every_size(spark):
+    pairs = [(0, 1), (0, 40), (3, 4), (15, 17), (16, 40), (400, 500), (1500, 1501), (30000, 31000)]
+    c = spark.createDataFrame([(0, b, a, 0) for a, b in pairs], "tp long, fn long, fp long, tn long")
+    got = {(r.fp, r.fn): r.p_exact for r in M.mcnemar_exact(c).collect()}
+    for a, b in pairs:
+        term = tail = 1
+        for i in range(1, a + 1 if a + b < 4000 else 1):
+            term = term * (a + b - i + 1) // i
+            tail += term
+        if a + b < 4000:
+            assert got[a, b] == pytest.approx(min(1.0, float(Fraction(2 * tail, 2 ** (a + b)))), rel=1e-9), (a, b)
+        else:
+            logs = [math.lgamma(a + b + 1) - math.lgamma(i + 1) - math.lgamma(a + b - i + 1) - (a + b) * math.log(2) for i in range(a + 1)]
+            assert got[a, b] == pytest.approx(2 * math.fsum(map(math.exp, logs)), rel=1e-6)
+    large = spark.createDataFrame([(0, 3_000_100_000, 3_000_000_000, 0)], "tp long, fn long, fp long, tn long")
+    z = 99_999 / math.sqrt(6_000_100_000)
+    assert M.mcnemar_exact(large).first().p_exact == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-6)
+
+
+def test_erfc(spark):
+    z = [0.0, 1e-6, 0.3, 1.0, 1.999, 2.0, 3.5, 8.0, 20.0]
+    for r in M.erfc_of(spark.createDataFrame([(x,) for x in z], "z double"), F.col("z"), "e").collect():
+        assert r.e == pytest.approx(math.erfc(r.z), rel=1e-12)
+
+
+def test_first_word_of_several(spark):
+    units = spark.createDataFrame([("f", "u", 1.0, 2.0), ("f", "v", 5.0, 6.0)], "file_id string, unit_id string, t_start double, t_end double")
+    words = spark.createDataFrame([("f", "late", 1.2, 3.0), ("f", "long", 0.5, 4.0), ("f", "short", 0.5, 2.0)], "file_id string, ipu_id string, w_start double, w_end double")
+    assert [(r.unit_id, r.ipu_id) for r in I.point_in_interval(units, words, ["file_id"]).collect()] == [("u", "short")]
 
 
 def test_auc_mirrors_and_ties(spark):
