@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spanaccord.llm.common import text_of
+from spanaccord.llm.common import cut, text_of
 from spanaccord.llm.tokens import encoder
 
 #: lengths that share one window partition of the running sums
@@ -38,6 +38,7 @@ def limits(hist: DataFrame) -> DataFrame:
     follow from the row below: ``at_limits``.  An empty table gives no row.
     """
     t = F.col("n_tokens") * F.col("n_docs")
+    hist = cut(hist)   # read twice below; without the cut every text is encoded twice
     rows = hist.withColumn("t", t).withColumn("span", F.floor(F.col("n_tokens") / SPAN))
     after = Window.partitionBy("span").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.select("*", F.coalesce(F.sum("n_docs").over(after), F.lit(0)).alias("d1"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t1"))
