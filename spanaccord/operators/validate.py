@@ -14,7 +14,10 @@ def row_rules() -> dict[str, Column]:
     zero = F.abs(F.col("t_end") - F.col("t_start")) < EPS
     return {
         "end_before_start": F.col("t_end") < F.col("t_start"),
-        "zero_length": zero & F.col("excluded_reason").isNull(),
+        "zero_length": zero & ~F.coalesce("zero_vot", F.lit(False)) & F.col("excluded_reason").isNull(),
+        "burst_outside": ~F.col("burst_t").between(F.col("t_start"), F.col("t_end")),
+        "concordance_only": (F.col("corpus") == "jsut") & (F.col("metric_type") == "accuracy"),
+        "style_missing": (F.col("corpus") == "csj") & (F.col("style") == "na"),
         "merged_from": F.col("merged_from") < 1,
         "unknown_source": ~F.col("boundary_source_start").isin(*SOURCES) | ~F.col("boundary_source_end").isin(*SOURCES),
         "unknown_reason": F.col("excluded_reason").isNotNull() & ~F.col("excluded_reason").isin(*REASONS),

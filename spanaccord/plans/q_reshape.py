@@ -147,14 +147,20 @@ def p17(spark, sf):
     return out.groupBy("file_id", "ipu_id").agg(F.count("*").alias("n"))
 
 
-@query("v01_violations", """SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN t2 < t_start THEN 'end_before_start' END, CASE WHEN abs(t2 - t_start) < 1e-9 AND excluded_reason IS NULL THEN 'zero_length' END,
-  CASE WHEN m2 < 1 THEN 'merged_from' END]) AS rule FROM (SELECT *, CASE WHEN event_id % 71 = 0 THEN t_start - 1 WHEN event_id % 73 = 0 THEN t_start ELSE t_end END AS t2, CASE WHEN event_id % 79 = 0 THEN 0 ELSE merged_from END AS m2 FROM ref))
+@query("v01_violations", """SELECT rule, count(*) AS n FROM (SELECT unnest([CASE WHEN t2 < t_start THEN 'end_before_start' END, CASE WHEN abs(t2 - t_start) < 1e-9 AND NOT zv AND excluded_reason IS NULL THEN 'zero_length' END,
+  CASE WHEN burst_t < t_start OR burst_t > t2 THEN 'burst_outside' END, CASE WHEN corpus = 'jsut' AND metric_type = 'accuracy' THEN 'concordance_only' END, CASE WHEN corpus = 'csj' AND style = 'na' THEN 'style_missing' END, CASE WHEN m2 < 1 THEN 'merged_from' END]) AS rule FROM (SELECT *, CASE WHEN event_id % 71 = 0 THEN t_start - 1 WHEN event_id % 73 = 0 THEN t_start ELSE t_end END AS t2, CASE WHEN event_id % 79 = 0 THEN 0 ELSE merged_from END AS m2,
+  event_id % 146 = 0 AS zv, CASE WHEN event_id % 5 = 0 THEN t_start - 0.5 WHEN event_id % 5 = 1 THEN t_start END AS burst_t, CASE WHEN event_id % 2 = 0 THEN 'jsut' ELSE 'csj' END AS corpus,
+  CASE WHEN event_id % 11 = 0 THEN 'accuracy' ELSE 'concordance' END AS metric_type, CASE WHEN event_id % 13 = 0 THEN 'na' ELSE 'aps' END AS style FROM ref))
   WHERE rule IS NOT NULL GROUP BY 1""", ctes=[UNITS])
 def v01(spark, sf):
     e = F.col("event_id")
     u = B.ref_units(spark, sf)
     u = u.withColumn("t_end", F.when(e % 71 == 0, F.col("t_start") - 1).when(e % 73 == 0, F.col("t_start")).otherwise(F.col("t_end")))
     u = u.withColumn("merged_from", F.when(e % 79 == 0, 0).otherwise(F.col("merged_from")))
+    u = u.withColumns({
+        "zero_vot": e % 146 == 0, "burst_t": F.when(e % 5 == 0, F.col("t_start") - 0.5).when(e % 5 == 1, F.col("t_start")), "corpus": F.when(e % 2 == 0, "jsut").otherwise("csj"),
+        "metric_type": F.when(e % 11 == 0, "accuracy").otherwise("concordance"), "style": F.when(e % 13 == 0, "na").otherwise("aps"),
+    })
     return V.violations(u, V.row_rules()).groupBy("rule").agg(F.count("*").alias("n"))
 
 
