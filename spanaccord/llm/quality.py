@@ -104,8 +104,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 2
     Only text and the label are used.  Null labels and texts, and labels other than 0 and 1, take no part.
     """
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("_q"), F.min("quality").alias("_p")).where("_q = _p")
+    # thin the labels first, to about six times what is wanted of each of the two classes, so that no other text moves
+    order, span = F.xxhash64(F.col("doc_id"), F.lit(6)), 1 << 30
+    sizes = marks.groupBy("_q").agg(F.count("*").alias("_size"))
+    marks = marks.join(F.broadcast(sizes), "_q").where(F.pmod(F.xxhash64(order, F.lit(1)), F.lit(span)).cast("double") * F.col("_size") <= float(6 * per_class * span)).select("doc_id", "_q")
     rows = docs.where(training & F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(marks, rows["_id"] == marks["doc_id"]).select("_q", "text", F.xxhash64(F.col("_id"), F.lit(6)).alias("_o"))
+    rows = rows.join(F.broadcast(marks), rows["_id"] == marks["doc_id"]).select("_q", "text", F.xxhash64(F.col("_id"), F.lit(6)).alias("_o"))
     got = bounded_sample(rows, "_q", per_class, F.col("_o"), max_chars).orderBy("_q", "_o", "text").select("_q", "text").collect()
     return learn([r["text"] for r in got if r["_q"] == 1], [r["text"] for r in got if r["_q"] == 0])
 
