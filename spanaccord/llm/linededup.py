@@ -13,19 +13,21 @@ RUN = 24
 
 
 def segment_keys(lines: DataFrame, budget: int) -> DataFrame:
-    """(key, i, indexed) of lines (i, line, n): segments of each line and the substrings that may equal a segment of another.
+    """(key, i, indexed) of lines (i, line): segments of each line and the substrings that may equal a segment of another.
 
     The line is looked up as the longer of a pair, in the lines shorter by 0 to ``budget`` characters.  The
-    positions are those at which both the part before and the part after can stay within the budget.
+    positions are those at which both the part before and the part after can stay within the budget.  Parts
+    are taken from four bytes a character, so that no part has to be sought from the start of the line.
     """
     parts = budget + 1
     places = [(d, k, shift) for d in range(budget + 1) for k in range(parts) for shift in range(max(-k, d - (budget - k)), min(k, d + (budget - k)) + 1)]
-    rows = lines.select("i", "line", "n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("s")) for d, k, s in places])).alias("p"))
-    rows = rows.select("i", "line", "n", "p.k", "p.s", (F.col("n") - F.col("p.d")).alias("m"), ((F.col("p.d") == 0) & (F.col("p.s") == 0)).cast("int").alias("indexed"))
+    wide = lines.select("i", F.encode("line", "UTF-32").alias("wide"))
+    rows = wide.select("i", "wide", F.shiftright(F.length("wide"), 2).alias("n"), F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("s")) for d, k, s in places])).alias("p"))
+    rows = rows.select("i", "wide", "n", "p.k", "p.s", (F.col("n") - F.col("p.d")).alias("m"), ((F.col("p.d") == 0) & (F.col("p.s") == 0)).cast("int").alias("indexed"))
     base, more = F.floor(F.col("m") / parts).cast("int"), F.col("m") % parts
     at = base * F.col("k") + F.greatest(F.lit(0), F.col("k") - parts + more) + F.col("s")
-    rows = rows.select("i", "line", "n", "k", "m", "indexed", at.alias("at"), (base + (F.col("k") >= parts - more).cast("int")).alias("size"))
-    key = F.shiftrightunsigned(F.xxhash64("k", "m", F.substr("line", F.col("at") + 1, F.col("size"))), 16)
+    rows = rows.select("i", "wide", "n", "k", "m", "indexed", at.alias("at"), (base + (F.col("k") >= parts - more).cast("int")).alias("size"))
+    key = F.shiftrightunsigned(F.xxhash64("k", "m", F.substr("wide", F.col("at") * 4 + 1, F.col("size") * 4)), 16)
     return rows.where("at >= 0 and at + size <= n").select(key.alias("key"), "i", "indexed")
 
 
@@ -35,13 +37,33 @@ def codes(line: Column, budget: int) -> Column:
     return F.concat(F.array_repeat(F.lit(-1), budget), points)
 
 
-def within(x: Column, y: Column, budget: int) -> Column:
+def equal_ends(p: Column, q: Column, n_p: Column, n_q: Column) -> Column:
+    """(ahead, behind): characters that two lines of n_p and n_q characters share at the start and, beside those, at the end.
+
+    Both counts are found bit by bit, from the highest power of two that fits.
+    """
+    short = F.least(n_p, n_q)
+    powers = F.transform(F.sequence(F.length(F.bin(short)) - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    ahead = F.aggregate(powers, F.lit(0), lambda a, w: F.when((a + w <= short) & (F.substr(p, a + 1, w) == F.substr(q, a + 1, w)), a + w).otherwise(a))
+
+    def rest(a: Column) -> Column:
+        from_end = lambda line, n, b, w: F.substr(line, n - b - w + 1, w)
+        behind = F.aggregate(powers, F.lit(0), lambda b, w: F.when((a + b + w <= short) & (from_end(p, n_p, b, w) == from_end(q, n_q, b, w)), b + w).otherwise(b))
+        return F.struct(a.alias("ahead"), behind.alias("behind"))
+
+    return F.get(F.transform(F.array(ahead), rest), F.lit(0))
+
+
+def within(x: Column, y: Column, budget: int, ahead: Column | None = None, behind: Column | None = None) -> Column:
     """Whether two ``codes`` are within ``budget`` edits: banded bit-parallel automaton.
 
     One word holds, for every number of errors, a band of 2*budget+1 bits: the diagonals reached with so
     many errors.  A character of y moves all bands at once; nothing outside the band is looked at, and a
-    pair whose bands are empty is left.
+    pair whose bands are empty is left.  Characters known to be equal at both ends, which never change the
+    distance, are passed over.
     """
+    ahead, behind = F.lit(0) if ahead is None else ahead, F.lit(0) if behind is None else behind
+    last = F.size(y) - (budget + 1) - behind
     wide = 2 * budget + 1
     full = (1 << wide) - 1
     first = 0
@@ -71,10 +93,10 @@ def within(x: Column, y: Column, budget: int) -> Column:
         return F.get(F.transform(F.array(eq), moved), F.lit(0))
 
     def run(state: Column, lo: Column) -> Column:
-        steps = F.sequence(lo, F.least(lo + (RUN - 1), F.size(y) - (budget + 1)))
+        steps = F.sequence(lo, F.least(lo + (RUN - 1), last))
         return F.when(state == 0, state).otherwise(F.aggregate(steps, state, step))
 
-    runs = F.when(F.size(y) > budget, F.sequence(F.lit(0), F.size(y) - (budget + 1), F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+    runs = F.when(last >= ahead, F.sequence(ahead, last, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
     end = F.aggregate(runs, F.lit(first).cast("long"), run)
     at = F.size(x) - F.size(y) + budget
     top = F.shiftright(end, wide * budget)
@@ -102,7 +124,7 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     to arrays and compared inside the row, so a frequent segment emits its links and not its pairs.  a and b
     are 32 hex digits, a < b.
     """
-    long = lines.where(F.length("line") >= min_chars).select("line", F.length("line").alias("n"), F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
+    long = lines.where(F.length("line") >= min_chars).select("line", F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
     keys = segment_keys(long, budget)
     shared = cut(keys.groupBy("key").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("indexed").alias("some")).where("lo < hi and some = 1").select("key"))
     live = cut(likely(keys, "key", shared).distinct().join(shared, "key", "left_semi"))
@@ -113,7 +135,12 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     index = probe.where("indexed = 1").groupBy("key", F.pmod(F.xxhash64("line"), F.lit(SALTS)).alias("s")).agg(F.collect_list(F.struct("line", "c")).alias("others")).drop("s")
     size = F.size("c")
     new = lambda x: (x["line"] < F.col("line")) | (F.size(x["c"]) < size)
-    near = F.filter("others", lambda x: new(x) & (x["line"] != F.col("line")) & within(x["c"], F.col("c"), budget))
+
+    def close(x: Column) -> Column:
+        ends = equal_ends(x["line"], F.col("line"), F.size(x["c"]) - budget, size - budget)
+        return F.exists(F.array(ends), lambda e: within(x["c"], F.col("c"), budget, e["ahead"], e["behind"]))
+
+    near = F.filter("others", lambda x: new(x) & (x["line"] != F.col("line")) & close(x))
     found = probe.join(index, "key").select("line", F.explode(near).alias("o")).select(_hex(F.col("line")).alias("p"), _hex(F.col("o.line")).alias("q"))
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
@@ -133,10 +160,10 @@ def repeated_lines(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> Dat
     firsts = occurs.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("k"), F.count("*").alias("n"))
     part = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("long")
     classes = components(near_lines(_lines(docs), budget, min_chars)).select(part(1).alias("a"), part(17).alias("b"), "root")
-    members = classes.join(firsts, ["a", "b"]).select("a", "b", "root", "k")
-    keeper = members.groupBy("root").agg(F.min(F.struct("k", "a", "b")).alias("best"))
-    chosen = members.join(keeper, "root").select("a", "b", F.col("best.k").alias("ck"), ((F.col("a") != F.col("best.a")) | (F.col("b") != F.col("best.b"))).alias("near"))
-    ruled = firsts.join(chosen, ["a", "b"], "left").where("n > 1 or ck is not null").select("a", "b", F.coalesce("ck", "k").alias("keep"), F.coalesce("near", F.lit(False)).alias("near"))
+    held = cut(firsts.join(classes, ["a", "b"], "left").where("n > 1 or root is not null").select("a", "b", "k", "root"))
+    keeper = held.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "a", "b")).alias("best"))
+    near = (F.col("a") != F.col("best.a")) | (F.col("b") != F.col("best.b"))
+    ruled = held.join(keeper, "root", "left").select("a", "b", F.coalesce("best.k", "k").alias("keep"), F.coalesce(near, F.lit(False)).alias("near"))
     return occurs.join(ruled, ["a", "b"]).where(~F.struct("d", "t", "pos").eqNullSafe(F.col("keep"))).select("d", "t", "pos", "near")
 
 

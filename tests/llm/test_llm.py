@@ -190,6 +190,25 @@ def test_lines_brute_force(spark):
     assert linededup.line_report(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("budget", [1, 2, 3])
+def test_edit_join_brute_force(spark, budget):
+    """Inserted, lost and changed characters at any place, lines that repeat themselves, characters of two to four bytes."""
+    rng = np.random.default_rng(budget)
+    hearts = ["abababababababababababababab", "aaaaaaaaaaaaaaaaaaaaaaaa", "ähnliche Zeilen mit 😀 Zeichen 漢字 und mehr", "plain line of moderate length, number"]
+    lines = set(hearts)
+    for i in range(120):
+        c = list(hearts[i % 4])
+        for _ in range(rng.integers(0, budget + 2)):
+            at, kind = rng.integers(0, len(c) + 1), rng.integers(0, 3)
+            c[at:at + (kind != 0)] = [] if kind == 2 else [rng.choice(list("abß😀"))]
+        lines.add("".join(c))
+    lines = sorted(v for v in lines if len(v) >= 20)
+    want = {frozenset(p) for p in itertools.combinations(lines, 2) if lev(*p) <= budget}
+    named = spark.createDataFrame([(v,) for v in lines], "line string")
+    name = {r.h: r.line for r in named.select("line", linededup._hex(F.col("line")).alias("h")).collect()}
+    assert {frozenset((name[r.a], name[r.b])) for r in linededup.near_lines(named, budget).collect()} == want
+
+
 @pytest.mark.parametrize("radius,words", [(2, 1), (45, 4)])
 def test_bit_slices_brute_force(radius, words):
     rng = np.random.default_rng(radius)
