@@ -19,21 +19,25 @@ def clean_token(tok: Column) -> Column:
     return F.when(t.rlike("^[가-힣]+$"), t)
 
 
-def strip_tags(text: Column, depth: int = 4) -> Column:
-    """Text without tags, innermost tags first, ``depth`` levels deep.
+def strip_tags(text: Column) -> Column:
+    """Text without tags, innermost tags first, however deeply they are nested.
 
     Left of ``;`` for readings, first of several guesses, nothing for masked
     spans, the content of all others.
     """
-    t = F.regexp_replace(text, SYMBOL_TAG, "")
-    for _ in range(depth):
+    plain = F.regexp_replace(text, SYMBOL_TAG, "")
+
+    def innermost(t: Column, _: Column) -> Column:
         t = F.regexp_replace(t, r"\([AKWB](?=[\s×])\s*([^();]*);[^()]*\)", "$1")
         t = F.regexp_replace(t, r"\(\?(?=[\s×)])\s*([^(),，、]*)(?:[,，、][^()]*)?\)", "$1")
         t = F.regexp_replace(t, r"\(R(?=[\s×)])[^()]*\)", "")
         t = F.regexp_replace(t, r"\((?:" + RANGE_TAG + r")(?=[\s×)])\s*([^()]*)\)", "$1")
-        t = F.regexp_replace(t, r"\((?!(?:" + RANGE_TAG + r")(?:[\s×)]))([^()]*)\)", "$1")
+        return F.regexp_replace(t, r"\((?!(?:" + RANGE_TAG + r")(?:[\s×)]))([^()]*)\)", "$1")
+
+    # every pass takes at least one pair of brackets away, so as many passes as opening brackets do
+    done = F.aggregate(F.split(plain, r"\("), plain, innermost)
     # an opening bracket without its partner keeps the rest as it is; stray closing ones go
-    return F.when(t.contains("("), t).otherwise(F.regexp_replace(t, r"\)", ""))
+    return F.when(done.contains("("), done).otherwise(F.regexp_replace(done, r"\)", ""))
 
 
 def tags_seen(text: Column) -> Column:

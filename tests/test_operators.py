@@ -249,6 +249,7 @@ def test_strip_tags(spark):
         ("(K たち (F いー) ばな;橘)", "たち いー ばな"), ("(M (A エス;Ｓ))", "エス"), ("(L (? 市外, 市内) 通話)", "市外 通話"), ("(? 字数)の", "字数の"),
         ("(? 次数, 実数)", "次数"), ("(?) で", " で"), ("(D 形) 形式の", "形 形式の"), ("ソレデ<H>、スィ<H>ゴイ", "ソレデ、スィゴイ"),
         ("ハン<P:00333.068-00333.442>トシ<H>", "ハントシ"), ("(W ギーツ;ギジュツ)", "ギーツ"), ("(R ××)さん", "さん"), ("(ただの括弧)", "ただの括弧"),
+        ("(F (D (M (O (X (F 語))))))", "語"), ("(F " * 30 + "語" + ")" * 30, "語"), ("(F 語", "(F 語"), ("", ""), (None, None),
     ]
     d = spark.createDataFrame(cases, "raw string, want string").withColumn("got", TX.strip_tags(F.col("raw")))
     assert [(r.raw, r.got) for r in d.collect()] == cases
