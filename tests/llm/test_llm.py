@@ -244,3 +244,37 @@ def test_simhash(spark):
     stay = simhash.one_of_each(docs(spark, rows))
     kept = [r.doc_id for r in stay.collect()]
     assert 30 not in kept and 31 not in kept and kept.count(8) == 1 and stay.columns == docs(spark).columns
+
+
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(x, 5, 42).tolist()) for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_similar_groups_brute_force(spark):
+    """Pairs of similarity 0.75 to 0.85, short and long, some with a passage repeated in one of the two."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    rows, pairs = [], 0
+    for n, changed in [(8, 1), (30, 2), (200, 22), (200, 24), (200, 26), (600, 66), (600, 70), (600, 85), (1500, 160)] * 12:
+        a = [word() for _ in range(n)]
+        b = a[:-changed] + [word() for _ in range(changed)] if n > 8 else [*a, word()]
+        if n == 600:
+            b += b[100:150] * 6
+        rows += [(2 * pairs, " ".join(a)), (2 * pairs + 1, " ".join(b))]
+        pairs += 1
+    near = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(pairs)]
+    assert sum(0.75 <= j < 0.8 for j in near) >= 24 and sum(0.8 <= j <= 0.85 for j in near) >= 24
+    want = {2 * i + k: 2 * i + (k and near[i] < 0.8) for i in range(pairs) for k in (0, 1)}
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()} == want
+    assert {r.doc_id for r in simhash.one_of_each(docs(spark, rows)).collect()} == set(want.values())
+
+
+def test_similar_groups_in_sub_blocks(spark, monkeypatch):
+    """A chain of texts, each alike to the next only, in a group that is cut."""
+    monkeypatch.setattr(simhash, "SETS", 4)
+    words = [f"w{i * 7919 % 10007}" for i in range(400)]
+    rows = [(i, " ".join(words[8 * i: 8 * i + 104])) for i in range(30)]
+    near = {(i, j) for i, j in itertools.combinations(range(30), 2) if jaccard(rows[i][1], rows[j][1]) >= 0.8}
+    assert near == {(i, i + 1) for i in range(29)}
+    assert {r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()} == {0}
