@@ -278,3 +278,19 @@ def test_similar_groups_in_sub_blocks(spark, monkeypatch):
     near = {(i, j) for i, j in itertools.combinations(range(30), 2) if jaccard(rows[i][1], rows[j][1]) >= 0.8}
     assert near == {(i, i + 1) for i in range(29)}
     assert {r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()} == {0}
+
+
+def test_pii_finds_other_forms(spark):
+    """Obfuscated addresses and phones without plus are added where plain ones are learnt from; numbers without context are not."""
+    rng = np.random.default_rng(12)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    names = ["mary", "x.y", "john.smith", "post", "ab"]
+    rows = [(i, f"please write a mail to {names[i % 5]}{digits(i % 3)}@{names[i % 4]}.{('example.', '')[i % 2]}com or call +49 30 {digits(4)} {digits(4)} today; item {digits(11)} of list {digits(4)}.{digits(4)}.{digits(4)}.{digits(4)}") for i in range(500)]
+    hidden = {1000: ("email", "jane.roe (at) mail dot example dot org"), 1001: ("email", "x.y[at]site.net"), 1002: ("phone", "49 30 5556 7788"), 1003: ("phone", "0049 30 5556 7788")}
+    rows += [(i, ("please write to " if k == "email" else "please call ") + m + " soon") for i, (k, m) in hidden.items()]
+    rows += [(2000, "the number 49305556778 is no one's")]
+    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, rows), pii.fit(docs(spark, rows))).collect()}
+    for i, (k, m) in hidden.items():
+        at = dict(rows)[i].index(m)
+        assert got[i] == f"{k}:{at}:{at + len(m)}"
+    assert got[2000] == "" and all(got[i] == base(t) for i, t in rows[:500])
