@@ -13,20 +13,15 @@ from spanaccord.llm import decontam, langid, linededup, packing, queries, simhas
 from spanaccord.llm.common import table
 from spanaccord.settings import scratch
 
-#: a document is rejected below this probability of its language
-LEAST_SCORE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; ``und`` and doubtful ones go.
+    """Documents that read like one of the languages; texts without letters and letter noise go.
 
-    The model learns from the stage's own documents, as in the query of the operator.
+    The model learns from the stage's own documents, as in the query of the operator.  What a language usually
+    reads like is learnt beside it (``langid.Typical``), so the bound does not depend on the number of languages.
     """
-    model = langid.fit(docs, F.lit(True))
-    names = docs.columns
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
-    kept = langid.predict(held, model, [F.col("row")]).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select("row.*")
+    learnt = langid.sample(docs, F.lit(True))
+    return langid.typical(docs, langid.Model(*learnt), langid.Typical(*learnt))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), lang)
 
 
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers of all character grams of one to four letters, a step of text at a time.
+def sized_grams(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, bucket numbers) of all character grams of one to four letters, a step of text at a time.
 
     Case is folded, and everything but letters reads as one blank, so that markup,
     digits and noise carry no evidence.
@@ -49,12 +49,12 @@ def grams(text: str) -> Iterator[np.ndarray]:
             n = len(c) - size + 1
             h = h[:n] * np.uint64(0x100000001B3) + c[size - 1 :] + np.uint64(1)
             x = h * np.uint64(0x9E3779B97F4A7C15)
-            yield (x >> np.uint64(51)).astype(np.int64)
+            yield size, (x >> np.uint64(51)).astype(np.int64)
 
 
 def _features(text: str) -> np.ndarray:
     v = np.zeros(BUCKETS, dtype=np.int64)
-    for g in grams(text):
+    for _, g in sized_grams(text):
         v += np.bincount(g, minlength=BUCKETS)
     v = np.sqrt(v).astype(np.float32)
     n = np.linalg.norm(v)
@@ -150,15 +150,65 @@ class Model:
         return best, float(min(1.0, max(0.0, share[f] * (votes[best] / pairs if pairs else 1.0))))
 
 
+class Typical:
+    """Whether a text reads like its language: the mean log probability of its three-letter grams, whatever the other languages.
+
+    One half of each language's texts gives the probabilities, the other half the usual mean (the median) and
+    its spread (from the median deviation).  A text is typical if its mean lies within ``width`` spreads below the
+    usual one, or nearer to it than to the same texts with their letters shuffled; the spread of short texts
+    is larger by that of single grams, which overlap in threes.  A language with fewer than ``least`` texts held out rejects nothing, and neither does a text without a gram.
+    """
+
+    def __init__(self, langs: list[str], texts: list[str], width: float = 6.0, least: int = 20):
+        self.width = width
+        self.known: dict[str, tuple] = {}
+        for lang in sorted(set(langs)):
+            mine = sorted(t for k, t in zip(langs, texts) if k == lang)
+            counts = np.ones(BUCKETS)
+            for t in mine[::2]:
+                counts += self._grams(t)
+            logs = np.log(counts / counts.sum())
+            held = [(float(logs @ g) / n, float(logs**2 @ g) / n, n) for g in map(self._grams, mine[1::2]) if (n := g.sum())]
+            if len(held) < least:
+                continue
+            mean, square, n = map(np.array, zip(*held))
+            usual, single = float(np.median(mean)), float(np.median(square - mean**2)) * 3
+            between = float(np.median((mean - usual) ** 2)) * 1.4826**2
+            rng = np.random.default_rng(3)
+            mixed = [float(logs @ g) / n for g in (self._grams("".join(rng.permutation(list(t[:STEP])))) for t in mine[1::2] if t) if (n := g.sum())]
+            self.known[lang] = (logs, usual, between, single, max(0.0, usual - float(np.median(mixed))) / 2)
+
+    @staticmethod
+    def _grams(text: str) -> np.ndarray:
+        v = np.zeros(BUCKETS, dtype=np.int64)
+        for k, g in sized_grams(text):
+            if k == 3:
+                v += np.bincount(g, minlength=BUCKETS)
+        return v
+
+    def holds(self, text: str, lang: str) -> bool:
+        if lang not in self.known:
+            return True
+        logs, usual, between, single, half = self.known[lang]
+        g = self._grams(text)
+        n = g.sum()
+        return not n or bool(float(logs @ g) / n >= usual - max(half, self.width * np.sqrt(between + single / n)))
+
+
+def sample(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000) -> tuple[list[str], list[str]]:
+    """Languages and texts to learn from, bounded as ``fit`` says."""
+    rows = docs.where(training & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"), F.xxhash64(F.col("doc_id"), F.lit(8)).alias("_o")).where(F.length("text") > 0)
+    got = bounded_sample(rows, "lang", per_language, F.col("_o"), max_chars).select("lang", "text").orderBy("lang", "text").collect()
+    return [r["lang"] for r in got], [r["text"] for r in got]
+
+
 def fit(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000) -> Model:
     """Learn from ``text`` and ``lang`` of the rows where ``training`` holds and lang is not null.
 
     The sample is bounded: at most ``per_language`` different texts and ``max_chars`` characters for each
     language, in hash order.  Nothing but text and lang is an input.
     """
-    rows = docs.where(training & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"), F.xxhash64(F.col("doc_id"), F.lit(8)).alias("_o")).where(F.length("text") > 0)
-    got = bounded_sample(rows, "lang", per_language, F.col("_o"), max_chars).select("lang", "text").orderBy("lang", "text").collect()
-    return Model([r["lang"] for r in got], [r["text"] for r in got])
+    return Model(*sample(docs, training, per_language, max_chars))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
@@ -178,3 +228,17 @@ def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
     return docs.select(*keep, guess(text_of()).alias("_guess")).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+
+
+def typical(docs: DataFrame, model: Model, known: Typical) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and reads like the language the model gives it.
+
+    Without languages in the model every text with a letter stays.
+    """
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    @arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        return pa.array([any(c.isalpha() for c in t) and (not model.langs or known.holds(t, model.predict(t)[0])) for t in texts.to_pylist()], pa.bool_())
+
+    return docs.where(stays(text_of()))

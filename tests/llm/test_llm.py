@@ -294,3 +294,18 @@ def test_pii_finds_other_forms(spark):
         at = dict(rows)[i].index(m)
         assert got[i] == f"{k}:{at}:{at + len(m)}"
     assert got[2000] == "" and all(got[i] == base(t) for i, t in rows[:500])
+
+
+def test_language_stage_rejects_noise(spark):
+    """Letter noise goes whatever the number of languages; texts of the languages, short ones too, stay; so do all with letters where no language is named."""
+    import corpus_pipeline
+
+    words = {"en": "the of and with that this", "de": "der und das mit nicht eine", "fr": "le les des avec une pour", "es": "el los que para una con"}
+    rng = np.random.default_rng(13)
+    for langs in (sorted(words), ["en"]):
+        rows = [(i, " ".join(rng.choice(words[k].split(), 3 + i % 60)), k) for i, k in enumerate(langs * (240 // len(langs)))]
+        noise = [(1000 + i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)), langs[0] if i % 2 else None) for i in range(6)]
+        d = spark.createDataFrame([*rows, *noise, (2000, "123 !!", None)], "doc_id long, text string, lang string")
+        assert sorted(r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()) == [r[0] for r in rows]
+    d = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()] == [1]
