@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from spanaccord.llm.common import components, cut, likely, text_of
 
-#: arrays that the indexed lines of one segment are dealt to
-SALTS = 8
+#: indexed lines of one segment that an array holds, on average; a segment has as many arrays as that takes
+BLOCK = 128
 #: characters after which a comparison looks whether its bands are empty
 RUN = 24
 
@@ -114,15 +114,26 @@ def _name(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(9), line).alias("b")]
 
 
+def _cuts(live: DataFrame) -> DataFrame:
+    """(key, cuts): arrays that the indexed lines of each key are dealt to; keys without one are missing."""
+    return live.where("indexed = 1").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("cuts"))
+
+
+def _index(probe: DataFrame) -> DataFrame:
+    """(key, s, others): the indexed lines of each key in its arrays."""
+    return probe.where("indexed = 1").groupBy("key", F.pmod(F.xxhash64("line"), F.col("cuts")).alias("s")).agg(F.collect_list(F.struct("line", "c")).alias("others"))
+
+
 def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
     """Links (a, b) between different lines within ``budget`` edits, both of at least ``min_chars`` characters.
 
     ``lines`` has the column line.  One shuffle of (key, least and greatest line number), added up inside
     every task first, finds the segments that different lines share; the keys of such segments alone are made
     again, and the lines under them fetched, through filters of fixed size and exact joins.  Line numbers are
-    48 bits of a hash: what they confuse is told apart by the texts.  Lines indexed under one key are dealt
-    to arrays and compared inside the row, so a frequent segment emits its links and not its pairs.  a and b
-    are 32 hex digits, a < b.
+    48 bits of a hash: what they confuse is told apart by the texts.  Lines indexed under one key are counted,
+    dealt to arrays of bounded size and compared inside the row, so a frequent segment emits its links and not
+    its pairs; the arrays of a key go to different tasks.  Every line under a key is still compared with every
+    one indexed there.  a and b are 32 hex digits, a < b.
     """
     long = lines.where(F.length("line") >= min_chars).select("line", F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
     keys = segment_keys(long, budget)
@@ -131,8 +142,8 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     wanted = live.select("i").distinct()
     texts = likely(long.select("i", "line"), "i", wanted).distinct().join(wanted, "i", "left_semi")
     texts = cut(texts.select("i", "line", codes(F.col("line"), budget).alias("c")))
-    probe = live.join(texts, "i").select("key", "indexed", "line", "c")
-    index = probe.where("indexed = 1").groupBy("key", F.pmod(F.xxhash64("line"), F.lit(SALTS)).alias("s")).agg(F.collect_list(F.struct("line", "c")).alias("others")).drop("s")
+    probe = live.join(_cuts(live), "key").join(texts, "i").select("key", "indexed", "cuts", "line", "c")
+    index = _index(probe)
     size = F.size("c")
     new = lambda x: (x["line"] < F.col("line")) | (F.size(x["c"]) < size)
 
@@ -141,7 +152,8 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
         return F.exists(F.array(ends), lambda e: within(x["c"], F.col("c"), budget, e["ahead"], e["behind"]))
 
     near = F.filter("others", lambda x: new(x) & (x["line"] != F.col("line")) & close(x))
-    found = probe.join(index, "key").select("line", F.explode(near).alias("o")).select(_hex(F.col("line")).alias("p"), _hex(F.col("o.line")).alias("q"))
+    met = probe.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).join(index, ["key", "s"])
+    found = met.select("line", F.explode(near).alias("o")).select(_hex(F.col("line")).alias("p"), _hex(F.col("o.line")).alias("q"))
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 

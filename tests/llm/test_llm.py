@@ -309,3 +309,19 @@ def test_language_stage_rejects_noise(spark):
         assert sorted(r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()) == [r[0] for r in rows]
     d = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()] == [1]
+
+
+def test_hot_segment_in_bounded_arrays(spark, monkeypatch):
+    """Many different lines under one segment: no array grows with the key, and the links stay those of brute force."""
+    monkeypatch.setattr(linededup, "BLOCK", 8)
+    seen, index = [], linededup._index
+    monkeypatch.setattr(linededup, "_index", lambda probe: seen.append(index(probe)) or seen[-1])
+    rng = np.random.default_rng(14)
+    lines = sorted({"2026-01-01 host INFO " + "".join(rng.choice(list("abcdefghijkl"), 20)) for _ in range(150)})
+    lines += sorted({v[:30] + "X" + v[31:] for v in lines[::10]} - set(lines))
+    named = spark.createDataFrame([(v,) for v in lines], "line string")
+    name = {r.h: r.line for r in named.select("line", linededup._hex(F.col("line")).alias("h")).collect()}
+    got = {frozenset((name[r.a], name[r.b])) for r in linededup.near_lines(named).collect()}
+    assert got == {frozenset(p) for p in itertools.combinations(lines, 2) if lev(*p) <= 2} and len(got) >= 15
+    sizes = [r.n for r in seen[0].select(F.size("others").alias("n")).collect()]
+    assert sum(sizes) > 150 and max(sizes) <= 24
