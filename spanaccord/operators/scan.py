@@ -56,6 +56,11 @@ def running_sum(expr) -> Spec:
     return Spec("running_sum", _c(expr))
 
 
+def running_xor(expr) -> Spec:
+    """Exclusive or of all rows up to and including this one; nulls count as 0."""
+    return Spec("running_xor", F.coalesce(_c(expr), F.lit(0).cast("long")))
+
+
 def max_before(expr) -> Spec:
     """Maximum over the rows before."""
     return Spec("max_before", _c(expr))
@@ -197,6 +202,11 @@ def scan(
                 .otherwise(F.coalesce(F.col(f"_l_{name}"), F.lit(0)) + F.col(c))
                 .alias(name)
             )
+        elif s.kind == "running_xor":
+            summaries.append(F.bit_xor(s.expr).alias(m))
+            carries.append(F.bit_xor(m).over(across_before).alias(c))
+            local.append((f"_l_{name}", F.bit_xor(s.expr).over(upto)))
+            joins.append(F.col(f"_l_{name}").bitwiseXOR(F.coalesce(F.col(c), F.lit(0).cast("long"))).alias(name))
         elif s.kind == "max_before":
             summaries.append(F.max(s.expr).alias(m))
             carries.append(F.max(m).over(across_before).alias(c))
@@ -250,6 +260,7 @@ def _plain(df, keys, order, specs, keep_piece) -> DataFrame:
         "last_before": lambda e: F.last(e, ignorenulls=True).over(before),
         "first_after": lambda e: F.first(e, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
         "running_sum": lambda e: F.sum(e).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "running_xor": lambda e: F.bit_xor(e).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "max_before": lambda e: F.max(e).over(before),
         "min_from": lambda e: F.min(e).over(w.rowsBetween(0, Window.unboundedFollowing)),
         "total": lambda e: F.sum(e).over(Window.partitionBy(*(keys or [PIECE]))),

@@ -64,7 +64,7 @@ def compare(spark, con, fn, sql, sf):
     note = ""
     for f in sdf.schema.fields:
         k, t = kinds.get(f.name), f.dataType.simpleString()
-        want = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(t)
+        want = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}.get(t)
         if k is not None and k != want:
             note += f" type {f.name}:{t}/{k}"
     if ca != cb:

@@ -23,7 +23,7 @@ def skewed(spark):
 def specs():
     return {
         "a": S.lag("v"), "b": S.lead("v"), "c": S.last_before("w"), "d": S.first_after("w"), "e": S.running_sum("v"),
-        "f": S.max_before("v"), "g": S.number(), "h": S.total("v"), "m": S.min_from("v"), "an": S.lag("w"),
+        "f": S.max_before("v"), "g": S.number(), "h": S.total("v"), "m": S.min_from("v"), "an": S.lag("w"), "x": S.running_xor("w"),
     }
 
 
@@ -40,6 +40,7 @@ def test_scan_equals_windows(spark, skewed, keys):
         "i", F.lag("v").over(w).alias("a"), F.lead("v").over(w).alias("b"), F.last("w", True).over(pre).alias("c"), F.first("w", True).over(post).alias("d"),
         F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("e"), F.max("v").over(pre).alias("f"), F.row_number().over(w).cast("long").alias("g"),
         F.sum("v").over(Window.partitionBy(*by)).alias("h"), F.min("v").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("m"), F.lag("w").over(w).alias("an"),
+        F.bit_xor(F.coalesce("w", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("x"),
     )
     cols = want.columns
     a = got.select(cols).toPandas().sort_values("i").reset_index(drop=True).astype("float64")
