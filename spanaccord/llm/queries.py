@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from spanaccord.llm import decontam, langid, lengths, linededup, packing, pii, quality, simhash, vafile, warc
+from spanaccord.llm import decontam, langid, lengths, linededup, negatives, packing, pii, prefixes, quality, rules, simhash, vafile, warc
 from spanaccord.llm.common import table
 
 #: where the public vocabularies lie; a parameter of every operator that needs one
@@ -71,8 +71,20 @@ def op10_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.verdicts(table(spark, sf, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mine(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label=negatives.moved_label)
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_va_top_k, op2_decontaminate, op3_warc_revisits, op4_length_histogram, op5_pii_boosting, op6_compression_quality,
-    op7_pack_differencing, op8_language_hierarchy, op9_line_dedup, op10_simhash,
+    op7_pack_differencing, op8_language_hierarchy, op9_line_dedup, op10_simhash, op11_quality_rules, op12_hard_negatives, op13_prefix_trie,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_quality_rules": rules.verdicts_sql(), "op12_hard_negatives": negatives.MINE_SQL, "op13_prefix_trie": prefixes.TRIE_SQL}
