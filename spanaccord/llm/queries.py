@@ -87,4 +87,4 @@ QUERIES = {f.__name__: f for f in (
     op1_va_top_k, op2_decontaminate, op3_warc_revisits, op4_length_histogram, op5_pii_boosting, op6_compression_quality,
     op7_pack_differencing, op8_language_hierarchy, op9_line_dedup, op10_simhash, op11_quality_rules, op12_hard_negatives, op13_prefix_trie,
 )}
-ORACLES: dict[str, str] = {"op11_quality_rules": rules.verdicts_sql(), "op12_hard_negatives": negatives.MINE_SQL, "op13_prefix_trie": prefixes.TRIE_SQL}
+ORACLES: dict[str, str] = {"op1_va_top_k": vafile.TOP_K_SQL, "op11_quality_rules": rules.verdicts_sql(), "op12_hard_negatives": negatives.MINE_SQL, "op13_prefix_trie": prefixes.TRIE_SQL}
