@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from spanaccord.llm.common import map_rows, text_of
+from spanaccord.settings import scratch
 
 #: characters of benchmark text that one pass holds; a larger benchmark takes several passes
 PASS_CHARS = 16_000_000
@@ -40,8 +41,8 @@ def unfolded(text: str, start: int, end: int) -> tuple[int, int]:
     return a or 0, b
 
 
-def budget(n: int, rate: float, min_chars: int) -> int:
-    return int(n * rate) if n >= min_chars else 0
+def budget(n: int, rate: float) -> int:
+    return int(n * rate)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -82,7 +83,7 @@ def search(pattern: dict[str, int], m: int, text: str, most: int) -> tuple[int,
 class Index:
     """Pieces of all items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
         self.items = []
@@ -91,7 +92,7 @@ class Index:
             t = fold(text)
             if not t:
                 continue
-            e = budget(len(t), rate, min_chars)
+            e = budget(len(t), rate)
             cutup = pieces(t, e)
             groups = {(size, g): self._group(cutup[g * size : (g + 1) * size], size) for size in GROUPS for g in range(-(-len(cutup) // size))}
             for j, (off, p) in enumerate(cutup):
@@ -145,16 +146,17 @@ class Index:
         return sorted(out, key=lambda r: (r[0] is None, r))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """(doc_id, item_id, distance, start, end): items that occur in a document within ``rate`` edits a character.
 
     Texts are compared in lower case with white space runs as one blank; start and end are code points of
-    the document's own text.  One row per pair, the nearest and then first place.  Items shorter than
-    ``min_chars`` must occur exactly; null and empty texts match nothing.  Equal items and repeated rows
+    the document's own text.  One row per pair, the nearest and then first place.  Items for
+    which the rate allows no edit must occur exactly; null and empty texts match nothing.  Equal items and repeated rows
     each give their own rows.
 
     The documents are not shuffled.  The benchmark is sized first; beyond ``PASS_CHARS`` characters it is
-    read in several passes of bounded size, so that no task holds more than one pass.
+    read in several passes of bounded size, each written to the shared folder before the next part of the benchmark
+    is fetched, so that neither a task nor the driver holds more than one part.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -165,7 +167,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars:
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()]
 
         def make(part=part):
-            index = Index(part, rate, min_chars)
+            index = Index(part, rate)
 
             def run(b: dict) -> dict:
                 got = [(d, *m) for d, t in zip(b["doc_id"], b["text"]) for m in index.find(t)]
@@ -174,11 +176,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars:
             return run
 
         found = map_rows(rows, make, "doc_id long, item_id long, distance long, start long, end long")
+        found = found if passes == 1 else _written(found, "matches")
         out = found if out is None else out.union(found)
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 40) -> DataFrame:
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item (see ``matches``)."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -186,17 +195,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_
     out = docs
     for p in range(passes):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()]
-        out = out.where(_clean(part, rate, min_chars)(text_of()))
+        out = out.where(_clean(part, rate)(text_of()))
+        out = out if passes == 1 else _written(out, "clean")
     return out
 
 
-def _clean(part: list[tuple], rate: float, min_chars: int):
+def _clean(part: list[tuple], rate: float):
     made: list[Index] = []
 
     @arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
         if not made:
-            made.append(Index(part, rate, min_chars))
+            made.append(Index(part, rate))
         return pa.array([not made[0].find(t) for t in texts.to_pylist()], pa.bool_())
 
     return clean
