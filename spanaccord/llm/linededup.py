@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanaccord.llm.common import components, cut, likely, text_of
 
 #: indexed lines of one segment that an array holds, on average; a segment has as many arrays as that takes
 BLOCK = 128
+#: (least characters, edits) of the length bands: shorter lines are copies only if equal
+BANDS = ((10, 1), (20, 2))
 #: characters after which a comparison looks whether its bands are empty
 RUN = 24
 
@@ -124,8 +128,8 @@ def _index(probe: DataFrame) -> DataFrame:
     return probe.where("indexed = 1").groupBy("key", F.pmod(F.xxhash64("line"), F.col("cuts")).alias("s")).agg(F.collect_list(F.struct("line", "c")).alias("others"))
 
 
-def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
-    """Links (a, b) between different lines within ``budget`` edits, both of at least ``min_chars`` characters.
+def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20, max_chars: int | None = None) -> DataFrame:
+    """Links (a, b) between different lines within ``budget`` edits, both of ``min_chars`` to ``max_chars`` characters.
 
     ``lines`` has the column line.  One shuffle of (key, least and greatest line number), added up inside
     every task first, finds the segments that different lines share; the keys of such segments alone are made
@@ -135,7 +139,7 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     its pairs; the arrays of a key go to different tasks.  Every line under a key is still compared with every
     one indexed there.  a and b are 32 hex digits, a < b.
     """
-    long = lines.where(F.length("line") >= min_chars).select("line", F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
+    long = lines.where((F.length("line") >= min_chars) & (F.lit(True) if max_chars is None else F.length("line") <= max_chars)).select("line", F.shiftrightunsigned(F.xxhash64("line"), 16).alias("i"))
     keys = segment_keys(long, budget)
     shared = cut(keys.groupBy("key").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max("indexed").alias("some")).where("lo < hi and some = 1").select("key"))
     live = cut(likely(keys, "key", shared).distinct().join(shared, "key", "left_semi"))
@@ -157,12 +161,22 @@ def near_lines(lines: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     return found.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def banded_lines(lines: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """Links between different lines, the edits allowed following the length of the shorter line.
+
+    ``bands``: (least characters, edits), rising.  A band takes its lines and those of the next ones that its edits
+    still reach from its longest line, so that pairs across two bands meet under the stricter budget.
+    """
+    found = [near_lines(lines, edits, least, None if i + 1 == len(bands) else bands[i + 1][0] - 1 + edits) for i, (least, edits) in enumerate(bands)]
+    return reduce(DataFrame.union, found).distinct()
+
+
 def _hex(line: Column) -> Column:
     return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (F.xxhash64(line), F.xxhash64(F.lit(9), line))])
 
 
-def repeated_lines(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
-    """(d, t, pos, near): occurrences of lines that repeat an earlier one, by equality or within ``budget`` edits.
+def repeated_lines(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
+    """(d, t, pos, near): occurrences of lines that repeat an earlier one, by equality or within the edits of their band.
 
     Links are followed: lines connected through others form a class, and the class keeps its first occurrence
     in the order of doc_id (null first), text hash and position.  ``near`` tells that the kept line is a
@@ -171,7 +185,7 @@ def repeated_lines(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> Dat
     occurs = _lines(docs).select("d", "t", "pos", *_name(F.col("line")))
     firsts = occurs.groupBy("a", "b").agg(F.min(F.struct("d", "t", "pos")).alias("k"), F.count("*").alias("n"))
     part = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("long")
-    classes = components(near_lines(_lines(docs), budget, min_chars)).select(part(1).alias("a"), part(17).alias("b"), "root")
+    classes = components(banded_lines(_lines(docs), bands)).select(part(1).alias("a"), part(17).alias("b"), "root")
     held = cut(firsts.join(classes, ["a", "b"], "left").where("n > 1 or root is not null").select("a", "b", "k", "root"))
     keeper = held.where("root is not null").groupBy("root").agg(F.min(F.struct("k", "a", "b")).alias("best"))
     near = (F.col("a") != F.col("best.a")) | (F.col("b") != F.col("best.b"))
@@ -189,7 +203,7 @@ def _beside(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     return rows.join(r, rows["_d"].eqNullSafe(r["d"]) & (rows["_t"] == r["t"]), "left").drop("d", "t")
 
 
-def line_report(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
+def line_report(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_copies, n_near, removed (positions from 0, comma-joined).
 
     n_lines counts lines that are not blank.  Blank lines are never removed; null and empty texts have no
@@ -198,27 +212,27 @@ def line_report(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFr
     x = text_of()
     rows = docs.select(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(x).alias("_t"), F.size(F.filter(F.split(x, "\n"), lambda v: F.trim(v) != "")).cast("long").alias("n_lines"))
     near = F.size(F.filter("gone", lambda g: g["near"]))
-    return _beside(rows, repeated_lines(docs, budget, min_chars)).withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<pos:int,near:boolean>>"))).select(
+    return _beside(rows, repeated_lines(docs, bands)).withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<pos:int,near:boolean>>"))).select(
         F.col("_d").alias("doc_id"), "n_lines", (F.size("gone") - near).cast("long").alias("n_copies"), near.cast("long").alias("n_near"),
         F.array_join(F.transform("gone", lambda g: g["pos"].cast("string")), ",").alias("removed"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, budget: int = 2, min_chars: int = 20) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS) -> DataFrame:
     """``docs`` with all columns, repeated lines taken out of ``text``.
 
     A document left without any line although it had some is a copy throughout and goes; null and empty
-    texts stay as they are.  ``n_chars``, where there is one, follows the text.
+    texts stay as they are.  ``n_chars``, where there is one, follows the text.  The row travels as one column, so
+    columns of any name may be beside those read.
     """
-    names = docs.columns
-    rows = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(text_of()))
-    both = _beside(rows, repeated_lines(docs, budget, min_chars))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(text_of()).alias("_t"))
+    both = _beside(rows, repeated_lines(docs, bands))
     gone = F.transform("gone", lambda g: g["pos"])
-    left = F.filter(F.split("text", "\n"), lambda v, i: ~F.array_contains(gone, i))
-    cleaned = both.withColumn("_left", F.when(F.col("gone").isNotNull(), left))
-    kept = cleaned.where("_left is null or exists(_left, v -> trim(v) <> '')")
-    text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    out = kept.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    left = F.when(F.col("gone").isNotNull(), F.filter(F.split(F.col("_row")["text"], "\n"), lambda v, i: ~F.array_contains(gone, i)))
+    kept = both.select("_row", left.alias("_left")).where("_left is null or exists(_left, v -> trim(v) <> '')")
+    text = F.array_join("_left", "\n")
+    new = {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    same = F.col("_left").isNull()
+    return kept.select(*[F.when(same, F.col("_row")[c]).otherwise(new[c]).alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
