@@ -276,12 +276,13 @@ def band_keys(fp: Column, radius: int, blocks: int) -> Column:
 
 
 def _grouped(prints: DataFrame, rows: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint."""
+    """(fp, component_id) for each distinct fingerprint."""
     found = components(near_links(rows, radius))
     ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    placed = ids.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(roots, "root").select("fp", "root", "component_id")
+    placed = ids.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    roots = placed.where("root is not null").groupBy("root").agg(F.min("least").alias("_least"))
+    # a fingerprint without a link is a component of its own
+    return placed.join(roots, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, blocks: int = 4, seed: int = 42) -> DataFrame:
@@ -367,7 +368,7 @@ def _sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t, shingle, seed)).astype("<u8").tobytes() for t in b.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(sets, pa.binary())], names=["root", "cuts", "fp", "same", "set"])
 
-    return rows.select("root", "cuts", "fp", "same", "text").mapInArrow(run, "root binary, cuts long, fp binary, same binary, set binary")
+    return rows.select("root", "cuts", "fp", "same", "text").mapInArrow(run, "root long, cuts long, fp binary, same binary, set binary")
 
 
 def _alike(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72, tables: int = 16, rows: int = 4, seed: int = 42, similarity: float = 0.8) -> DataFrame:
@@ -379,7 +380,8 @@ def _alike(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72,
     prints = cut(fingerprints(docs, shingle, words, seed, (tables, rows), True))
     wide = components(near_links(_keyed(prints), radius)).withColumnRenamed("node", "fp")
     sets = prints.groupBy("same").agg(F.min("fp").alias("fp"), F.max("n").alias("n"), F.min(F.struct("doc_id", "hash")).alias("who"))
-    placed = sets.join(wide, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    # a label may at worst bring more candidates together: the sets decide
+    placed = sets.join(wide, "fp", "left").withColumn("root", F.coalesce("root", F.xxhash64("fp")))
     cuts = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") * 8 / SET_BYTES)).cast("long")
     sizes = placed.groupBy("root").agg(F.count("*").alias("sets"), cuts.alias("cuts")).where("sets > 1").drop("sets")
     place = lambda i, h: F.xxhash64(i, h).alias("_at")
@@ -388,7 +390,8 @@ def _alike(docs: DataFrame, shingle: int = 5, words: int = 4, radius: int = 72,
     met = likely(texts, "_at", chosen.select("_at").distinct()).join(chosen, "_at").where(F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     links = jaccard_links(_sets(met.dropDuplicates(["same"]), shingle, seed), radius, similarity)
     found = components(links).withColumnRenamed("node", "same")
-    return prints.select("doc_id", "hash", "same").join(found, "same", "left").select("doc_id", "hash", F.coalesce("root", "same").alias("root"))
+    label = F.coalesce(F.unhex(F.lpad(F.hex("root"), 16, "0")), F.concat(F.lit(b"="), F.col("same")))
+    return prints.select("doc_id", "hash", "same").join(found, "same", "left").select("doc_id", "hash", label.alias("root"))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
