@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,18 +62,23 @@ def _features(text: str) -> np.ndarray:
     return v / n if n else v
 
 
-def _machine(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 1e-4, seed: int = 7) -> np.ndarray:
-    """Linear support vector machine by averaged sub-gradient steps; y is +1 or -1; the last weight is the bias."""
+def _machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 1e-4, seed: int = 7) -> np.ndarray:
+    """Linear support vector machine by averaged sub-gradient steps over some rows of x.
+
+    y is +1 or -1; the last weight is the bias.  Only one part of the rows is copied at a time.
+    """
     rng = np.random.default_rng(seed)
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-    w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    w, mean, t = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     for r in range(rounds):
         order = rng.permutation(len(y))
         for part in np.array_split(order, max(1, len(y) // 64)):
             t += 1
-            wrong = part[(x[part] @ w) * y[part] < 1]
-            w = w * (1 - 1 / (t + 10)) + (x[wrong].T @ (y[wrong] * weight[wrong])) / (len(part) * c * (t + 10)) if len(wrong) else w * (1 - 1 / (t + 10))
+            wrong = part[(x[rows[part]] @ w[:-1] + w[-1]) * y[part] < 1]
+            w = w * (1 - 1 / (t + 10))
+            if len(wrong):
+                push = y[wrong] * weight[wrong] / (len(part) * c * (t + 10))
+                w += np.r_[x[rows[wrong]].T @ push, push.sum()]
             norm = np.linalg.norm(w)
             if norm > 1 / np.sqrt(c):
                 w /= norm * np.sqrt(c)
@@ -103,25 +109,26 @@ class Model:
         self.members = {f: [x for x in self.langs if family(x) == f] for f in self.families}
         x = np.array([_features(t) for t in texts]) if texts else np.zeros((0, BUCKETS))
         lang, fam = np.array(langs), np.array([family(v) for v in langs])
+        every = np.arange(len(x))
         self.tasks: list[tuple] = []
         rows: list[np.ndarray] = []
         scales: list[float] = []
 
-        def learn(task: tuple, data: np.ndarray, y: np.ndarray) -> None:
-            w = _machine(data, y)
+        def learn(task: tuple, on: np.ndarray, y: np.ndarray) -> None:
+            w = _machine(x, on, y)
             self.tasks.append(task)
             rows.append(w)
-            scales.append(_scale(data @ w[:-1] + w[-1], y))
+            scales.append(_scale(np.array([x[i] @ w[:-1] for i in on]) + w[-1], y))
 
         if len(self.families) == 2:
-            learn(("family", self.families[0]), x, np.where(fam == self.families[0], 1.0, -1.0))
+            learn(("family", self.families[0]), every, np.where(fam == self.families[0], 1.0, -1.0))
         elif len(self.families) > 2:
             for f in self.families:
-                learn(("family", f), x, np.where(fam == f, 1.0, -1.0))
+                learn(("family", f), every, np.where(fam == f, 1.0, -1.0))
         for f in self.families:
             for a, b in itertools.combinations(self.members[f], 2):
-                on = (lang == a) | (lang == b)
-                learn((f, a, b), x[on], np.where(lang[on] == a, 1.0, -1.0))
+                on = np.flatnonzero((lang == a) | (lang == b))
+                learn((f, a, b), on, np.where(lang[on] == a, 1.0, -1.0))
         self.weights = np.array(rows) if rows else np.zeros((0, BUCKETS + 1))
         self.scales = np.array(scales)
 
@@ -150,13 +157,18 @@ class Model:
         return best, float(min(1.0, max(0.0, share[f] * (votes[best] / pairs if pairs else 1.0))))
 
 
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    return rng.permutation(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Typical:
     """Whether a text reads like its language: the mean log probability of its three-letter grams, whatever the other languages.
 
     One half of each language's texts gives the probabilities, the other half the usual mean (the median) and
     its spread (from the median deviation).  A text is typical if its mean lies within ``width`` spreads below the
     usual one, or nearer to it than to the same texts with their letters shuffled; the spread of short texts
-    is larger by that of single grams, which overlap in threes.  A language with fewer than ``least`` texts held out rejects nothing, and neither does a text without a gram.
+    is larger by that of single grams, which overlap in threes.  Of a language with few texts each half is
+    held against the other; one with fewer than ``least`` texts in all rejects nothing, and neither does a text without a gram.
     """
 
     def __init__(self, langs: list[str], texts: list[str], width: float = 6.0, least: int = 20):
@@ -164,20 +176,29 @@ class Typical:
         self.known: dict[str, tuple] = {}
         for lang in sorted(set(langs)):
             mine = sorted(t for k, t in zip(langs, texts) if k == lang)
-            counts = np.ones(BUCKETS)
-            for t in mine[::2]:
-                counts += self._grams(t)
-            logs = np.log(counts / counts.sum())
-            held = [(float(logs @ g) / n, float(logs**2 @ g) / n, n) for g in map(self._grams, mine[1::2]) if (n := g.sum())]
+            logs, held, mixed = self._halves(mine[::2], mine[1::2])
+            if len(held) < least:
+                # few texts: each half is also held against the other
+                _, more, turned = self._halves(mine[1::2], mine[::2])
+                held, mixed = held + more, mixed + turned
             if len(held) < least:
                 continue
             mean, square, n = map(np.array, zip(*held))
             usual, single = float(np.median(mean)), float(np.median(square - mean**2)) * 3
             between = float(np.median((mean - usual) ** 2)) * 1.4826**2
-            rng = np.random.default_rng(3)
-            mixed = [float(logs @ g) / n for g in (self._grams("".join(rng.permutation(list(t[:STEP])))) for t in mine[1::2] if t) if (n := g.sum())]
             self.known[lang] = (logs, usual, between, single, max(0.0, usual - float(np.median(mixed))) / 2)
 
+    def _halves(self, learn: list[str], hold: list[str]) -> tuple[np.ndarray, list[tuple], list[float]]:
+        """Log probabilities of one half's grams, (mean, mean square, number) of each text of the other half, and the means of those shuffled."""
+        counts = np.ones(BUCKETS)
+        for t in learn:
+            counts += self._grams(t)
+        logs = np.log(counts / counts.sum())
+        held = [(float(logs @ g) / n, float(logs**2 @ g) / n, n) for g in map(self._grams, hold) if (n := g.sum())]
+        rng = np.random.default_rng(3)
+        mixed = [float(logs @ g) / n for g in (self._grams(_shuffled(t, rng)) for t in hold if t) if (n := g.sum())]
+        return logs, held, mixed
+
     @staticmethod
     def _grams(text: str) -> np.ndarray:
         v = np.zeros(BUCKETS, dtype=np.int64)
@@ -195,20 +216,39 @@ class Typical:
         return not n or bool(float(logs @ g) / n >= usual - max(half, self.width * np.sqrt(between + single / n)))
 
 
-def sample(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000) -> tuple[list[str], list[str]]:
-    """Languages and texts to learn from, bounded as ``fit`` says."""
+def sample(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000, languages: int = 64) -> DataFrame:
+    """(lang, text): languages and texts to learn from, bounded as ``fit`` says."""
     rows = docs.where(training & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_of().alias("text"), F.xxhash64(F.col("doc_id"), F.lit(8)).alias("_o")).where(F.length("text") > 0)
-    got = bounded_sample(rows, "lang", per_language, F.col("_o"), max_chars).select("lang", "text").orderBy("lang", "text").collect()
-    return [r["lang"] for r in got], [r["text"] for r in got]
+    return bounded_sample(rows, "lang", per_language, F.col("_o"), max_chars, classes=languages).select("lang", "text")
 
 
-def fit(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000) -> Model:
+def _learnt(rows: DataFrame, kinds: tuple[type, ...]) -> list:
+    """Objects of the given classes made from a bounded sample in one task: the driver holds their fields and no text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        made = [k([r[0] for r in got], [r[1] for r in got]).__dict__ for k in kinds]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["fields"])
+
+    made = rows.repartition(1).mapInArrow(run, "fields binary").first()
+    out = []
+    for k, fields in zip(kinds, [k([], []).__dict__ for k in kinds] if made is None else pickle.loads(bytes(made[0]))):
+        out.append(k.__new__(k))
+        out[-1].__dict__.update(fields)
+    return out
+
+
+def fit(docs: DataFrame, training: Column, per_language: int = 500, max_chars: int = 3_000_000, languages: int = 64) -> Model:
     """Learn from ``text`` and ``lang`` of the rows where ``training`` holds and lang is not null.
 
-    The sample is bounded: at most ``per_language`` different texts and ``max_chars`` characters for each
-    language, in hash order.  Nothing but text and lang is an input.
+    The sample is bounded: at most ``per_language`` different texts and ``max_chars`` characters, in hash order, for each
+    of the ``languages`` most frequent values of lang.  Nothing but text and lang is an input.
     """
-    return Model(*sample(docs, training, per_language, max_chars))
+    return _learnt(sample(docs, training, per_language, max_chars, languages), (Model,))[0]
+
+
+def fit_typical(docs: DataFrame, training: Column, **bounds) -> tuple[Model, Typical]:
+    """The model of ``fit`` and what its languages usually read like, from the same sample."""
+    return tuple(_learnt(sample(docs, training, **bounds), (Model, Typical)))
 
 
 def predict(docs: DataFrame, model: Model, keep: list[Column]) -> DataFrame:
