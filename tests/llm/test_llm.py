@@ -51,6 +51,20 @@ def test_top_k_brute_force(spark):
     assert got == want
 
 
+def test_top_k_large_ids_and_components(spark):
+    """Ids above 2**53 stay apart, large components are multiplied exactly, scores beyond 64 bits stand at the bound."""
+    top = 2**60
+    rows = [(top + i, [1.0 + i / 256, 0.5]) for i in (0, 1, 50, 60, 70)] + [(i, [400000.0 + i, -300000.0]) for i in range(7)] + [(1000 + i, [3e38 / (i + 1)] * 2) for i in range(3)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vafile.top_k(d, d.where(f"vec_id in ({top}, 0, 1000)")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    ints = {i: [max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)))) for x in v] for i, v in rows}
+    for q in (top, 0, 1000):
+        best = sorted((-min(2**63 - 1, sum(a * b for a, b in zip(ints[q], ints[i]))), i) for i in ints if i != q)[:5]
+        assert got[q] == {r + 1: (i, -s) for r, (s, i) in enumerate(best)}
+
+
 def test_decontamination(spark):
     item = "An item of the test set that is certainly long enough to allow some edits in it."
     edited = item.replace("certainly", "certanly").replace("some", "sme")
@@ -63,6 +77,18 @@ def test_decontamination(spark):
     assert decontam.matches(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_short_items(spark, monkeypatch):
+    """The edit budget follows the length of every item, and a benchmark of several passes gives the same rows."""
+    items = [(1, "thirty-eight characters of test item."), (2, "sixteen letters.")]
+    rows = [(1, "so thirty-eight charapters of test item. it is"), (2, "the sixteen lettars. of"), (3, "the sixtean lettars. of"), (4, "clean")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(1, 1, 1), (2, 2, 1)}
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs(spark, rows), bench).collect()} == want
+    monkeypatch.setattr(decontam, "PASS_CHARS", 10)
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs(spark, rows), bench).collect()} == want
+    assert {r.doc_id for r in decontam.without_leaks(docs(spark, rows), bench).collect()} == {3, 4}
+
+
 def test_edit_search_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -311,6 +337,15 @@ def test_language_stage_rejects_noise(spark):
     assert [r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()] == [1]
 
 
+def test_short_lines_by_band(spark):
+    """Lines of 10 to 19 characters link at one edit, longer ones at two, a pair across the two under the stricter budget."""
+    lines = ["nineteen characters", "nineteen charactors", "nineteen charakters!", "nineteen charakkers!", "ten chars.", "ten charz.", "too short", "too shert", "a line of twenty-odd letters", "a line of twentyodd leters"]
+    named = spark.createDataFrame([(v,) for v in lines], "line string")
+    name = {r.h: r.line for r in named.select("line", linededup._hex(F.col("line")).alias("h")).collect()}
+    got = {frozenset((name[r.a], name[r.b])) for r in linededup.banded_lines(named).collect()}
+    assert got == {frozenset((a, b)) for a, b in itertools.combinations(lines, 2) if min(len(a), len(b)) >= 10 and lev(a, b) <= (1 if min(len(a), len(b)) < 20 else 2)}
+
+
 def test_hot_segment_in_bounded_arrays(spark, monkeypatch):
     """Many different lines under one segment: no array grows with the key, and the links stay those of brute force."""
     monkeypatch.setattr(linededup, "BLOCK", 8)

@@ -114,7 +114,7 @@ def test_prefix_trie_brute_force(spark, size, monkeypatch):
     assert prefixes.prefix_trie(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op11_quality_rules", "op12_hard_negatives", "op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op1_va_top_k", "op11_quality_rules", "op12_hard_negatives", "op13_prefix_trie"])
 def test_sql(spark, name):
     msg, ok = compare(spark, duck(SMALL), queries.QUERIES[name], queries.ORACLES[name], SMALL)
     assert ok, msg
