@@ -20,8 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The model learns from the stage's own documents, as in the query of the operator.  What a language usually
     reads like is learnt beside it (``langid.Typical``), so the bound does not depend on the number of languages.
     """
-    learnt = langid.sample(docs, F.lit(True))
-    return langid.typical(docs, langid.Model(*learnt), langid.Typical(*learnt))
+    return langid.typical(docs, *langid.fit_typical(docs, F.lit(True)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
