@@ -9,7 +9,8 @@ things keep it distributed:
   uses them and the pieces can be solved apart.  The cuts come from ordered
   scans, so one very long window is spread too.
 * A piece is one row of arrays; a vectorised function maps arrays to steps and
-  the rest stays in the engine.
+  the rest stays in the engine.  It keeps the cells near the diagonal only, so
+  that its memory grows with the units within reach of one another.
 
 Among equally good alignments the choice at the end of a piece can depend on
 whether the next piece begins with additions.  Each piece is therefore solved
@@ -18,6 +19,8 @@ for both cases, and a scan over the pieces picks the case.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -37,65 +40,88 @@ _STEPS = T.StructType([
 _EDIT = T.StructType([
     T.StructField("cost", T.DoubleType()), T.StructField("left", T.ArrayType(T.IntegerType())), T.StructField("gap_of", T.ArrayType(T.IntegerType())),
 ])
-_LOW = -(10**9)
 
 
-def _tables(r0, r1, ok, parts, h0, h1, lab, match, mismatch, gap, far):
-    """Score table plus, per step kind, where that step may end."""
-    n, m = len(r0), len(h0)
-    near = (np.abs(h0[None, :] - r0[:, None]) <= far) & (np.abs(h1[None, :] - r1[:, None]) <= far)
-    one = np.full((n, m), _LOW)
-    many = {k: np.zeros((n, m), bool) for k in range(2, MAX_SPAN + 1)}
-    for i in range(n):
-        good = set(ok[i]) if ok[i] is not None else ()
-        for j in np.flatnonzero(near[i]):
-            one[i, j] = match if lab[j] in good else mismatch
-        k = len(parts[i])
-        if 2 <= k <= MAX_SPAN:
-            sets = [set(p) if p is not None else () for p in parts[i]]
-            for j in range(k - 1, m):
-                f = j - k + 1
-                if abs(h0[f] - r0[i]) <= far and abs(h1[j] - r1[i]) <= far and all(lab[f + q] in sets[q] for q in range(k)):
-                    many[k][i, j] = True
-    step = -gap * np.arange(m + 1)
-    s = np.empty((n + 1, m + 1), dtype=np.int64)
-    s[0] = -step
-    for i in range(n):
-        best = s[i] + gap
-        best[1:] = np.maximum(best[1:], s[i, :-1] + one[i])
-        for k, at in many.items():
-            for j in np.flatnonzero(at[i]):
-                best[j + 1] = max(best[j + 1], s[i, j + 1 - k] + match * k)
-        s[i + 1] = np.maximum.accumulate(best + step) - step  # additions to the left, all at once
-    return s, one, many
+class _Band:
+    """Best scores of the cells that a pair can reach, row by row; all other cells follow from these.
+
+    Units of both sides come by start, so the hypothesis units within ``far`` of a reference unit are a run whose ends never
+    fall.  Row i (after i reference units) is kept from the first such unit of reference i - 1 to the last that any
+    before it may use.  Right of that only additions are left, and a column left of a row's start has not changed,
+    but for omissions, since the last row that held it.
+    """
+
+    def __init__(self, r0, r1, ok, parts, h0, h1, lab, match, mismatch, gap, far):
+        n, m = len(r0), len(h0)
+        self.n, self.m, self.gap = n, m, gap
+        self.one: dict[tuple[int, int], int] = {}
+        self.many: dict[tuple[int, int, int], int] = {}
+        self.start, self.rows = [0], [np.zeros(1, dtype=np.int64)]
+        lo = np.searchsorted(h0, r0 - far - 1e-6, "left")
+        hi = np.searchsorted(h0, r0 + far + 1e-6, "right")
+        top = 0
+        for i in range(n):
+            a = int(lo[i])
+            top = max(top, min(m, int(hi[i]) + MAX_SPAN - 1))
+            prev = self._from(i, a, top)
+            best = prev + gap
+            good = set(ok[i]) if ok[i] is not None else ()
+            near = a + np.flatnonzero((np.abs(h0[a : hi[i]] - r0[i]) <= far) & (np.abs(h1[a : hi[i]] - r1[i]) <= far))
+            for j in near.tolist():
+                self.one[i, j] = match if lab[j] in good else mismatch
+                best[j + 1 - a] = max(best[j + 1 - a], prev[j - a] + self.one[i, j])
+            k = len(parts[i])
+            if 2 <= k <= MAX_SPAN:
+                sets = [set(p) if p is not None else () for p in parts[i]]
+                for f in range(a, min(int(hi[i]), m - k + 1)):
+                    j = f + k - 1
+                    if abs(h0[f] - r0[i]) <= far and abs(h1[j] - r1[i]) <= far and all(lab[f + q] in sets[q] for q in range(k)):
+                        self.many[k, i, j] = match * k
+                        best[j + 1 - a] = max(best[j + 1 - a], prev[f - a] + match * k)
+            if a:
+                best[0] = max(best[0], self.at(i, a - 1) + 2 * gap)
+            step = -gap * np.arange(len(best))
+            self.start.append(a)
+            self.rows.append(np.maximum.accumulate(best + step) - step)      # additions to the left, all at once
+
+    def _from(self, i: int, a: int, top: int) -> np.ndarray:
+        """Row i from column a to column top."""
+        row, skip = self.rows[i], a - self.start[i]
+        known = row[skip:] if skip < len(row) else row[-1:] + self.gap * (skip - len(row) + 1)
+        return np.concatenate([known, known[-1] + self.gap * np.arange(1, top - a + 2 - len(known))])
+
+    def at(self, i: int, j: int) -> int:
+        k = bisect_right(self.start, j, 0, i + 1) - 1
+        row, x = self.rows[k], j - self.start[k]
+        value = row[x] if x < len(row) else row[-1] + self.gap * (x - len(row) + 1)
+        return int(value) + self.gap * (i - k)
 
 
 #: kinds of a step: addition before all units of a piece, omission made while additions are open, other
 _LEAD, _OPEN, _BODY = 0, 1, 2
 
 
-def _walk(s, one, many, match, gap, pending):
+def _walk(s: _Band, pending: bool):
     """Steps from the end; ``pending`` means additions of a later piece are still open."""
-    i, j = s.shape[0] - 1, s.shape[1] - 1
+    i, j, gap = s.n, s.m, s.gap
     out = []
     if pending:
-        while i > 0 and s[i, j] == s[i - 1, j] + gap:
+        while i > 0 and s.at(i, j) == s.at(i - 1, j) + gap:
             i -= 1
             out.append((i, -1, 0, _OPEN))
     closed = i > 0
     while i > 0:
-        took = None
-        if j > 0:
-            for k in range(2, MAX_SPAN + 1):
-                if j >= k and many[k][i - 1, j - 1] and s[i, j] == s[i - 1, j - k] + match * k:
-                    took = (i - 1, j - k, k)
-                    break
-            if took is None and one[i - 1, j - 1] > _LOW and s[i, j] == s[i - 1, j - 1] + one[i - 1, j - 1]:
-                took = (i - 1, j - 1, 1)
+        took, now = None, s.at(i, j)
+        for k in range(2, MAX_SPAN + 1):
+            if (k, i - 1, j - 1) in s.many and now == s.at(i - 1, j - k) + s.many[k, i - 1, j - 1]:
+                took = (i - 1, j - k, k)
+                break
+        if took is None and (i - 1, j - 1) in s.one and now == s.at(i - 1, j - 1) + s.one[i - 1, j - 1]:
+            took = (i - 1, j - 1, 1)
         if took is not None:
             out.append((*took, _BODY))
             i, j = took[0], took[1]
-        elif s[i, j] == s[i - 1, j] + gap:
+        elif now == s.at(i - 1, j) + gap:
             i -= 1
             out.append((i, -1, 0, _BODY))
         else:
@@ -111,9 +137,9 @@ def _solve(r0: pd.Series, r1: pd.Series, ok: pd.Series, parts: pd.Series, h0: pd
     rows = []
     for a0, a1, o, p, b0, b1, l, ma, mi, ga, fa in zip(r0, r1, ok, parts, h0, h1, lab, match, mismatch, gap, far):
         arr = lambda x: np.asarray(x, dtype=float)
-        s, one, many = _tables(arr(a0), arr(a1), o, p, arr(b0), arr(b1), l, ma, mi, ga, fa)
-        sa, oa = _walk(s, one, many, ma, ga, False)
-        sb, ob = _walk(s, one, many, ma, ga, True)
+        s = _Band(arr(a0), arr(a1), o, p, arr(b0), arr(b1), l, ma, mi, ga, fa)
+        sa, oa = _walk(s, False)
+        sb, ob = _walk(s, True)
         d = lambda x: [{"r": r, "h": h, "k": k, "c": c} for r, h, k, c in x[::-1]]
         rows.append((d(sa), d(sb), oa, ob))
     return pd.DataFrame(rows, columns=["a", "b", "oa", "ob"])
@@ -131,7 +157,8 @@ def label_compat(labels: DataFrame, label_map: DataFrame) -> DataFrame:
 def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs: list[dict] | None = None) -> DataFrame:
     """A1, A2: typed alignment of evaluable units per (file, window), for each parameter set.
 
-    ``ref``: file_id, ipu_id, unit_id, t_start, t_end, label_source, phone_class.
+    ``ref``: file_id, ipu_id, unit_id, t_start, t_end, label_source, phone_class, and where known the window's
+    ipu_start and ipu_end; where these are null or missing the units' own times bound the window.
     ``hyp``: file_id, unit_id, t_start, t_end, label, phone_class.
     Files without units on one of the sides are left out.
     """
@@ -139,7 +166,8 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
     labels = ref.select(F.col("label_source").alias("label"))
     ref = ref.withColumn("ipu_id", F.coalesce("ipu_id", F.lit("_nofile")))
     ref = ref.join(hyp.select("file_id").distinct(), "file_id", "left_semi")
-    windows = build_windows(ref)
+    times = [c if c in ref.columns else None for c in ("ipu_start", "ipu_end")]
+    windows = build_windows(ref, w_start=times[0], w_end=times[1])
     h = assign_windows(hyp, windows, ["file_id"])
     cfg = F.explode(F.array(*[
         F.struct(*[F.lit(c[k]).alias(k) for k in ("config", "match", "mismatch", "gap", "far")]) for c in (configs or [DEFAULT])

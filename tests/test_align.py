@@ -1,6 +1,8 @@
 """Alignment against a direct solution of whole windows, and small worked cases."""
 
 import random
+
+import numpy as np
 from functools import lru_cache
 
 import pytest
@@ -132,6 +134,43 @@ def test_shift_of_both_sides_changes_nothing(spark, label_map):
     assert len(refs) == len(set(refs)) == ref.count()
 
 
+def test_window_times_keep_additions(spark, label_map):
+    """Units beside the reference units but inside the window are additions; without window times they are outside."""
+    r, h = sides(spark, [([("r1", 2.0, 2.1, "a")], [("h0", 1.0, 1.1, "b"), ("h1", 2.0, 2.1, "a"), ("h2", 3.0, 3.1, "c"), ("h3", 9.0, 9.1, "c")])])
+    rows = lambda d: [(x.ref_unit_id, tuple(x.hyp_unit_ids), x.error_type) for x in A.align_windows(d, h, label_map).orderBy("position").collect()]
+    wide = r.withColumn("ipu_start", F.lit(0.5)).withColumn("ipu_end", F.lit(4.0))
+    assert rows(wide) == [(None, ("h0",), "insertion"), ("r1", ("h1",), "displacement"), (None, ("h2",), "insertion")]
+    assert rows(r) == [("r1", ("h1",), "displacement")] == rows(wide.withColumn("ipu_start", F.lit(None).cast("double")).withColumn("ipu_end", F.lit(None).cast("double")))
+
+
+def test_band_equals_full_table():
+    """Scores of all cells, kept or not, are those of the full table."""
+    rng = random.Random(9)
+    for _ in range(200):
+        n, m, far = rng.randint(0, 9), rng.randint(0, 12), rng.choice([0.05, 0.15, 0.4, 5.0])
+        r0 = sorted(rng.uniform(0, 2) for _ in range(n))
+        h0 = sorted(rng.uniform(0, 2) for _ in range(m))
+        r1, h1 = [x + rng.uniform(0, 0.3) for x in r0], [x + rng.uniform(0, 0.3) for x in h0]
+        lab = [rng.choice("abc") for _ in range(m)]
+        parts = [[[p] for p in rng.choice(["a", "b", "ab", "bca"])] for _ in range(n)]
+        ok = [p[0] if len(p) == 1 else None for p in parts]
+        s = A._Band(np.array(r0), np.array(r1), ok, parts, np.array(h0), np.array(h1), lab, 2, -1, -2, far)
+        full = [[-2 * j for j in range(m + 1)]]
+        for i in range(n):
+            row = []
+            for j in range(m + 1):
+                c = [full[i][j] - 2] + ([row[j - 1] - 2] if j else [])
+                near = lambda f, e: abs(h0[f] - r0[i]) <= far and abs(h1[e] - r1[i]) <= far  # noqa: B023, E731
+                if j and near(j - 1, j - 1):
+                    c.append(full[i][j - 1] + (2 if ok[i] and lab[j - 1] in ok[i] else -1))
+                k = len(parts[i])
+                if 2 <= k <= min(3, j) and near(j - k, j - 1) and all(lab[j - k + q] in parts[i][q] for q in range(k)):
+                    c.append(full[i][j - k] + 2 * k)
+                row.append(max(c))
+            full.append(row)
+        assert [[s.at(i, j) for j in range(m + 1)] for i in range(n + 1)] == full
+
+
 def test_sweep_far_limit(spark, label_map):
     r, h = sides(spark, [([("r1", 0.0, 0.3, "a")], [("h1", 0.1, 0.3, "a")])])
     grid = [dict(A.DEFAULT, config="near", far=0.05), A.DEFAULT]
