@@ -10,7 +10,11 @@ from spanaccord.plans.oracle import ALN, HYP, MAP, UNITS, words
 from spanaccord.plans.registry import query
 
 SQUEEZE = 200000.0
-GRID = [dict(A.DEFAULT, config=f"far={f}", far=f) for f in (0.05, 0.15, 0.3)]
+GRID = [dict(A.DEFAULT, config=f"far{round(1000 * f)}", far=f) for f in (0.10, 0.15, 0.20)]
+#: seconds by which a dense window is wider than its units
+MARGIN = 0.2
+#: reference labels made of several, and the parts that the hypothesis has in their place
+PLANTED = [("signup", 5, 1, ("signup", "click")), ("purchase", 7, 2, ("purchase", "click", "error"))]
 
 
 def sides(spark, sf, squeeze=None):
@@ -38,23 +42,96 @@ def a01(spark, sf):
     return a.select("file_id", "ipu_id", "ref_unit_id", F.array_join("hyp_unit_ids", ";").alias("hyp_unit_id"), "phone_class", "error_type", "onset_error_ms", "offset_error_ms")
 
 
-@query("a01_align_dense")
+def dense_sides(spark, sf):
+    """Dense units with window times, and labels of two and three parts for which the other side has a unit each."""
+    u = settings.cut(B.windowed_units(spark, sf))
+    u = u.withColumn("t_start", F.col("t_start") / SQUEEZE).withColumn("t_end", F.col("t_end") / SQUEEZE)
+    spans = u.groupBy("file_id", "ipu_id").agg((F.min("t_start") - MARGIN).alias("ipu_start"), (F.max("t_end") + MARGIN).alias("ipu_end"))
+    label = lambda c, parts: F.when((F.col("label") == c[0]) & (F.col("event_id") % c[1] == c[2]), parts)
+    source = F.coalesce(*[label(c, F.lit("+".join(c[3]))) for c in PLANTED], F.col("label"))
+    r = P.evaluable(u).join(spans, ["file_id", "ipu_id"]).withColumn("label_source", source)
+    parts = F.coalesce(*[F.when(F.col("unit_id").startswith("h"), label(c, F.array(*map(F.lit, c[3])))) for c in PLANTED], F.array("label"))
+    h = B.hyp_units(spark, sf, u).withColumn("_parts", parts)
+    h = h.select("file_id", "event_id", "unit_id", "t_start", "t_end", "phone_class", F.size("_parts").alias("_k"), F.posexplode("_parts").alias("_q", "label"))
+    at = lambda q: F.col("t_start") + (F.col("t_end") - F.col("t_start")) * q / F.col("_k")
+    name = F.when(F.col("_k") > 1, F.concat("unit_id", F.lit("."), F.col("_q").cast("string"))).otherwise(F.col("unit_id"))
+    return r, h.select("file_id", "event_id", name.alias("unit_id"), at(F.col("_q")).alias("t_start"), at(F.col("_q") + 1).alias("t_end"), "label", "phone_class")
+
+
+def _case(parts, other):
+    return "CASE " + " ".join(f"WHEN label = '{c}' AND event_id % {n} = {k} THEN {parts(p)}" for c, n, k, p in PLANTED) + f" ELSE {other} END"
+
+
+def dense_sql(configs) -> str:
+    """The whole table of every window row by row, then the steps back from its end."""
+    source = _case(lambda p: f"'{'+'.join(p)}'", "label")
+    parts = f"CASE WHEN unit_id NOT LIKE 'h%' THEN [label] ELSE {_case(lambda p: str(list(p)), '[label]')} END"
+    return f"""WITH RECURSIVE {UNITS},
+  sq AS (SELECT * REPLACE (t_start / {SQUEEZE}::DOUBLE AS t_start, t_end / {SQUEEZE}::DOUBLE AS t_end) FROM ref),
+  {HYP.replace("FROM ref", "FROM sq")}, {MAP},
+  spans AS (SELECT file_id, ipu_id, min(t_start) - {MARGIN}::DOUBLE AS a, max(t_end) + {MARGIN}::DOUBLE AS b FROM sq GROUP BY 1, 2),
+  hyp1 AS (SELECT *, {parts} AS p FROM hyp), hyp2 AS (SELECT file_id, unit_id, t_start, t_end, phone_class, p, unnest(range(0, len(p))) AS q FROM hyp1),
+  h AS (SELECT file_id, CASE WHEN len(p) > 1 THEN unit_id || '.' || q ELSE unit_id END AS unit_id, t_start + (t_end - t_start) * q / len(p) AS t_start, t_start + (t_end - t_start) * (q + 1) / len(p) AS t_end, p[q + 1] AS label, phone_class FROM hyp2),
+  r AS (SELECT file_id, ipu_id, unit_id, t_start, t_end, {source} AS src, phone_class, row_number() OVER (PARTITION BY file_id, ipu_id ORDER BY t_start, unit_id) AS i FROM sq
+    WHERE excluded_reason IS NULL AND boundary_source_start = 'measured' AND boundary_source_end = 'measured' AND file_id IN (SELECT file_id FROM h)),
+  hw AS (SELECT h.*, w.ipu_id, row_number() OVER (PARTITION BY h.file_id, w.ipu_id ORDER BY t_start, unit_id) AS j FROM h JOIN (SELECT * FROM spans SEMI JOIN r USING (file_id, ipu_id)) w ON w.file_id = h.file_id
+    AND t_end > a AND t_start < b AND ((a <= (t_start + t_end) / 2 AND (t_start + t_end) / 2 < b) OR (t_start >= a AND t_end <= b))),
+  cfg AS (SELECT * FROM (VALUES {", ".join(f"('{c['config']}', {c['far']}::DOUBLE)" for c in configs)}) v(config, far)),
+  sizes AS (SELECT config, far, file_id, ipu_id, n, coalesce(m, 0) AS m FROM (SELECT file_id, ipu_id, count(*) AS n FROM r GROUP BY 1, 2) LEFT JOIN (SELECT file_id, ipu_id, count(*) AS m FROM hw GROUP BY 1, 2) USING (file_id, ipu_id), cfg),
+  cells AS (SELECT config, file_id, ipu_id, r.i, e.j, CASE WHEN abs(e.t_start - r.t_start) <= far AND abs(e.t_end - r.t_end) <= far THEN CASE WHEN EXISTS (SELECT 1 FROM lm WHERE source_label = src AND machine_label = e.label) THEN 2 ELSE -1 END END AS one,
+    CASE WHEN len(string_split(src, '+')) BETWEEN 2 AND 3 AND abs(f.t_start - r.t_start) <= far AND abs(e.t_end - r.t_end) <= far
+      AND (SELECT count(DISTINCT g.j) FROM hw g, lm WHERE g.file_id = r.file_id AND g.ipu_id = r.ipu_id AND g.j BETWEEN f.j AND e.j AND source_label = string_split(src, '+')[g.j - f.j + 1] AND machine_label = g.label) = len(string_split(src, '+')) THEN len(string_split(src, '+')) ELSE 0 END AS many
+    FROM sizes JOIN r USING (file_id, ipu_id) JOIN hw e USING (file_id, ipu_id) LEFT JOIN hw f ON f.file_id = r.file_id AND f.ipu_id = r.ipu_id AND f.j = e.j - len(string_split(src, '+')) + 1),
+  lists AS (SELECT config, file_id, ipu_id, i, list(one ORDER BY j) AS o, list(many ORDER BY j) AS mu FROM cells GROUP BY ALL),
+  rows AS (SELECT s.config, s.file_id, s.ipu_id, r.i, coalesce(o, []) AS o, coalesce(mu, []) AS mu FROM sizes s JOIN r USING (file_id, ipu_id) LEFT JOIN lists l ON l.config = s.config AND l.file_id = s.file_id AND l.ipu_id = s.ipu_id AND l.i = r.i),
+  dp AS (SELECT config, file_id, ipu_id, 0::BIGINT AS i, list_transform(range(0, m + 1), lambda j: -2 * j) AS s FROM sizes
+    UNION ALL SELECT config, file_id, ipu_id, i, list_transform(range(0, len(best)), lambda j: list_max(list_transform(range(0, j + 1), lambda q: best[q + 1] - 2 * (j - q)))) FROM
+      (SELECT dp.config, dp.file_id, dp.ipu_id, rows.i, list_transform(range(0, len(s)), lambda j: greatest(s[j + 1] - 2, s[j] + o[j], CASE WHEN mu[j] > 0 THEN s[j + 1 - mu[j]] + 2 * mu[j] END)) AS best
+       FROM dp JOIN rows ON rows.config = dp.config AND rows.file_id = dp.file_id AND rows.ipu_id = dp.ipu_id AND rows.i = dp.i + 1)),
+  walk AS (SELECT config, file_id, ipu_id, n::BIGINT AS i, m::BIGINT AS j, NULL::BIGINT AS ri, NULL::BIGINT AS hj, NULL::BIGINT AS k FROM sizes
+    UNION ALL SELECT config, file_id, ipu_id, CASE WHEN k >= 0 THEN i - 1 ELSE i END, j - abs(k), CASE WHEN k >= 0 THEN i END, j, k FROM
+      (SELECT t.config, t.file_id, t.ipu_id, t.i, t.j, CASE WHEN t.i = 0 THEN -1 WHEN t.j > 0 AND mu[t.j] > 0 AND a.s[t.j + 1] = b.s[t.j + 1 - mu[t.j]] + 2 * mu[t.j] THEN mu[t.j]
+         WHEN t.j > 0 AND o[t.j] IS NOT NULL AND a.s[t.j + 1] = b.s[t.j] + o[t.j] THEN 1 WHEN a.s[t.j + 1] = b.s[t.j + 1] - 2 THEN 0 ELSE -1 END::BIGINT AS k
+       FROM walk t LEFT JOIN dp a ON a.config = t.config AND a.file_id = t.file_id AND a.ipu_id = t.ipu_id AND a.i = t.i LEFT JOIN dp b ON b.config = t.config AND b.file_id = t.file_id AND b.ipu_id = t.ipu_id AND b.i = t.i - 1
+         LEFT JOIN rows x ON x.config = t.config AND x.file_id = t.file_id AND x.ipu_id = t.ipu_id AND x.i = t.i WHERE t.i > 0 OR t.j > 0)),
+  found AS (SELECT w.config, w.file_id, w.ipu_id, r.unit_id AS ref_unit_id, coalesce(r.phone_class, f.phone_class) AS phone_class, greatest(abs(w.k), 0) AS n_hyp_units,
+    CASE WHEN w.k = 0 THEN '' ELSE (SELECT string_agg(g.unit_id, ';' ORDER BY g.j) FROM hw g WHERE g.file_id = w.file_id AND g.ipu_id = w.ipu_id AND g.j > w.hj - abs(w.k) AND g.j <= w.hj) END AS hyp_unit_ids,
+    CASE WHEN w.ri IS NULL THEN 'insertion' WHEN w.k = 0 THEN 'omission' WHEN w.k > 1 THEN 'displacement' WHEN EXISTS (SELECT 1 FROM lm WHERE source_label = src AND machine_label = f.label) THEN 'displacement' ELSE 'substitution' END AS error_type,
+    (f.t_start - r.t_start) * 1000 AS onset_error_ms, (l.t_end - r.t_end) * 1000 AS offset_error_ms
+    FROM walk w LEFT JOIN r ON r.file_id = w.file_id AND r.ipu_id = w.ipu_id AND r.i = w.ri LEFT JOIN hw f ON w.k <> 0 AND f.file_id = w.file_id AND f.ipu_id = w.ipu_id AND f.j = w.hj - abs(w.k) + 1
+      LEFT JOIN hw l ON w.k <> 0 AND l.file_id = w.file_id AND l.ipu_id = w.ipu_id AND l.j = w.hj WHERE w.k IS NOT NULL)
+"""
+
+
+@query("a01_align_dense", dense_sql([A.DEFAULT]) + "SELECT phone_class, error_type, n_hyp_units, count(*) AS n, avg(abs(onset_error_ms)) AS mean_onset FROM found GROUP BY ALL", "mean_onset", big="n_hyp_units")
 def a01b(spark, sf):
-    r, h = sides(spark, sf, SQUEEZE)
+    r, h = dense_sides(spark, sf)
     a = A.align_windows(r, h, B.label_map(spark))
     return a.groupBy("phone_class", "error_type", "n_hyp_units").agg(F.count("*").alias("n"), F.avg(F.abs("onset_error_ms")).alias("mean_onset"))
 
 
-@query("a02_align_sweep")
+@query("a01_align_dense_rows", dense_sql([A.DEFAULT]) + "SELECT file_id, ipu_id, ref_unit_id, hyp_unit_ids, phone_class, error_type, onset_error_ms, offset_error_ms FROM found", "onset_error_ms offset_error_ms", digits=4)
+def a01c(spark, sf):
+    r, h = dense_sides(spark, sf)
+    a = A.align_windows(r, h, B.label_map(spark))
+    return a.select("file_id", "ipu_id", "ref_unit_id", F.array_join("hyp_unit_ids", ";").alias("hyp_unit_ids"), "phone_class", "error_type", "onset_error_ms", "offset_error_ms")
+
+
+@query("a02_align_sweep", dense_sql(GRID) + "SELECT config, error_type, n_hyp_units, count(*) AS n FROM found GROUP BY ALL", big="n_hyp_units")
 def a02(spark, sf):
-    r, h = sides(spark, sf, SQUEEZE)
+    r, h = dense_sides(spark, sf)
     a = A.align_windows(r, h, B.label_map(spark), GRID)
-    return a.groupBy("config", "error_type").agg(F.count("*").alias("n"))
+    return a.groupBy("config", "error_type", "n_hyp_units").agg(F.count("*").alias("n"))
+
+
+_RATES = ", ".join(f"100.0 * count(*) FILTER (error_type = '{t}') / count(*) AS pct_{t}" for t in ("displacement", "substitution", "omission", "insertion"))
+_WITHIN = [(f"{b}_within{t}", f"100.0 * count(*) FILTER (error_type IN ('displacement', 'substitution') AND abs({b}_error_ms) <= {t}) / nullif(count(*) FILTER (error_type IN ('displacement', 'substitution')), 0)") for b in ("onset", "offset") for t in (10, 20)]
 
 
-@query("q06_sweep_summary")
+@query("q06_sweep_summary", dense_sql(GRID) + f"SELECT config, count(*) AS n, {_RATES}, " + ", ".join(f"{e} AS {n}" for n, e in _WITHIN) + " FROM found GROUP BY 1",
+       "pct_displacement pct_substitution pct_omission pct_insertion " + " ".join(n for n, _ in _WITHIN))
 def q06(spark, sf):
-    r, h = sides(spark, sf, SQUEEZE)
+    r, h = dense_sides(spark, sf)
     return Q.sweep_summary(A.align_windows(r, h, B.label_map(spark), GRID))
 
 
