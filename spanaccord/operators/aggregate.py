@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanaccord.operators.groups import beside, join_groups
-from spanaccord.operators.quantile import medians, quantiles
+from spanaccord.operators.quantile import cell_quantiles, measure_cells, medians, quantiles
 from spanaccord.operators.reshape import TOLERANCES_MS, evaluable_cond, first_reason, within
+from spanaccord.settings import cut
 
 
 def div(a, b) -> Column:
@@ -26,15 +27,18 @@ def count_pivot(df: DataFrame, rows: list[str], col: str, values: list[str]) ->
 def error_summary(long: DataFrame, by: list[str], abs_err="abs_error_ms", err="error_ms") -> DataFrame:
     """Size, median, mean, signed mean, RMSE, MAD, 95 % quantile and tolerance rates."""
     e, s = F.col(abs_err), F.col(err)
-    d = long.where(e.isNotNull())
-    a = d.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e).alias("mean"), F.avg(s).alias("signed_mean"),
-        F.sqrt(F.avg(e * e)).alias("rmse"),
-        *[(F.avg(c) * 100).alias(n) for n, c in within(e, TOLERANCES_MS).items()],
+    # the input is read once: everything else comes from how often each value occurs
+    d = long.where(e.isNotNull()).groupBy(*by, e.cast("double").alias("_v"))
+    cells = cut(d.agg(F.count(F.lit(1)).alias("_w"), F.sum(s).alias("_s"), F.count(s).alias("_m"))).withColumn("_k", F.lit("abs"))
+    n, v, w = F.sum("_w"), F.col("_v"), F.col("_w")
+    a = cells.groupBy(*by).agg(
+        n.alias("n"), (F.sum(v * w) / n).alias("mean"), div(F.sum("_s"), F.sum("_m")).alias("signed_mean"),
+        F.sqrt(F.sum(v * v * w) / n).alias("rmse"),
+        *[(F.sum(c * w) * 100.0 / n).alias(t) for t, c in within(v, TOLERANCES_MS).items()],
     )
-    q = quantiles(d, by, e, {"median": 0.5, "p95": 0.95})
-    far = join_groups(d.select(*by, e.alias("_e")), q.select(*by, "median"), by).withColumn("_d", F.abs(F.col("_e") - F.col("median")))
-    return a.join(q, by).join(medians(far, by, "_d", "mad"), by)
+    q = cell_quantiles(cells, by, {"median": ("abs", 0.5), "p95": ("abs", 0.95)})
+    far = join_groups(cells, q.select(*by, "median"), by).groupBy(*by, "_k", F.abs(v - F.col("median")).alias("_v")).agg(n.alias("_w"))
+    return join_groups(join_groups(a, q, by), cell_quantiles(far, by, {"mad": ("abs", 0.5)}), by)
 
 
 def with_totals(df: DataFrame, by: str, sums: list[str], group: Column | None = None) -> DataFrame:
@@ -102,18 +106,16 @@ def by_conditions(df: DataFrame, conds: dict[str, Column], values: dict[str, Col
     tags = F.explode(F.array(*[F.concat(F.lit(f"{n}="), c.cast("string")) for n, c in conds.items()]))
     d = df.select(tags.alias("condition"), *[v.alias(n) for n, v in values.items()])
     out = d.groupBy("condition").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(n), 2).alias(f"{n}_mean") for n in values])
-    for n in values:
-        q = medians(d, ["condition"], n, f"{n}_median")
-        out = out.join(q.withColumn(f"{n}_median", F.round(f"{n}_median", 2)), "condition", "left")
-    return out
+    q = cell_quantiles(measure_cells(d, ["condition"], {n: F.col(n) for n in values}), ["condition"], {f"{n}_median": (n, 0.5) for n in values})
+    return join_groups(out, q.select("condition", *[F.round(f"{n}_median", 2).alias(f"{n}_median") for n in values]), ["condition"], "left")
 
 
 def duration_summary(df: DataFrame, by: list[str]) -> DataFrame:
     """Medians of both durations and of the difference, its mean and sd."""
     d = df.withColumn("dur_diff_ms", F.col("dur_hand_ms") - F.col("dur_mfa_ms"))
     a = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("dur_diff_ms").alias("diff_mean"), F.stddev_samp("dur_diff_ms").alias("diff_sd"))
-    meds = [medians(d, by, c, n) for c, n in (("dur_hand_ms", "hand_median"), ("dur_mfa_ms", "mfa_median"), ("dur_diff_ms", "diff_median"))]
-    return reduce(lambda x, y: x.join(y, by), meds, a)
+    cells = measure_cells(d, by, {"hand": F.col("dur_hand_ms"), "mfa": F.col("dur_mfa_ms"), "diff": F.col("dur_diff_ms")})
+    return join_groups(a, cell_quantiles(cells, by, {f"{m}_median": (m, 0.5) for m in ("hand", "mfa", "diff")}), by, "left")
 
 
 def pair_inventory(df: DataFrame, pair: list[str], speaker: str) -> DataFrame:
@@ -216,15 +218,14 @@ def run_mean_sd(runs: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def box_stats(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """Quartiles and whiskers at 1.5 interquartile ranges."""
-    d = df.select(*by, value.alias("_v")).where("_v is not null")
-    q = quantiles(d, by, "_v", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    j = join_groups(d, q, by)
+    cells = measure_cells(df, by, {"value": value})
+    q = cell_quantiles(cells, by, {"q1": ("value", 0.25), "q2": ("value", 0.5), "q3": ("value", 0.75)})
     step = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(F.col("q1") - step, F.col("q3") + step)
-    w = j.groupBy(*by).agg(
-        F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.count_if(~inside).alias("n_out")
+    w = join_groups(cells, q, by).groupBy(*by).agg(
+        F.min(F.when(inside, F.col("_v"))).alias("low"), F.max(F.when(inside, F.col("_v"))).alias("high"), F.sum(F.when(inside, 0).otherwise(F.col("_w"))).alias("n_out")
     )
-    return q.join(w, by)
+    return join_groups(q, w, by)
 
 
 def _is_first(v: str):

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spanaccord.operators.scan import _c, running_sum, scan, total
+from spanaccord.settings import cut
 
 
 def _ranked(df: DataFrame, by: list[str], value: Column, weight: Column) -> DataFrame:
@@ -63,6 +64,34 @@ def quantiles(
     return r.where(hit).groupBy(*by).agg(*aggs).select(*by, *outs)
 
 
+def measure_cells(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """(by, _k, _v, _w): how often each value of each measure occurs in a group, from one reading of ``df``.
+
+    Null values are left out, null groups are groups.  The table is kept, as everything below reads it again.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), c.cast("double").alias("v")) for n, c in measures.items()]))
+    long = df.select(*by, each.alias("_x")).select(*by, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v"))
+    return cut(long.where("_v is not null").groupBy(*by, "_k", "_v").agg(F.count(F.lit(1)).alias("_w")))
+
+
+def cell_quantiles(cells: DataFrame, by: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact linear quantiles of several measures in one pass over their cells: one row per group, null where a measure has no value.
+
+    ``wanted`` maps an output column to (measure, quantile).
+    """
+    r = scan(cells, [*by, "_k"], ["_v"], {"_hi": running_sum("_w"), "_n": total("_w")})
+    lo, hit, aggs, outs = F.col("_hi") - F.col("_w"), F.lit(False), [], []
+    for name, (measure, q) in wanted.items():
+        pos = F.lit(q) * (F.col("_n") - 1)
+        own = F.col("_k") == measure
+        ends = [own & (lo <= at) & (at < F.col("_hi")) for at in (F.floor(pos), F.ceil(pos))]
+        hit = hit | ends[0] | ends[1]
+        aggs += [F.max(F.when(e, F.col("_v"))).alias(f"_{i}_{name}") for i, e in enumerate(ends)] + [F.max(F.when(own, pos - F.floor(pos))).alias(f"_f_{name}")]
+        a, b = F.col(f"_0_{name}"), F.col(f"_1_{name}")
+        outs.append((a + (b - a) * F.col(f"_f_{name}")).alias(name))
+    return r.where(hit).groupBy(*by).agg(*aggs).select(*by, *outs)
+
+
 def medians(df: DataFrame, by: list[str], value: Column | str, name: str = "median") -> DataFrame:
     return quantiles(df, by, value, {name: 0.5})
 

@@ -29,6 +29,16 @@ def g02(spark, sf):
     return G.error_summary(to_boundary_long(B.alignment(spark, sf)), ["phone_class", "boundary_type"])
 
 
+# every class whose name starts with a vowel or a stop is unknown here
+_NULLED = "CASE WHEN phone_class LIKE 'vowel%' OR phone_class LIKE 'stop%' THEN NULL ELSE phone_class END"
+
+
+@query("g02_error_summary_null_class", SUMMARY.replace("FROM bl WHERE", f"FROM (SELECT * REPLACE ({_NULLED} AS phone_class) FROM bl) WHERE"), "median mean signed_mean rmse mad p95 within10 within20 within25 within50", [UNITS, ALN, LONG])
+def g02_null(spark, sf):
+    d = to_boundary_long(B.alignment(spark, sf))
+    return G.error_summary(d.withColumn("phone_class", F.expr(_NULLED)), ["phone_class", "boundary_type"])
+
+
 @query("g03_with_totals", """WITH d AS (SELECT error_type AS item, CASE WHEN phone_class LIKE 'vowel%' THEN 'vowel' ELSE 'consonant' END AS grp, 1 AS n, n_hyp_units AS hyps FROM aln)
   SELECT CASE grouping(grp) + grouping(item) WHEN 0 THEN 'detail' WHEN 1 THEN 'subtotal' ELSE 'total' END AS level, coalesce(grp, 'TOTAL') AS grp, coalesce(item, 'TOTAL') AS item, sum(n)::BIGINT AS n, sum(hyps)::BIGINT AS hyps FROM d GROUP BY ROLLUP (grp, item)""", ctes=[UNITS, ALN])
 def g03(spark, sf):
@@ -87,6 +97,11 @@ def g10(spark, sf):
     return G.duration_summary(B.paired(spark, sf), ["length_class", "is_accent_nucleus"])
 
 
+@query("g10_duration_summary_null_class", """SELECT nullif(length_class, 'O') AS length_class, is_accent_nucleus, count(*) AS n, median(dur_hand_ms) AS hand_median, median(dur_mfa_ms) AS mfa_median, median(dur_hand_ms - dur_mfa_ms) AS diff_median, avg(dur_hand_ms - dur_mfa_ms) AS diff_mean, stddev_samp(dur_hand_ms - dur_mfa_ms) AS diff_sd FROM paired GROUP BY 1, 2""", "hand_median mfa_median diff_median diff_mean diff_sd", [PAIRED])
+def g10_null(spark, sf):
+    return G.duration_summary(B.paired(spark, sf).withColumn("length_class", F.nullif("length_class", F.lit("O"))), ["length_class", "is_accent_nucleus"])
+
+
 @query("g11_pair_inventory", "SELECT word_type AS form, process AS category, count(*) AS n_tokens, count(DISTINCT speaker) AS n_speakers FROM dcs GROUP BY 1, 2", ctes=[DEC])
 def g11(spark, sf):
     d = B.decisions(spark, sf).select(F.col("word_type").alias("form"), F.col("process").alias("category"), "speaker")
@@ -186,6 +201,13 @@ def g25(spark, sf):
     return G.box_stats(B.decisions(spark, sf), ["process"], F.col("dev_site_ms"))
 
 
+@query("g25_box_stats_null_process", """WITH dn AS (SELECT * REPLACE (nullif(process, 'N') AS process) FROM dcs), q AS (SELECT process, quantile_cont(dev_site_ms, 0.25) AS q1, quantile_cont(dev_site_ms, 0.5) AS q2, quantile_cont(dev_site_ms, 0.75) AS q3 FROM dn GROUP BY 1)
+  SELECT process, q1, q2, q3, min(dev_site_ms) FILTER (dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(dev_site_ms) FILTER (dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
+  count(*) FILTER (NOT dev_site_ms BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_out FROM (SELECT dn.*, q1, q2, q3 FROM dn JOIN q ON dn.process IS NOT DISTINCT FROM q.process) WHERE dev_site_ms IS NOT NULL GROUP BY 1, 2, 3, 4""", "q1 q2 q3 low high", [DEC])
+def g25_null(spark, sf):
+    return G.box_stats(B.decisions(spark, sf).withColumn("process", F.nullif("process", F.lit("N"))), ["process"], F.col("dev_site_ms"))
+
+
 CHARS = """cw AS (SELECT doc, pos, word, string_split(word, '') AS s FROM (SELECT DISTINCT 0 AS doc, 0 AS pos, lower(word) AS word FROM words WHERE word SIMILAR TO '[A-Za-z:]+'))"""
 
 

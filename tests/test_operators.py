@@ -328,3 +328,31 @@ def test_null_group_keys_stay(spark):
     assert {r.v: r.k for r in collapse_rare(df, "k", 3).collect()} == {1: "other_rare", 2: "other_rare", 3: "other_rare"}
     sums = df.groupBy("k").sum("v").withColumnRenamed("sum(v)", "s")
     assert {r.v: r.s for r in join_groups(df, sums, ["k"]).collect()} == {1: 1, 2: 5, 3: 5}
+
+
+def test_null_group_keys_stay_in_summaries(spark):
+    """G2, G9, G10 and G25 give a row for the null key, and values beside none count as missing."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [((None, "a")[i % 2], float(rng.normal(0, 20)), float(rng.integers(1, 9)), float(rng.integers(1, 9))) for i in range(81)] + [("b", None, 3.0, 4.0)]
+    d = spark.createDataFrame(rows, "k string, e double, dur_hand_ms double, dur_mfa_ms double").withColumn("m", F.abs("e"))
+    want = {k: np.array([r[1] for r in rows if r[0] == k and r[1] is not None]) for k in (None, "a")}
+    got = {r.k: r for r in G.error_summary(d, ["k"], "m", "e").collect()}
+    assert set(got) == {None, "a"}
+    for k, v in want.items():
+        a = np.abs(v)
+        assert got[k].n == len(v)
+        np.testing.assert_allclose([got[k].median, got[k].mean, got[k].signed_mean, got[k].rmse, got[k].mad, got[k].p95, got[k].within20],
+                                   [np.median(a), a.mean(), v.mean(), np.sqrt((v * v).mean()), np.median(abs(a - np.median(a))), np.quantile(a, 0.95), 100 * (a <= 20).mean()])
+    box = {r.k: r for r in G.box_stats(d, ["k"], F.col("e")).collect()}
+    assert set(box) == {None, "a"}
+    for k, v in want.items():
+        q1, q3 = np.quantile(v, [0.25, 0.75])
+        inside = (v >= q1 - 1.5 * (q3 - q1)) & (v <= q3 + 1.5 * (q3 - q1))
+        assert box[k].n_out == (~inside).sum() and box[k].low == v[inside].min() and box[k].high == v[inside].max()
+    dur = {r.k: r for r in G.duration_summary(d, ["k"]).collect()}
+    assert set(dur) == {None, "a", "b"} and dur["b"].diff_median == -1.0 and dur["b"].diff_sd is None
+    assert dur[None].hand_median == np.median([r[2] for r in rows if r[0] is None])
+    by = {r.condition: r for r in G.by_conditions(d, {"a": F.col("k") == "a"}, {"e": F.col("e"), "h": F.col("dur_hand_ms")}).collect()}
+    assert set(by) == {None, "a=true", "a=false"} and by["a=false"].e_median is None and by["a=false"].h_median == 3.0 and by[None].n == 41
