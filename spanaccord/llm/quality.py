@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spanaccord.llm.common import bounded_sample, text_of
 
 #: bytes of a dictionary, and of the text it is built from
-DICT_BYTES, LEVEL = 112_640, 3
+DICT_BYTES, LEVEL = 112_640, 9
 #: a text is compressed in steps of so many bytes; every step counts
 STEP = 1 << 17
+#: bytes at which the curve has moved half of the way from the share of good texts to its own neutral difference
+SHORT = 256
 
 
 def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
@@ -31,12 +34,18 @@ def build_dictionary(texts: list[str], size: int = DICT_BYTES) -> bytes:
 
 @dataclass
 class Model:
-    """Two dictionaries and the logistic curve over the differences of compressed sizes."""
+    """Two dictionaries and the logistic curve over the difference of the compressed sizes.
+
+    The difference enters normalised by the sizes, with a slope that may follow the length, and by the root of the length.
+    Length enters the calibration only: which difference is neutral moves with it.  ``share`` is that of good texts in
+    the sample, the score of a text without a byte and the limit for ever shorter ones.
+    """
 
     good: bytes
     bad: bytes
     slope: list[float]
     bias: float
+    share: float = 0.5
 
     def scorer(self):
         """A function from texts to scores; compressors are made once."""
@@ -48,52 +57,53 @@ class Model:
             if z is not None:
                 z.precompute_compress(level=LEVEL)
             tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=z, write_content_size=False, write_checksum=False, write_dict_id=False))
-        plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+        # what an empty text takes is no evidence
+        empty = [len(t.compress(b"")) for t in tools]
 
         def features(text: str) -> tuple[float, ...]:
             b = text.encode("utf-8", "surrogatepass")
-            g = w = p = 0
+            good = bad = 0
             for i in range(0, len(b), STEP):
                 x = b[i : i + STEP]
-                g += len(tools[0].compress(x))
-                w += len(tools[1].compress(x))
-                p += len(plain.compress(x))
+                good += len(tools[0].compress(x)) - empty[0]
+                bad += len(tools[1].compress(x)) - empty[1]
             if not b:
-                return 0.0, 0.0, 0.0
-            return (w - g) / (w + g), p / len(b) if len(b) >= 512 else 0.6, min(g, w) / len(b)
+                return 0.0, 0.0, 0.0, 0.0
+            share = (bad - good) / (bad + good + 1)
+            return share, share * math.log2(len(b)), (bad - good) / math.sqrt(len(b)), len(b) / (len(b) + SHORT)
 
         return features
 
-    def score(self, f: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(f @ np.array(self.slope) + self.bias, -500, 500)))
+    def score(self, f: np.ndarray, empty: np.ndarray | bool = False) -> np.ndarray:
+        return np.where(empty, self.share, 1 / (1 + np.exp(-np.clip(f @ np.array(self.slope) + self.bias, -500, 500))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[list[float], float]:
-    """Newton steps for a logistic curve with a small ridge."""
-    mean, sd = x.mean(0), x.std(0)
+def _logistic(x: np.ndarray, y: np.ndarray, start: float, rounds: int = 50, ridge: float = 1e-2) -> list[float]:
+    """Slopes of a logistic curve that passes through ``start`` where all features are 0, by Newton steps with a small ridge."""
+    sd = x.std(0)
     sd = np.where(sd > 1e-12, sd, 1.0)
-    z = np.hstack([(x - mean) / sd, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+    z, w = x / sd, np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w + start, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    slope = w[:-1] / sd
-    return slope.tolist(), float(w[-1] - slope @ mean)
+    return (w / sd).tolist()
 
 
 def learn(good: list[str], bad: list[str]) -> Model:
     """Dictionaries from half of each list, the curve from the other half, which the dictionaries have not seen."""
     if not good or not bad:
-        return Model(b"", b"", [0.0, 0.0, 0.0], 4.0 if good or not bad else -4.0)
+        return Model(b"", b"", [0.0, 0.0, 0.0, 0.0], 4.0 if good or not bad else -4.0, float(bool(good) or not bad))
     cut = lambda v: (v[::2], v[1::2] or v)
     (gd, gc), (bd, bc) = cut(good), cut(bad)
-    m = Model(build_dictionary(gd), build_dictionary(bd), [0.0, 0.0, 0.0], 0.0)
+    m = Model(build_dictionary(gd), build_dictionary(bd), [0.0, 0.0, 0.0, 0.0], 0.0, len(good) / (len(good) + len(bad)))
     f = m.scorer()
     x = np.array([f(t) for t in gc + bc])
-    m.slope, m.bias = _logistic(x, np.r_[np.ones(len(gc)), np.zeros(len(bc))])
+    # no text is no evidence: the curve starts at the share of good texts
+    m.bias = math.log(len(good) / len(bad))
+    m.slope = _logistic(x, np.r_[np.ones(len(gc)), np.zeros(len(bc))], m.bias)
     return m
 
 
@@ -117,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 2
 def score(docs: DataFrame, model: Model, keep: list[Column], threshold: float = 0.3) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` for each row; reads only the whole ``text``.
 
-    Null and empty texts have no compressed size and get the curve's value at 0; ties at the threshold count as 1.
+    Null and empty texts have no compressed size and get the share of good texts in the sample; ties at the threshold count as 1.
     Repeated rows are scored alike.
     """
     from pyspark.sql.pandas.functions import arrow_udf
@@ -128,7 +138,8 @@ def score(docs: DataFrame, model: Model, keep: list[Column], threshold: float =
         if _kept is None or _kept[0] is not model:
             _kept = (model, model.scorer())
         f = _kept[1]
-        return pa.array(model.score(np.array([f(t) for t in texts.to_pylist()]).reshape(len(texts), 3)), pa.float64())
+        got = texts.to_pylist()
+        return pa.array(model.score(np.array([f(t) for t in got]).reshape(len(got), 4), np.array([not t for t in got], dtype=bool)), pa.float64())
 
     return docs.select(*keep, run(text_of()).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -184,6 +184,18 @@ def test_quality(spark):
     assert quality.score(docs(spark, []), quality.fit(docs(spark, []), labels, F.lit(True)), []).count() == 0
 
 
+def test_quality_of_short_texts(spark):
+    """Short texts of both kinds are told apart, empty ones get the share of good labels."""
+    rng = np.random.default_rng(16)
+    good, bad = "the river runs to the quiet sea and birds sing over it".split(), "WIN $$$ free !!! casino bonus CLICK now $$$ prize".split()
+    rows = [(i, " ".join(rng.choice(good if i % 4 else bad, 6 + i % 50))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(600)], "doc_id long, quality int")
+    model = quality.fit(docs(spark, rows), labels, F.col("doc_id") >= 0)
+    short = [(0, "the quiet river and the sea"), (1, "casino bonus $$$ !!! WIN"), (2, ""), (3, None), (4, "birds sing over the river"), (5, "CLICK now free prize $$$")]
+    got = {r.doc_id: r.score for r in quality.score(docs(spark, short), model, [F.col("doc_id")]).collect()}
+    assert got[0] > 0.8 and got[4] > 0.8 and got[1] < 0.3 and got[5] < 0.3 and got[2] == got[3] == pytest.approx(model.share) and 0.7 < model.share < 0.8
+
+
 def test_language(spark):
     words = {"en": "the of and with that this", "de": "der und das mit nicht eine", "fr": "le les des avec une pour", "es": "el los que para una con"}
     rng = np.random.default_rng(6)
