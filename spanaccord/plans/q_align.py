@@ -135,23 +135,52 @@ def q06(spark, sf):
     return Q.sweep_summary(A.align_windows(r, h, B.label_map(spark), GRID))
 
 
-def name_pairs(spark, sf):
-    """Letters of words of one text beside the word that follows them."""
+def name_pairs(spark, sf, letters=True):
+    """Letters of words of one text beside the word that follows them; plain words only, or all."""
     from spanaccord.operators.scan import lead
 
     w = scan(B.words(spark, sf, "benchmark", "item_id"), ["doc"], ["pos"], {"nxt": lead("word")})
-    w = w.where("nxt is not null and word rlike '^[a-z]+$' and nxt rlike '^[a-z]+$'")
+    w = w.where("nxt is not null and word rlike '^[a-z]+$' and nxt rlike '^[a-z]+$'" if letters else "nxt is not null")
     return w.select("word", "nxt", F.split("word", "").alias("a"), F.split("nxt", "").alias("b")).distinct()
 
 
+def _sound_sql(x, y):
+    vowels = ", ".join(f"'{v}'" for v in sorted(A.ALL_VOWELS))
+    high = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in A.HIGH_BASE.items()) + " END"
+    return f"CASE WHEN {x} = {y} THEN 0 WHEN ({x} IN ({vowels})) <> ({y} IN ({vowels})) THEN 90 WHEN {high(x)} = {high(y)} THEN 4 ELSE 10 END"
+
+
+def edit_sql(cost) -> str:
+    """Edit tables of all pairs of words row by row, in tenths, then the steps back from their ends."""
+    return f"""WITH RECURSIVE {words("benchmark", "item_id")},
+  pairs AS (SELECT DISTINCT word, nxt, string_split(word, '') AS a, string_split(nxt, '') AS b FROM (SELECT word, lead(word) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM words) WHERE nxt IS NOT NULL),
+  dp AS (SELECT word, nxt, 0::BIGINT AS i, list_transform(range(0, len(b) + 1), lambda j: 10 * j) AS s FROM pairs
+    UNION ALL SELECT word, nxt, i, list_transform(range(0, len(best)), lambda j: list_min(list_transform(range(0, j + 1), lambda q: best[q + 1] + 10 * (j - q)))) FROM
+      (SELECT dp.word, dp.nxt, dp.i + 1 AS i, list_transform(range(0, len(s)), lambda j: least(s[j + 1] + 10, s[j] + {cost("a[dp.i + 1]", "b[j]")})) AS best FROM dp JOIN pairs USING (word, nxt) WHERE dp.i < len(a))),
+  walk AS (SELECT word, nxt, len(a) AS i, len(b) AS j, NULL::BIGINT AS pi, NULL::BIGINT AS pj, NULL::VARCHAR AS kind FROM pairs
+    UNION ALL SELECT word, nxt, CASE WHEN kind = 'added' THEN i ELSE i - 1 END, CASE WHEN kind = 'left out' THEN j ELSE j - 1 END, i, j, kind FROM
+      (SELECT t.word, t.nxt, t.i, t.j, CASE WHEN t.i > 0 AND t.j > 0 AND x.s[t.j + 1] = y.s[t.j] + {cost("a[t.i]", "b[t.j]")} THEN 'paired' WHEN t.i > 0 AND x.s[t.j + 1] = y.s[t.j + 1] + 10 THEN 'left out' ELSE 'added' END AS kind
+       FROM walk t JOIN pairs USING (word, nxt) JOIN dp x ON x.word = t.word AND x.nxt = t.nxt AND x.i = t.i LEFT JOIN dp y ON y.word = t.word AND y.nxt = t.nxt AND y.i = t.i - 1 WHERE t.i > 0 OR t.j > 0)),
+  found AS (SELECT p.word, p.nxt, (SELECT s[len(p.b) + 1] FROM dp WHERE dp.word = p.word AND dp.nxt = p.nxt AND dp.i = len(p.a)) / 10.0::DOUBLE AS cost,
+    array_to_string(list(CASE WHEN kind = 'paired' THEN pj - 1 ELSE -1 END ORDER BY pi) FILTER (kind <> 'added'), ',') AS "left", array_to_string(list(CASE WHEN kind = 'added' THEN pi ELSE -1 END ORDER BY pj) FILTER (kind <> 'left out'), ',') AS gap_of,
+    coalesce(string_agg((pi - 1) || ':' || (pj - 1), ';' ORDER BY pi) FILTER (kind = 'paired' AND a[pi] = b[pj]), '') AS pairs FROM walk w JOIN pairs p USING (word, nxt) WHERE kind IS NOT NULL GROUP BY p.word, p.nxt, p.a, p.b)
+"""
+
+
 @query("a03_align_classes", "SELECT DISTINCT word, nxt, levenshtein(word, nxt)::DOUBLE AS cost FROM (SELECT word, lead(word) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM words) WHERE regexp_full_match(word, '[a-z]+') AND regexp_full_match(nxt, '[a-z]+')", ctes=[words("benchmark", "item_id")])
 def a03(spark, sf):
     return A.align_classes(name_pairs(spark, sf), "a", "b").select("word", "nxt", "cost")
 
 
-@query("a04_align_prons")
+@query("a03_align_pairs", edit_sql(lambda x, y: f"CASE WHEN {x} = {y} THEN 0 ELSE 10 END") + "SELECT word, nxt, cost, pairs FROM found", "cost")
+def a03b(spark, sf):
+    e = A.align_classes(name_pairs(spark, sf, letters=False), "a", "b")
+    return e.select("word", "nxt", "cost", F.array_join(F.transform("pairs", lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["j"].cast("string"))), ";").alias("pairs"))
+
+
+@query("a04_align_prons", edit_sql(_sound_sql) + 'SELECT word, nxt, cost, "left", gap_of FROM found', "cost")
 def a04(spark, sf):
-    e = A.align_prons(name_pairs(spark, sf), "a", "b")
+    e = A.align_prons(name_pairs(spark, sf, letters=False), "a", "b")
     return e.select("word", "nxt", "cost", F.array_join("left", ",").alias("left"), F.array_join("gap_of", ",").alias("gap_of"))
 
 

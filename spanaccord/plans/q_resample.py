@@ -10,6 +10,8 @@ from spanaccord.plans.q_scoring import CELL, MET, systems
 from spanaccord.plans.registry import query
 
 REPS = 40
+#: replicates of the published analyses
+FULL = 2000
 H = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
@@ -46,12 +48,25 @@ def b03(spark, sf):
     return RS.boot_summary(RS.boot_ratio(st, "file_id", ["phone_class"], "hit", "n", REPS), ["phone_class"], "value")
 
 
+@query("b03_boot_ratio_2000", "WITH s AS (SELECT file_id, phone_class, count(*) AS n, sum((abs(onset_error_ms) <= 20)::INT) AS hit FROM aln WHERE onset_error_ms IS NOT NULL GROUP BY 1, 2), " + weights_sql("cw", "s", "file_id", reps=FULL) + ", r AS (SELECT phone_class, b, sum(hit * w) / sum(n * w) AS value FROM s JOIN cw USING (file_id) GROUP BY 1, 2) " + boot_sql("phone_class, ") + " GROUP BY 1", "se low high", [UNITS, ALN])
+def b03_full(spark, sf):
+    a = B.alignment(spark, sf).where("onset_error_ms is not null")
+    st = G.cluster_stats(a, ["file_id", "phone_class"], {"hit": F.abs("onset_error_ms") <= 20})
+    return RS.boot_summary(RS.boot_ratio(st, "file_id", ["phone_class"], "hit", "n", FULL), ["phone_class"], "value")
+
+
 @query("b04_boot_metrics", f"WITH c AS (SELECT speaker, process, {CELL} FROM dcs GROUP BY 1, 2), " + weights_sql("cw", "c", "speaker") + f", r AS (SELECT *, {MET} FROM (SELECT process, b, sum(tp * w) AS tp, sum(fn * w) AS fn, sum(fp * w) AS fp, sum(tn * w) AS tn FROM c JOIN cw USING (speaker) GROUP BY 1, 2)) " + boot_sql("process, ", "mcc") + " GROUP BY 1", "se low high", [DEC])
 def b04(spark, sf):
     c = M.confusion(B.decisions(spark, sf), ["speaker", "process"])
     return RS.boot_summary(RS.boot_metrics(c, "speaker", ["process"], REPS), ["process"], "mcc")
 
 
+@query("b04_boot_metrics_2000", f"WITH c AS (SELECT speaker, process, {CELL} FROM dcs GROUP BY 1, 2), " + weights_sql("cw", "c", "speaker", reps=FULL) + f", r AS (SELECT *, {MET} FROM (SELECT process, b, sum(tp * w) AS tp, sum(fn * w) AS fn, sum(fp * w) AS fp, sum(tn * w) AS tn FROM c JOIN cw USING (speaker) GROUP BY 1, 2)) " + boot_sql("process, ", "mcc") + " GROUP BY 1", "se low high", [DEC])
+def b04_full(spark, sf):
+    c = M.confusion(B.decisions(spark, sf), ["speaker", "process"])
+    return RS.boot_summary(RS.boot_metrics(c, "speaker", ["process"], FULL), ["process"], "mcc")
+
+
 @query("b04_boot_metrics_two_way", "SELECT process, b, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS ba FROM s2", "ba", [DEC, *W2, CELLS2])
 def b04b(spark, sf):
     c = M.confusion(B.decisions(spark, sf), ["speaker", "word_type", "process"])
@@ -95,6 +110,12 @@ def b09(spark, sf):
     return RS.boot_summary(RS.boot_mean(v, "word_type", "v", REPS), [], "value")
 
 
+@query("b09_boot_summary_2000", "WITH v AS (SELECT word_type, avg(correct) AS v FROM dcs GROUP BY 1), " + weights_sql("cw", "v", "word_type", reps=FULL) + ", r AS (SELECT b, sum(v * w) / sum(w) AS value FROM v JOIN cw USING (word_type) GROUP BY 1) " + boot_sql(""), "se low high", [DEC])
+def b09_full(spark, sf):
+    v = B.decisions(spark, sf).groupBy("word_type").agg(F.avg("correct").alias("v"))
+    return RS.boot_summary(RS.boot_mean(v, "word_type", "v", FULL), [], "value")
+
+
 M12 = "WITH c AS (SELECT speaker, process, (human = aligner)::INT AS ok FROM dcs), s AS (SELECT speaker, process, sum(ok) AS k, count(*) AS n FROM c GROUP BY 1, 2), " + weights_sql("cw", "s", "speaker") + """, r AS (SELECT process, b, sum(k * w) / sum(n * w) - 0.7 AS value FROM s JOIN cw USING (speaker) GROUP BY 1, 2),
   q AS (SELECT process, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM r GROUP BY 1), e AS (SELECT process, sum(k) / sum(n) - 0.7 AS estimate FROM s GROUP BY 1)
   SELECT process, estimate, low, high, NOT 0.5 BETWEEN low AND high AS excludes_half, estimate < 0.02 AS small_increment, CASE WHEN estimate > 0 AND low > 0 THEN 'supported' WHEN estimate > 0 THEN 'direction_only' ELSE 'not_supported' END AS verdict FROM e JOIN q USING (process)"""
@@ -114,6 +135,17 @@ def d01(spark, sf):
     return D.cap_sample(B.decisions(spark, sf), ["process"], 500, "cand_id").select("process", "cand_id")
 
 
+@query("d01_cap_sample_40000", "SELECT process, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY process ORDER BY md5('1|' || cand_id), cand_id) AS r FROM dcs) WHERE r <= 40000", ctes=[DEC])
+def d01_full(spark, sf):
+    return D.cap_sample(B.decisions(spark, sf), ["process"], 40_000, "cand_id").select("process", "cand_id")
+
+
+@query("d03_draw_2000_per_category", "SELECT l_returnflag, cand FROM (SELECT l_returnflag, concat_ws('-', l_orderkey, l_linenumber) AS cand, row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('1|' || concat_ws('-', l_orderkey, l_linenumber)), concat_ws('-', l_orderkey, l_linenumber)) AS r FROM lineitem) WHERE r <= 2000")
+def d03_full(spark, sf):
+    li = B.table(spark, sf, "lineitem").select("l_returnflag", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("cand"))
+    return D.cap_sample(li, ["l_returnflag"], 2000, "cand")
+
+
 @query("d02_speaker_split", """WITH s AS (SELECT c_custkey AS speaker, (SELECT string_agg(DISTINCT o_orderstatus, '+' ORDER BY o_orderstatus) FROM orders WHERE o_custkey = c_custkey) AS stratum FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)),
   r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('1|' || speaker), speaker) AS r, count(*) OVER (PARTITION BY stratum) AS n FROM s) SELECT speaker, stratum, CASE WHEN r <= round_even(n * 0.2::DOUBLE, 0) THEN 'test' ELSE 'train' END AS split FROM r""")
 def d02(spark, sf):
@@ -126,7 +158,20 @@ def d03(spark, sf):
     return D.cap_sample(B.table(spark, sf, "part"), ["p_type"], 50, "p_partkey").select("p_type", "p_partkey")
 
 
-@query("d04_case_control")
+def case_control_sql(processes, cap) -> str:
+    """One pass after another: the first row of every unit that no pass before has used."""
+    made, ctes = [], ["h AS (SELECT *, md5('1|' || cand_id) AS h FROM dcs)"]
+    for lab in (0, 1):
+        for p in processes:
+            used = " UNION ALL ".join(f"SELECT utterance_id FROM {m}" for m in made)
+            free = f" AND utterance_id NOT IN ({used})" if made else ""
+            most = cap if lab == 0 else f"(SELECT count(*) FROM pick_0_{p})"
+            ctes.append(f"pick_{lab}_{p} AS MATERIALIZED (SELECT process, human, utterance_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY utterance_id ORDER BY h, cand_id) AS q FROM h WHERE process = '{p}' AND human = {lab}{free}) WHERE q = 1 ORDER BY h, cand_id LIMIT {most})")
+            made.append(f"pick_{lab}_{p}")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM {m}" for m in made)
+
+
+@query("d04_case_control", case_control_sql(["A", "N", "R"], 150), ctes=[DEC], big="human")
 def d04(spark, sf):
     d = B.decisions(spark, sf)
     return D.case_control(d, ["A", "N", "R"], 150).select("process", "human", "utterance_id", "cand_id")
