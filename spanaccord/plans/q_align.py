@@ -150,17 +150,28 @@ def _sound_sql(x, y):
     return f"CASE WHEN {x} = {y} THEN 0 WHEN ({x} IN ({vowels})) <> ({y} IN ({vowels})) THEN 90 WHEN {high(x)} = {high(y)} THEN 4 ELSE 10 END"
 
 
+def edit_ctes(keys: str, cost) -> str:
+    """Edit tables of pairs (keys, a, b) row by row, in tenths, then the steps back from their ends (walk)."""
+    k = [x.strip() for x in keys.split(",")]
+    on = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in k)
+    of = lambda t: ", ".join(f"{t}.{c}" for c in k)
+    return f"""dp AS (SELECT {keys}, 0::BIGINT AS i, list_transform(range(0, len(b) + 1), lambda j: 10 * j) AS s FROM pairs
+    UNION ALL SELECT {keys}, i, list_transform(range(0, len(best)), lambda j: list_min(list_transform(range(0, j + 1), lambda q: best[q + 1] + 10 * (j - q)))) FROM
+      (SELECT {of("dp")}, dp.i + 1 AS i, list_transform(range(0, len(s)), lambda j: least(s[j + 1] + 10, s[j] + {cost("a[dp.i + 1]", "b[j]")})) AS best FROM dp JOIN pairs USING ({keys}) WHERE dp.i < len(a))),
+  walk AS (SELECT {keys}, len(a) AS i, len(b) AS j, NULL::BIGINT AS pi, NULL::BIGINT AS pj, NULL::VARCHAR AS kind FROM pairs
+    UNION ALL SELECT {keys}, CASE WHEN kind = 'added' THEN i ELSE i - 1 END, CASE WHEN kind = 'left out' THEN j ELSE j - 1 END, i, j, kind FROM
+      (SELECT {of("t")}, t.i, t.j, CASE WHEN t.i > 0 AND t.j > 0 AND x.s[t.j + 1] = y.s[t.j] + {cost("a[t.i]", "b[t.j]")} THEN 'paired' WHEN t.i > 0 AND x.s[t.j + 1] = y.s[t.j + 1] + 10 THEN 'left out' ELSE 'added' END AS kind
+       FROM walk t JOIN pairs USING ({keys}) JOIN dp x ON {on("x", "t")} AND x.i = t.i LEFT JOIN dp y ON {on("y", "t")} AND y.i = t.i - 1 WHERE t.i > 0 OR t.j > 0))"""
+
+
+def _unit_sql(x, y):
+    return f"CASE WHEN {x} = {y} THEN 0 ELSE 10 END"
+
+
 def edit_sql(cost) -> str:
-    """Edit tables of all pairs of words row by row, in tenths, then the steps back from their ends."""
     return f"""WITH RECURSIVE {words("benchmark", "item_id")},
   pairs AS (SELECT DISTINCT word, nxt, string_split(word, '') AS a, string_split(nxt, '') AS b FROM (SELECT word, lead(word) OVER (PARTITION BY doc ORDER BY pos) AS nxt FROM words) WHERE nxt IS NOT NULL),
-  dp AS (SELECT word, nxt, 0::BIGINT AS i, list_transform(range(0, len(b) + 1), lambda j: 10 * j) AS s FROM pairs
-    UNION ALL SELECT word, nxt, i, list_transform(range(0, len(best)), lambda j: list_min(list_transform(range(0, j + 1), lambda q: best[q + 1] + 10 * (j - q)))) FROM
-      (SELECT dp.word, dp.nxt, dp.i + 1 AS i, list_transform(range(0, len(s)), lambda j: least(s[j + 1] + 10, s[j] + {cost("a[dp.i + 1]", "b[j]")})) AS best FROM dp JOIN pairs USING (word, nxt) WHERE dp.i < len(a))),
-  walk AS (SELECT word, nxt, len(a) AS i, len(b) AS j, NULL::BIGINT AS pi, NULL::BIGINT AS pj, NULL::VARCHAR AS kind FROM pairs
-    UNION ALL SELECT word, nxt, CASE WHEN kind = 'added' THEN i ELSE i - 1 END, CASE WHEN kind = 'left out' THEN j ELSE j - 1 END, i, j, kind FROM
-      (SELECT t.word, t.nxt, t.i, t.j, CASE WHEN t.i > 0 AND t.j > 0 AND x.s[t.j + 1] = y.s[t.j] + {cost("a[t.i]", "b[t.j]")} THEN 'paired' WHEN t.i > 0 AND x.s[t.j + 1] = y.s[t.j + 1] + 10 THEN 'left out' ELSE 'added' END AS kind
-       FROM walk t JOIN pairs USING (word, nxt) JOIN dp x ON x.word = t.word AND x.nxt = t.nxt AND x.i = t.i LEFT JOIN dp y ON y.word = t.word AND y.nxt = t.nxt AND y.i = t.i - 1 WHERE t.i > 0 OR t.j > 0)),
+  {edit_ctes("word, nxt", cost)},
   found AS (SELECT p.word, p.nxt, (SELECT s[len(p.b) + 1] FROM dp WHERE dp.word = p.word AND dp.nxt = p.nxt AND dp.i = len(p.a)) / 10.0::DOUBLE AS cost,
     array_to_string(list(CASE WHEN kind = 'paired' THEN pj - 1 ELSE -1 END ORDER BY pi) FILTER (kind <> 'added'), ',') AS "left", array_to_string(list(CASE WHEN kind = 'added' THEN pi ELSE -1 END ORDER BY pj) FILTER (kind <> 'left out'), ',') AS gap_of,
     coalesce(string_agg((pi - 1) || ':' || (pj - 1), ';' ORDER BY pi) FILTER (kind = 'paired' AND a[pi] = b[pj]), '') AS pairs FROM walk w JOIN pairs p USING (word, nxt) WHERE kind IS NOT NULL GROUP BY p.word, p.nxt, p.a, p.b)
@@ -172,7 +183,7 @@ def a03(spark, sf):
     return A.align_classes(name_pairs(spark, sf), "a", "b").select("word", "nxt", "cost")
 
 
-@query("a03_align_pairs", edit_sql(lambda x, y: f"CASE WHEN {x} = {y} THEN 0 ELSE 10 END") + "SELECT word, nxt, cost, pairs FROM found", "cost")
+@query("a03_align_pairs", edit_sql(_unit_sql) + "SELECT word, nxt, cost, pairs FROM found", "cost")
 def a03b(spark, sf):
     e = A.align_classes(name_pairs(spark, sf, letters=False), "a", "b")
     return e.select("word", "nxt", "cost", F.array_join(F.transform("pairs", lambda p: F.concat(p["i"].cast("string"), F.lit(":"), p["j"].cast("string"))), ";").alias("pairs"))
@@ -211,7 +222,14 @@ def a06(spark, sf):
     return out.select("file_id", "ipu_id", "n_devs", "coverage", "dev_word_ms")
 
 
-@query("a06_deviations_all_windows")
+_LISTS = "SELECT file_id, ipu_id, list(label ORDER BY t_start, t_end, label) AS {0}, list(t_start ORDER BY t_start, t_end, label) AS {0}0, list(t_end ORDER BY t_start, t_end, label) AS {0}1 FROM {1} GROUP BY 1, 2"
+
+
+@query("a06_deviations_all_windows", f"""WITH RECURSIVE {UNITS}, {HYP}, hw AS (SELECT hyp.*, ref.ipu_id FROM hyp JOIN ref USING (event_id)),
+  pairs AS (SELECT * FROM ({_LISTS.format("a", "ref")}) JOIN ({_LISTS.format("b", "(SELECT * FROM hw)")}) USING (file_id, ipu_id)),
+  {edit_ctes("file_id, ipu_id", _unit_sql)},
+  devs AS (SELECT file_id, ipu_id, pi, len(a) AS n, unnest([abs(a0[pi] - b0[pj]), abs(a1[pi] - b1[pj])]) * 1000 AS d FROM walk JOIN pairs USING (file_id, ipu_id) WHERE kind = 'paired' AND a[pi] = b[pj])
+  SELECT file_id, ipu_id, count(*) AS n_devs, count(*) / 2 / max(n) AS coverage, median(d) AS dev_word_ms, median(d) FILTER (pi >= n - 1) AS dev_site_ms FROM devs GROUP BY 1, 2""", "coverage dev_word_ms dev_site_ms")
 def a06b(spark, sf):
     u = B.windowed_units(spark, sf)
     h = B.hyp_units(spark, sf, u).join(u.select("event_id", "ipu_id"), "event_id")
