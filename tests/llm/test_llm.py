@@ -334,6 +334,33 @@ def test_pii_finds_other_forms(spark):
     assert got[2000] == "" and all(got[i] == base(t) for i, t in rows[:500])
 
 
+def test_pii_numbers_near_telling_words(spark):
+    """Numbers beside words that only begin like the context of phones, or one word off it, are not added; other forms are."""
+    rng = np.random.default_rng(21)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    salad = "the river of time runs by a hill and old stones rest in green grass while birds sing over quiet water".split()
+    before = ["call", "phone", "tel", "call me on"]
+    rows = [(i, f"{' '.join(rng.choice(salad, 12))} {before[i % 4]} +49 30 {digits(4)} {digits(4)} {' '.join(rng.choice(salad, 8))}") for i in range(800)]
+    wrong = ["call the order 20250131123 desk", "telegraph 2024-01-31 12:00 10500", "the telescope of 1998 2004 2010 2016", "cellular automaton 1234567890123"]
+    right = ["please call 49 30 5556 7788 soon", "old phone 0049 30 5556 7788 rings"]
+    rows += [(1000 + i, t) for i, t in enumerate(wrong)] + [(2000 + i, t) for i, t in enumerate(right)]
+    model = pii.fit(docs(spark, rows))
+    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, rows), model).collect()}
+    assert 3 in model.thresholds
+    assert [got[1000 + i] for i in range(len(wrong))] == [""] * len(wrong)
+    assert [got[2000], got[2001]] == ["phone:12:27", "phone:10:27"]
+    assert all(got[i] == base(t) for i, t in rows[:800])
+
+
+def test_pii_thresholds():
+    """Candidates without an answer count as right by their class prior only."""
+    row = lambda b, a, n: {"k": 3, "bin": b, "answer": a, "n": n}
+    assert pii._thresholds([row(9, 1, 100), row(1, 0, 100)], 0.99, 30, 10) == {3: 0.2}
+    assert pii._thresholds([row(9, 1, 100), row(1, 0, 100), row(9, -1, 50)], 0.99, 30, 10) == {3: 0.2}
+    assert pii._thresholds([row(9, 1, 50), row(8, 1, 50), row(8, -1, 50)], 0.99, 30, 10) == {3: 0.9}
+    assert pii._thresholds([row(9, 1, 20), row(9, 0, 20)], 0.99, 30, 10) == {}
+
+
 def test_language_stage_rejects_noise(spark):
     """Letter noise goes whatever the number of languages; texts of the languages, short ones too, stay; so do all with letters where no language is named."""
     import corpus_pipeline
