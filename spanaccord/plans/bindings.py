@@ -235,12 +235,14 @@ def ipa_pairs(spark, sf) -> DataFrame:
     """Citation and applied phone sequences made from the distinct words of the documents."""
     from spanaccord.functions.hashing import h32
 
-    w = words(spark, sf).select(F.lower("word").alias("word")).distinct().where(F.col("word").rlike("^[a-z]{3,}$"))
+    w = words(spark, sf).select(F.lower("word").alias("word")).distinct()
     table = F.array(*[F.lit(x) for x in IPA_LIST])
     h = lambda tag: h32(F.col("word"), tag)
     cit = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.get(table, (h32(F.col("word"), i) % len(IPA_LIST)).cast("int")))
     spot = (h("p") % F.length("word")).cast("int")
-    san = F.transform("citation", lambda x, i: F.when(i == spot, F.get(table, (h("q") % len(IPA_LIST)).cast("int"))).otherwise(x))
+    drawn = lambda tag: F.get(table, (h(tag) % len(IPA_LIST)).cast("int"))
+    # one symbol differs; in a fifth of the words perhaps also the first one
+    san = F.transform("citation", lambda x, i: F.when(i == spot, drawn("q")).when((i == 0) & (h("d") % 5 == 1), drawn("r")).otherwise(x))
     d = w.withColumn("citation", cit).withColumn("applied", san)
     d = d.withColumn("applied", F.when(h("d") % 5 == 0, F.slice("applied", F.lit(1), F.size("applied") - 1)).otherwise(F.col("applied")))
     change = F.get(F.array(*[F.lit(c) for c in CHANGES]), (h("t") % len(CHANGES)).cast("int"))

@@ -93,5 +93,6 @@ _n = len(IPA_LIST)
 IPA = f"""
 ip0 AS (SELECT word, list_transform(range(0, length(word)), lambda i: {_ipa}[{h32("word || '|' || i")} % {_n} + 1]) AS citation, {h32("word || '|p'")} % length(word) AS border, {_ipa}[{h32("word || '|q'")} % {_n} + 1] AS q,
   {h32("word || '|d'")} % 5 = 0 AS cutoff, [{','.join(f"'{c}'" for c in CHANGES)}][{h32("word || '|t'")} % {len(CHANGES)} + 1] AS change, {h32("word || '|y'")} % 2 AS decided
-  FROM (SELECT DISTINCT lower(word) AS word FROM words WHERE regexp_full_match(lower(word), '[a-z]{{3,}}'))),
-ip AS (SELECT *, CASE WHEN cutoff THEN full_[1:-2] ELSE full_ END AS applied FROM (SELECT *, citation[1:border] || [q] || citation[border + 2:] AS full_ FROM ip0))"""
+  FROM (SELECT DISTINCT lower(word) AS word FROM words)),
+ip1 AS (SELECT *, list_transform(range(0, len(citation)), lambda i: CASE WHEN i = border THEN q WHEN i = 0 AND {h32("word || '|d'")} % 5 = 1 THEN {_ipa}[{h32("word || '|r'")} % {_n} + 1] ELSE citation[i + 1] END) AS full_ FROM ip0),
+ip AS (SELECT *, CASE WHEN cutoff THEN full_[1:len(full_) - 1] ELSE full_ END AS applied FROM ip1)"""

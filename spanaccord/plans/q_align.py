@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from spanaccord import settings
 from spanaccord.operators import align as A, audit as Q, reshape as P, tokens as TK
-from spanaccord.operators.scan import number, scan
+from spanaccord.operators.scan import lead, number, scan
+from spanaccord.operators.scoring import DEVOICED_VOWELS, VOICED_VOWELS
 from spanaccord.plans import bindings as B
 from spanaccord.plans.oracle import ALN, HYP, MAP, UNITS, words
 from spanaccord.plans.registry import query
@@ -137,8 +138,6 @@ def q06(spark, sf):
 
 def name_pairs(spark, sf, letters=True):
     """Letters of words of one text beside the word that follows them; plain words only, or all."""
-    from spanaccord.operators.scan import lead
-
     w = scan(B.words(spark, sf, "benchmark", "item_id"), ["doc"], ["pos"], {"nxt": lead("word")})
     w = w.where("nxt is not null and word rlike '^[a-z]+$' and nxt rlike '^[a-z]+$'" if letters else "nxt is not null")
     return w.select("word", "nxt", F.split("word", "").alias("a"), F.split("nxt", "").alias("b")).distinct()
@@ -256,27 +255,81 @@ def sounded(spark, sf):
     return u, w.select("wkey", "word", "pron"), lex
 
 
-@query("a07_values_at")
-def a07(spark, sf):
-    _, w, lex = sounded(spark, sf)
-    p = w.select("word", "pron", F.posexplode("pron").alias("pos", "_s")).where(F.col("_s").isin(*sorted(A.HIGH_BASE))).select("word", "pron", "pos", F.lit(None).cast("int").alias("gap"))
-    v = A.values_at(p, lex)
-    return v.select("word", F.array_join("pron", " ").alias("pron"), "pos", "vals")
+def _list_sql(values):
+    return ", ".join(f"'{v}'" for v in sorted(values))
+
 
+_SOUND = f"({[*SOUNDS]})[((event_id * 3 + event_id // 7) % 8 + 1)::INT]"
+_VALUE = f"CASE WHEN {{0}} IN ({_list_sql(VOICED_VOWELS)}) THEN 'V' WHEN {{0}} IN ({_list_sql(DEVOICED_VOWELS)}) THEN 'D' END"
+#: the views of ``sounded``
+SOUNDED = f"""{UNITS},
+  su AS (SELECT *, file_id || '#' || ipu_id AS wkey, {_SOUND} AS sound, row_number() OVER (PARTITION BY file_id, ipu_id ORDER BY t_start, event_id) - 1 AS pos, row_number() OVER (PARTITION BY file_id ORDER BY t_start, event_id) AS seq FROM ref),
+  sw0 AS (SELECT wkey, list(sound ORDER BY pos) AS pron, min(event_id) AS e FROM su GROUP BY 1),
+  sw AS (SELECT wkey, e, pron, translate(regexp_replace(array_to_string(pron, ''), 'i̥|ɯ̥|i|ɯ', 'u', 'g'), 'st', 'kk') AS word FROM sw0),
+  lex AS (SELECT word, pron, min(e) AS ord FROM sw WHERE e % 9 <> 0 GROUP BY 1, 2)"""
+#: values of every variant of a word at every position and in every gap of every other
+AT_PLACES = f"""pairs AS (SELECT x.word, array_to_string(x.pron, ' ') AS p, array_to_string(y.pron, ' ') AS v, x.pron AS a, y.pron AS b FROM lex x JOIN lex y USING (word)),
+  {edit_ctes("p, v", _sound_sql)},
+  at_pos AS (SELECT word, p, pi - 1 AS pos, CASE WHEN kind = 'paired' THEN {_VALUE.format("b[pj]")} ELSE 'A' END AS val FROM walk JOIN pairs USING (p, v) WHERE kind IN ('paired', 'left out')),
+  gaps AS (SELECT word, p, v, unnest(range(0, len(a) + 1)) AS gap FROM pairs),
+  put AS (SELECT p, v, pi AS gap, {_VALUE.format("b[pj]")} AS val FROM walk JOIN pairs USING (p, v) WHERE kind = 'added'),
+  at_gap AS (SELECT word, p, gap, CASE WHEN bool_or(val = 'V') THEN 'V' WHEN bool_or(val = 'D') THEN 'D' ELSE 'A' END AS val FROM gaps LEFT JOIN put USING (p, v, gap) GROUP BY word, p, v, gap),
+  vals AS (SELECT word, p, pos, NULL::BIGINT AS gap, coalesce(string_agg(DISTINCT val, '' ORDER BY val), '') AS vals FROM at_pos GROUP BY 1, 2, 3
+    UNION ALL SELECT word, p, NULL, gap, string_agg(DISTINCT val, '' ORDER BY val) FROM at_gap GROUP BY word, p, gap)"""
 
-@query("g21_competing_positions")
+
+@query("a07_values_at", f"""WITH RECURSIVE {SOUNDED}, {AT_PLACES}
+  SELECT word, p AS pron, pos, gap, vals FROM vals WHERE gap IS NOT NULL OR string_split(p, ' ')[pos + 1] IN ({_list_sql(A.HIGH_BASE)})""", big="pos gap")
+def a07(spark, sf):
+    _, w, lex = sounded(spark, sf)
+    none = F.lit(None).cast("int")
+    at = w.select("word", "pron", F.posexplode("pron").alias("pos", "_s")).where(F.col("_s").isin(*sorted(A.HIGH_BASE))).select("word", "pron", "pos", none.alias("gap"))
+    between = w.select("word", "pron", none.alias("pos"), F.explode(F.sequence(F.lit(0), F.size("pron"))).alias("gap"))
+    v = A.values_at(at.unionByName(between), lex)
+    return v.select("word", F.array_join("pron", " ").alias("pron"), "pos", "gap", "vals")
+
+
+@query("g21_competing_positions", f"""WITH RECURSIVE {SOUNDED},
+  anchors AS (SELECT word, first(pron ORDER BY len(list_filter(pron, lambda x: x IN ({_list_sql(A.ALL_VOWELS)}))) DESC, len(pron) DESC, ord) AS a FROM lex GROUP BY 1 HAVING count(*) > 1),
+  pairs AS (SELECT word, array_to_string(a, ' ') AS p, array_to_string(pron, ' ') AS v, a, pron AS b FROM lex JOIN anchors USING (word)),
+  {edit_ctes("p, v", _sound_sql)},
+  e AS (SELECT word, p, v, pi - 1 AS pos, CASE WHEN kind = 'paired' THEN {_VALUE.format("b[pj]")} ELSE 'A' END AS value FROM walk JOIN pairs USING (p, v) WHERE kind IN ('paired', 'left out') AND a[pi] IN ({_list_sql(A.HIGH_BASE)}))
+  SELECT word, p AS anchor, v AS pron, pos, value FROM e SEMI JOIN (SELECT word, pos FROM e GROUP BY 1, 2 HAVING bool_or(value = 'V') AND bool_or(value IN ('D', 'A'))) USING (word, pos)""", big="pos")
 def g21(spark, sf):
     _, _, lex = sounded(spark, sf)
     c = TK.competing_positions(lex)
     return c.select("word", F.array_join("anchor", " ").alias("anchor"), F.array_join("pron", " ").alias("pron"), "pos", "value")
 
 
-@query("m06_decide_tokens")
+@query("m06_decide_tokens", f"""WITH RECURSIVE {SOUNDED}, {ALN}, {AT_PLACES},
+  un AS (SELECT 'h' || event_id AS unit_id, file_id, seq, wkey, pos, sound AS label FROM su),
+  al AS (SELECT file_id, ref_unit_id, error_type, event_id % 3 < 2 AS wanted, event_id % 4 = 0 AS fused, row_number() OVER (PARTITION BY file_id ORDER BY t_start, event_id) AS place,
+    CASE WHEN event_id % 5 = 0 AND len(hyp_unit_ids) > 0 THEN hyp_unit_ids || ['h' || lead(event_id) OVER (PARTITION BY file_id ORDER BY t_start, event_id)] ELSE hyp_unit_ids END AS ids FROM aln WHERE ref_unit_id IS NOT NULL),
+  near AS (SELECT *, last_value(CASE WHEN len(ids) > 0 THEN ids[-1] END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_id,
+    first_value(CASE WHEN len(ids) > 0 THEN ids[1] END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_id FROM al),
+  hit AS (SELECT ref_unit_id, fused, q, wkey, pos, un.label IN ({_list_sql(A.ALL_VOWELS)}) AS vo, un.label IN ({_list_sql(A.HIGH_BASE)}) AS hi FROM (SELECT ref_unit_id, fused, unnest(ids) AS unit_id, unnest(range(0, len(ids))) AS q FROM near WHERE wanted AND error_type <> 'omission') JOIN un USING (unit_id)),
+  mt AS (SELECT ref_unit_id, fused, count(*) FILTER (vo) AS nv, count(*) FILTER (hi) AS nh, first({{'w': wkey, 'p': pos}} ORDER BY q) FILTER (vo) AS v, first({{'w': wkey, 'p': pos}} ORDER BY q) FILTER (hi) AS h, first({{'w': wkey, 'p': pos}} ORDER BY q DESC) AS l FROM hit GROUP BY 1, 2),
+  matched AS (SELECT ref_unit_id, CASE WHEN nv > 1 AND nh <> 1 THEN 'ambiguous_vowel_units' WHEN nv = 0 AND NOT fused THEN 'excluded_no_vowel' END AS reason,
+    CASE WHEN nv = 0 AND fused THEN l.w WHEN nv = 1 THEN v.w WHEN nh = 1 THEN h.w END AS wkey, CASE WHEN nv = 1 THEN v.p WHEN nv > 1 AND nh = 1 THEN h.p END AS pos, CASE WHEN nv = 0 AND fused THEN l.p + 1 END AS gap, 0 AS rank FROM mt),
+  sides AS (SELECT ref_unit_id, a.wkey AS aw, a.pos AS ap, b.wkey AS bw, b.pos AS bp, len(x.pron) AS al, prev_id IS NULL OR next_id IS NULL AS edge, coalesce(a.file_id = b.file_id AND b.seq = a.seq + 1, false) AS beside
+    FROM near LEFT JOIN un a ON a.unit_id = prev_id LEFT JOIN un b ON b.unit_id = next_id LEFT JOIN sw x ON x.wkey = a.wkey WHERE wanted AND error_type = 'omission'),
+  cands AS (SELECT *, CASE WHEN aw = bw THEN [{{'w': bw, 'g': bp, 'r': 0}}] ELSE list_filter([CASE WHEN ap = al - 1 THEN {{'w': aw, 'g': al, 'r': 0}} END, CASE WHEN bp = 0 THEN {{'w': bw, 'g': 0, 'r': 1}} END], lambda c: c IS NOT NULL) END AS c FROM sides),
+  omitted AS (SELECT ref_unit_id, NULL::VARCHAR AS reason, c.w AS wkey, NULL::BIGINT AS pos, c.g AS gap, c.r AS rank FROM (SELECT ref_unit_id, unnest(c) AS c FROM cands WHERE NOT edge AND beside)
+    UNION ALL SELECT ref_unit_id, CASE WHEN edge THEN 'omission_edge' WHEN NOT beside THEN 'omission_not_adjacent' ELSE 'omission_no_word' END, NULL, NULL, NULL, 0 FROM cands WHERE edge OR NOT beside OR len(c) = 0),
+  chosen AS (SELECT * FROM (SELECT * FROM matched UNION ALL SELECT * FROM omitted) o LEFT JOIN (SELECT wkey, word, pron FROM sw) USING (wkey)
+    LEFT JOIN (SELECT word AS w2, p, pos AS pos2, gap AS gap2, vals FROM vals) ON reason IS NULL AND w2 = word AND p = array_to_string(pron, ' ') AND pos2 IS NOT DISTINCT FROM pos AND gap2 IS NOT DISTINCT FROM gap
+    QUALIFY row_number() OVER (PARTITION BY ref_unit_id ORDER BY NOT coalesce(contains(vals, 'V'), false), rank) = 1),
+  told AS (SELECT *, CASE WHEN pos IS NOT NULL THEN {_VALUE.format("pron[pos + 1]")} ELSE 'A' END AS hv FROM chosen),
+  why AS (SELECT * REPLACE (coalesce(reason, CASE WHEN wkey IS NULL OR (pos IS NULL AND gap IS NULL) THEN 'no_word' WHEN vals IS NULL THEN 'word_not_in_dictionary' WHEN hv IS NULL THEN 'position_not_vowel' END) AS reason) FROM told)
+  SELECT ref_unit_id, reason, wkey, word, pos, gap, CASE WHEN reason IS NULL THEN vals END AS vals, CASE WHEN reason IS NULL THEN hv END AS hyp_value, CASE WHEN reason IS NULL THEN CASE WHEN hv IN ('D', 'A') THEN 'devoiced' ELSE 'voiced' END END AS hyp_label,
+    CASE WHEN reason IS NULL THEN CASE WHEN vals LIKE '%V%' AND (vals LIKE '%D%' OR vals LIKE '%A%') THEN 'competing' ELSE 'lexical' END END AS status,
+    CASE WHEN reason IS NULL THEN CASE WHEN vals LIKE '%V%' AND vals LIKE '%D%' AND vals LIKE '%A%' THEN 'mixed' WHEN vals LIKE '%V%' AND vals LIKE '%D%' THEN 'symbol' WHEN vals LIKE '%V%' AND vals LIKE '%A%' THEN 'presence' ELSE '' END END AS ctype FROM why""", big="pos gap")
 def m06(spark, sf):
     u, w, lex = sounded(spark, sf)
-    units = u.select(F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("unit_id"), "file_id", "seq", "wkey", "pos", F.col("sound").alias("label"))
-    a = B.alignment(spark, sf).where("ref_unit_id is not null and n_hyp_units < 2")
-    a = a.select("file_id", F.struct("t_start", "event_id").alias("place"), "ref_unit_id", "error_type", "hyp_unit_ids", (F.col("event_id") % 3 < 2).alias("wanted"), (F.col("event_id") % 4 == 0).alias("fused"))
-    a = a.withColumn("place", F.col("place.t_start"))
-    d = TK.decide_tokens(a, units, w, lex)
-    return d.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("ctype", F.lit("")).alias("ctype")).agg(F.count("*").alias("n"))
+    e = F.col("event_id")
+    units = u.select(F.concat(F.lit("h"), e.cast("string")).alias("unit_id"), "file_id", "seq", "wkey", "pos", F.col("sound").alias("label"))
+    a = scan(B.alignment(spark, sf).where("ref_unit_id is not null"), ["file_id"], ["t_start", "event_id"], {"place": number(), "after": lead("event_id")})
+    # every fifth reference also meets the next unit, so that some meet two vowels
+    more = F.when((e % 5 == 0) & (F.size("hyp_unit_ids") > 0), F.concat("hyp_unit_ids", F.array(F.concat(F.lit("h"), F.col("after").cast("string"))))).otherwise(F.col("hyp_unit_ids"))
+    a = a.select("file_id", "place", "ref_unit_id", "error_type", more.alias("hyp_unit_ids"), (e % 3 < 2).alias("wanted"), (e % 4 == 0).alias("fused"))
+    return TK.decide_tokens(a, units, w, lex)

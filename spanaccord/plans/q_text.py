@@ -84,27 +84,36 @@ def t06(spark, sf):
     return d.select("word", H.classify_pair(F.col("token"), other).alias("label"))
 
 
-@query("t07_contrast_kind", f"""WITH d AS (SELECT word, citation, applied, CASE WHEN len(citation) = len(applied) AND citation <> applied THEN citation[border + 1] END AS x, CASE WHEN len(citation) = len(applied) AND citation <> applied THEN applied[border + 1] END AS y FROM ip),
-  m AS (SELECT *, {CLS}[x] AS cx, {CLS}[y] AS cy FROM d)
-  SELECT word, CASE WHEN len(citation) <> len(applied) THEN 'count_changes' WHEN citation = applied THEN 'none' WHEN (x || ' ' || y) IN ('p̚ b','t̚ d','k̚ ɡ','t̚ dʑ','k̚ ɟ','b p̚','d t̚','ɡ k̚','dʑ t̚','ɟ k̚') THEN 'release_voicing' WHEN cx IS NULL OR cy IS NULL THEN 'other' WHEN cx = cy AND cx IN ('P','T','K','S','C') THEN 'laryngeal' ELSE 'manner_place' END AS kind FROM m""", ctes=[W, IPA])
+RELEASED = ", ".join(f"'{a} {b}', '{b} {a}'" for a, b in PH.RELEASE)
+
+
+@query("t07_contrast_kind", f"""WITH d AS (SELECT word, citation, applied, CASE WHEN len(citation) = len(applied) THEN list_filter(list_zip(citation, applied), lambda z: z[1] <> z[2]) END AS d FROM ip),
+  m AS (SELECT *, d[1][1] AS x, d[1][2] AS y, {CLS}[d[1][1]] AS cx, {CLS}[d[1][2]] AS cy FROM d)
+  SELECT word, CASE WHEN d IS NULL THEN 'count_changes' WHEN len(d) = 0 THEN 'none' WHEN len(d) > 1 THEN 'several_places' WHEN (x || ' ' || y) IN ({RELEASED}) THEN 'release_voicing' WHEN cx IS NULL OR cy IS NULL THEN 'other' WHEN cx = cy AND cx IN ('P','T','K','S','C') THEN 'laryngeal' ELSE 'manner_place' END AS kind FROM m""", ctes=[W, IPA])
 def t07(spark, sf):
     return B.ipa_pairs(spark, sf).select("word", PH.contrast_kind(F.col("citation"), F.col("applied")).alias("kind"))
 
 
-def _grow(k):
-    s = ",".join(f"'{x}'" for x in PH.GROWS[k])
-    f = lambda c: f"list_sum(list_transform({c}, lambda p: CASE WHEN replace(p, 'ː', '') IN ({s}) THEN CASE WHEN p LIKE '%ː%' THEN 2 ELSE 1 END ELSE 0 END))"
-    return f"{f('applied')} > {f('citation')}"
+_BARE = "regexp_replace(replace(p, 'ː', ''), '(.)[ʲʷ]$', '\\1')"
+_kmap = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in PH.KEPT_CLASS.items()) + "}"
+
 
+def _counted(c: str, hit: str) -> str:
+    return f"coalesce(list_sum(list_transform({c}, lambda p: CASE WHEN {hit} THEN CASE WHEN p LIKE '%ː%' THEN 2 ELSE 1 END ELSE 0 END)), 0)"
 
-_kept = PH.KEPT_CLASS
-_kmap = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in _kept.items()) + "}"
-_kc = lambda c, k: f"coalesce(list_sum(list_transform({c}, lambda p: CASE WHEN {_kmap}[replace(p, 'ː', '')] = '{k}' THEN CASE WHEN p LIKE '%ː%' THEN 2 ELSE 1 END ELSE 0 END)), 0)"
-LIAISON = " AND ".join(f"{_kc('applied', k)} >= {_kc('citation', k)}" for k in dict.fromkeys(_kept.values()) if k != "H") + " AND citation <> applied"
 
+def valid_sql(c: str, a: str) -> str:
+    """Whether form ``a`` holds the change declared against form ``c``."""
+    def grows(k):
+        hit = f"{_BARE} IN ({', '.join(repr(x) for x in PH.GROWS[k])})"
+        return f"{_counted(a, hit)} > {_counted(c, hit)}"
 
-@query("t08_variant_valid", f"""SELECT word, change, coalesce(CASE change WHEN 'tensification' THEN {_grow('tensification')} WHEN 'aspiration' THEN {_grow('aspiration')} WHEN 'nasalization_obstruent' THEN {_grow('nasalization')} WHEN 'nasalization_liquid' THEN {_grow('nasalization')}
-  WHEN 'liquidization' THEN list_has_any(applied, ['ʎː','ɭː','lː']) OR {_grow('liquidization')} WHEN 'palatalization' THEN {_grow('palatalization')} ELSE {LIAISON} END, false) AS valid FROM ip""", ctes=[W, IPA])
+    kept = " AND ".join(f"{_counted(a, f'{_kmap}[{_BARE}] = {k!r}')} >= {_counted(c, f'{_kmap}[{_BARE}] = {k!r}')}" for k in dict.fromkeys(PH.KEPT_CLASS.values()) if k != "H")
+    return f"""CASE change WHEN 'tensification' THEN {grows('tensification')} WHEN 'aspiration' THEN {grows('aspiration')} WHEN 'nasalization_obstruent' THEN {grows('nasalization')} WHEN 'nasalization_liquid' THEN {grows('nasalization')}
+  WHEN 'liquidization' THEN list_has_any({a}, ['ʎː','ɭː','lː']) OR {grows('liquidization')} WHEN 'palatalization' THEN {grows('palatalization')} ELSE {kept} AND {c} <> {a} END"""
+
+
+@query("t08_variant_valid", f"SELECT word, change, {valid_sql('citation', 'applied')} AS valid FROM ip", ctes=[W, IPA])
 def t08(spark, sf):
     v = PH.variant_valid(F.col("change"), F.col("citation"), F.col("applied"))
     return B.ipa_pairs(spark, sf).select("word", "change", v.alias("valid"))
@@ -119,15 +128,44 @@ def t09(spark, sf):
     return L.bigram_report(B.ipa_pairs(spark, sf), "change", "decided")
 
 
-@query("t10_synthesise")
+def _look(table: dict, key: str) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + f"}}[{key}]"
+
+
+def _in(key: str, values) -> str:
+    return f"{key} IN ({', '.join(repr(x) for x in values)})"
+
+
+@query("t10_synthesise", f"""WITH k AS (SELECT *, border > 0 AS inside, citation[border] AS coda, citation[border + 1] AS onset, citation[1:border - 1] AS bef, citation[border + 1:] AS aft, citation[border + 2:] AS rest, {valid_sql('citation', 'applied')} AS ok FROM ip),
+  m AS (SELECT *, {_look(PH.TO_NASAL, 'coda')} AS nasal, {_look(PH.TO_TENSE, 'onset')} AS tense, {_look(PH.TO_ONSET, 'coda')} AS moved, {_look(PH.TO_PALATAL, 'coda')} AS palatal, {_in('onset', PH.PALATAL_SOUNDS)} OR onset LIKE '%ʲ' AS soft,
+    CASE WHEN {_in('onset', PH.H_SOUNDS)} AND {_look(PH.TO_ASPIRATE, 'coda')} IS NOT NULL THEN {_look(PH.TO_ASPIRATE, 'coda')} WHEN {_in('coda', PH.H_SOUNDS)} THEN {_look(PH.TO_ASPIRATE, 'onset')} END AS merged FROM k),
+  f AS (SELECT *, CASE WHEN onset = 'j' THEN CASE WHEN moved = 'ɡ' THEN 'ɟ' ELSE moved || 'ʲ' END WHEN {_in('onset', PH.GLIDES)} THEN moved || 'ʷ' END AS fused FROM m),
+  made AS (SELECT *, CASE WHEN ok THEN applied WHEN change = 'nasalization_obstruent' AND inside AND nasal IS NOT NULL THEN bef || [nasal] || aft WHEN change = 'nasalization_liquid' AND inside THEN bef || [coalesce(nasal, coda), CASE WHEN soft THEN 'ɲ' ELSE 'n' END] || rest
+    WHEN change = 'tensification' AND tense IS NOT NULL THEN CASE WHEN inside THEN bef || [coda, tense] || rest ELSE [tense] || rest END WHEN change = 'liquidization' AND inside THEN bef || [CASE WHEN soft THEN 'ʎː' ELSE 'ɭː' END] || rest
+    WHEN change = 'aspiration' AND inside AND merged IS NOT NULL THEN bef || [merged] || rest WHEN change = 'liaison' AND inside AND moved IS NOT NULL THEN CASE WHEN {_in('fused', PH.MODEL_PHONES)} THEN bef || [fused] || rest ELSE bef || [moved] || aft END
+    WHEN change = 'palatalization' AND inside AND palatal IS NOT NULL THEN bef || [palatal] || aft ELSE citation END AS form FROM f)
+  SELECT word, change, array_to_string(form, ' ') AS form, CASE WHEN ok THEN 'given' WHEN {valid_sql('citation', 'form')} THEN 'rewritten' ELSE 'still_invalid' END AS note FROM made""", ctes=[W, IPA])
 def t10(spark, sf):
     d = L.synthesise(B.ipa_pairs(spark, sf))
     return d.select("word", "change", F.array_join("form", " ").alias("form"), "note")
 
 
-@query("t11_doubled_vowel_verdict")
+_fold = "sym"
+for _v in L.SHORT_VOWELS:
+    _fold = f"replace({_fold}, '{_v} {_v}', '{_v}ː')"
+_kana = " OR ".join(f"regexp_matches(surf, '[{v}][{v[0]}{v[len(v) // 2]}]')" for v in L.KANA_ROWS.values())
+_KEEP = "('compound_mark', 'letter_spelling', 'particle_phrase')"
+
+
+@query("t11_doubled_vowel_verdict", f"""WITH l AS (SELECT DISTINCT lower(word) AS word FROM words),
+  s AS (SELECT CASE WHEN length(word) % 5 = 0 THEN translate(word, 'aeiou', 'あえいおう') WHEN length(word) % 5 = 1 THEN word || '・' ELSE translate(word, 'aeioust', 'ああいおうのさ') END AS surf,
+    array_to_string(list_transform(string_split(CASE WHEN length(word) % 3 = 0 THEN replace(word, 'oo', 'o:') ELSE word END, ''), lambda x: CASE WHEN x = ':' THEN 'ː' ELSE x END), ' ') AS sym FROM l),
+  d AS (SELECT *, {_fold} IN (SELECT sym FROM s) AS known, len(regexp_extract_all(surf, '[A-Za-zＡ-Ｚａ-ｚ0-9０-９]')) AS latin FROM s WHERE {_fold} <> sym),
+  v AS (SELECT surf AS word, sym AS symbols, CASE WHEN contains(surf, '・') THEN 'compound_mark' WHEN latin >= 2 AND latin / length(surf) >= 0.6::DOUBLE THEN 'letter_spelling' WHEN regexp_matches(surf, '[{L.PARTICLES}]') THEN 'particle_phrase'
+    WHEN known THEN 'cross_reference' WHEN contains(surf, 'ー') OR {_kana} THEN 'doubled_kana' ELSE 'uncertain' END AS signal FROM d)
+  SELECT *, CASE WHEN signal IN {_KEEP} THEN 'keep' WHEN signal = 'uncertain' THEN 'uncertain' ELSE 'merge' END AS verdict FROM v""", ctes=[W])
 def t11(spark, sf):
-    w = B.words(spark, sf).select(F.lower("word").alias("word")).distinct().where("word rlike '^[a-z]+$'")
+    w = B.words(spark, sf).select(F.lower("word").alias("word")).distinct()
     # a spelling in kana or letters, and a pronunciation in which doubled letters may already be folded
     sym = F.split(F.regexp_replace("word", "oo", "o:"), "")
     sym = F.transform(F.when(F.length("word") % 3 == 0, sym).otherwise(F.split("word", "")), lambda x: F.when(x == ":", "ː").otherwise(x))
