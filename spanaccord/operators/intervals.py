@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spanaccord.operators.scan import first_after, last_before, scan
+from spanaccord.operators.scan import first_after, last_before, running_sum, scan
+from spanaccord.settings import cut
 
 BASE_S = 1.0 / 1024
 
@@ -41,12 +42,28 @@ def point_join(points: DataFrame, at: Column, spans: DataFrame, lo: Column, hi:
 def point_in_interval(units: DataFrame, words: DataFrame, keys: list[str], start="t_start", end="t_end", w_start="w_start", w_end="w_end") -> DataFrame:
     """The first word, by start, end and its other columns, that holds the midpoint of a unit, half-open.
 
-    Repeated units count once.
+    Starts and ends of words and the midpoints are merged in time order and read once.  Where one word is
+    open and it is the one that began last, that is the answer.  Only midpoints under overlapping words are
+    joined with them, each time of a file once.  Every unit in a word gives a row, repeated ones too.
     """
     mid = (F.col(start) + F.col(end)) / 2
-    j = point_join(units, mid, words, F.col(w_start), F.col(w_end), keys).where(mid < F.col(w_end))
     own = [w_start, w_end, *[c for c in words.columns if c not in (*keys, w_start, w_end)]]
-    return j.groupBy(*units.columns).agg(F.min(F.struct(*own)).alias("_word")).select(*units.columns, "_word.*")
+    held = words.where(F.col(w_start) < F.col(w_end)).dropna(subset=keys)
+    rest = F.struct(*[c for c in units.columns if c not in keys])
+    word = F.struct(*own)
+
+    none = lambda of, like: F.lit(None).cast(of.select(like).schema[0].dataType)
+    row = lambda at, kind, step, w: F.struct(at.cast("double").alias("_mid"), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"), w.alias("_w"))
+    edges = F.explode(F.array(row(F.col(w_start), 1, 1, word), row(F.col(w_end), 0, -1, none(words, word)))).alias("_r")
+    merged = units.select(*keys, rest.alias("_unit"), row(mid, 2, 0, none(words, word)).alias("_r")).unionByName(held.select(*keys, none(units, rest).alias("_unit"), edges))
+    merged = cut(merged.select(*keys, "_unit", "_r.*"))     # read by the count of the scan and by both answers
+    s = scan(merged, keys, ["_mid", "_kind"], {"_word": last_before(F.col("_w")), "_open": running_sum(F.col("_step"))}, recheck=True)
+    s = s.where("_kind = 2 and _open > 0").select(*keys, "_unit", "_mid", "_word", ((F.col("_open") == 1) & (F.col("_mid") < F.col("_word")[w_end])).alias("_one"))
+    under = s.where(~F.col("_one")).drop("_word")
+    first = point_join(under.select(*keys, "_mid").distinct(), F.col("_mid"), held, F.col(w_start), F.col(w_end), keys).where(F.col("_mid") < F.col(w_end))
+    first = first.groupBy(*keys, "_mid").agg(F.min(word).alias("_word"))
+    both = s.where("_one").unionByName(under.join(first, [*keys, "_mid"]))
+    return both.select(*keys, "_unit.*", "_word.*").select(*units.columns, *own)
 
 
 def contained(units: DataFrame, spans: DataFrame, keys: list[str], eps: float = 1e-6, start="t_start", end="t_end", s_start="s_start", s_end="s_end") -> DataFrame:

@@ -132,6 +132,26 @@ def test_first_word_of_several(spark):
     assert [(r.unit_id, r.ipu_id) for r in I.point_in_interval(units, words, ["file_id"]).collect()] == [("u", "short")]
 
 
+def test_point_in_interval_by_brute_force(spark):
+    """Nested, equal, touching, empty and turned words, repeated units, units without a key, hot files."""
+    rng = random.Random(8)
+    words = [(f"f{i % 3}", float(a), float(a + rng.choice([-1, 0, 1, 2, 2, 3, 15])), f"w{i}") for i, a in enumerate(rng.choices(range(60), k=60))] + [(None, 0.0, 99.0, "n")]
+    words += words[:5]
+    units = [(f"u{i}", f"f{i % 3}", float(a), float(a + 1)) for i, a in enumerate(x / 8 for x in rng.choices(range(600), k=400))] + [("n", None, 1.0, 2.0), ("t", "f0", None, 2.0)]
+    units += units[:7]
+    u = spark.createDataFrame(units, "unit_id string, file_id string, t_start double, t_end double")
+    w = spark.createDataFrame(words, "file_id string, w_start double, w_end double, word string")
+    want = []
+    for i, f, a, b in units:
+        hit = sorted(x[1:] for x in words if f is not None and a is not None and x[0] == f and x[1] <= (a + b) / 2 < x[2])
+        want += [(i, hit[0][2])] if hit else []
+    for hot in ("50", "1000000"):
+        spark.conf.set("spark.spanaccord.hotRows", hot)
+        try:
+            assert sorted((r.unit_id, r.word) for r in I.point_in_interval(u, w, ["file_id"]).collect()) == sorted(want)
+        finally:
+            spark.conf.unset("spark.spanaccord.hotRows")
+
 def test_auc_mirrors_and_ties(spark):
     d = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.0, 1), (3.0, 1), (0.5, 0), (3.0, 0)], "s double, y int")
     a = R.auc(d, [], "s", "y").first().auc
