@@ -12,9 +12,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord import settings
@@ -221,24 +218,73 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def design_columns(df: DataFrame, design: str, process: str, levels: list[str], score: Column) -> DataFrame:
-    """L3: features of one of the four designs."""
+def design_columns(df: DataFrame, design: str, process: str, levels: list[str], score: Column) -> tuple[DataFrame, list[str]]:
+    """L3: the table with the features of one of the four designs, and their names."""
     dummies = [(F.col(process) == v).cast("double") for v in levels[1:]]
     each = [(F.col(process) == v).cast("double") * score for v in levels]
     cols = {"process": dummies, "boundary": [score], "process+boundary": [*dummies, score], "process*boundary": [*dummies, *each]}[design]
     names = [f"_x{i}" for i in range(len(cols))]
-    d = df.select("*", *[c.alias(n) for c, n in zip(cols, names)])
-    return VectorAssembler(inputCols=names, outputCol="_features").transform(d).drop(*names)
-
-
-def grouped_cv_logit(df: DataFrame, label: str, fold: str, folds: list[int], features: str = "_features") -> DataFrame:
-    """L3: out-of-fold probabilities of a logistic model, one fit per fold."""
-    lr = LogisticRegression(featuresCol=features, labelCol=label, maxIter=100, regParam=0.0, standardization=True, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    out = []
-    for f in folds:
-        model = lr.fit(df.where(F.col(fold) != f))
-        out.append(model.transform(df.where(F.col(fold) == f)).withColumn("p", vector_to_array("_prob")[1]).drop("_prob", "_raw", "_pred"))
-    return reduce(DataFrame.unionByName, out)
+    return df.select("*", *[c.alias(n) for c, n in zip(cols, names)]), names
+
+
+def _newton_sums(rows: DataFrame, beta: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """Per training set: log likelihood, its gradient and the weighted cross products, in one pass over (_y, _f, _x)."""
+    p = len(next(iter(beta.values())))
+    sets = F.array(*[F.struct(F.lit(f).alias("t"), F.array(*[F.lit(float(v)) for v in b]).alias("b")) for f, b in sorted(beta.items())])
+    r = rows.select("_y", "_f", "_x", F.explode(sets).alias("_s")).where("_f <> _s.t")
+    x = [F.lit(1.0), *[F.get("_x", F.lit(i)) for i in range(p - 1)]]
+    eta = reduce(lambda a, c: a + c, [x[i] * F.get("_s.b", F.lit(i)) for i in range(p)])
+    r = r.select(F.col("_s.t").alias("t"), "_y", "_x", eta.alias("_e")).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_e"))))
+    w = F.col("_p") * (1.0 - F.col("_p"))
+    like = F.col("_y") * F.col("_e") - F.greatest("_e", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_e")))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    sums = [F.sum(like).alias("l"), *[F.sum((F.col("_y") - F.col("_p")) * x[i]).alias(f"g{i}") for i in range(p)], *[F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]]
+    out = {}
+    for row in r.groupBy("t").agg(*sums).collect():
+        h = np.zeros((p, p))
+        for i, j in pairs:
+            h[i, j] = h[j, i] = row[f"h{i}_{j}"]
+        out[row["t"]] = (row["l"], np.array([row[f"g{i}"] for i in range(p)]), h)
+    return out
+
+
+def fold_logits(df: DataFrame, label: str, fold: str, folds: list[int], features: list[str], tol: float = 1e-10, most: int = 50) -> dict[int, np.ndarray]:
+    """Logistic coefficients (intercept first) fitted without each fold, by Newton steps for all folds together.
+
+    One pass over the rows a step; what comes back is one row of sums a fold.  A step that lowers the likelihood
+    is halved.  A fold is done when a step gains no more than ``tol`` of the log likelihood and a tenth, which also
+    ends where the features part the classes; if one is not done after ``most`` steps, this is an error.  A fold
+    that leaves no row to train on keeps zeros.
+    """
+    rows = settings.cut(df.select(F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x")))
+    done: dict[int, np.ndarray] = {}
+    beta = {f: np.zeros(len(features) + 1) for f in folds}
+    last: dict[int, tuple[float, np.ndarray]] = {}
+    for _ in range(most):
+        sums = _newton_sums(rows, beta)
+        for f in [f for f in beta if f not in sums]:
+            done[f] = beta.pop(f)
+        for f, (like, g, h) in sums.items():
+            if f in last and like < last[f][0] - tol * abs(last[f][0]):
+                beta[f] = (beta[f] + last[f][1]) / 2
+                continue
+            if f in last and like - last[f][0] <= tol * (abs(like) + 0.1):
+                done[f] = beta.pop(f)
+                continue
+            last[f] = (like, beta[f])
+            beta[f] = beta[f] + np.linalg.lstsq(h, g, rcond=1e-12)[0]
+        if not beta:
+            return done
+    raise ValueError(f"no convergence after {most} steps without folds {sorted(beta)}")
+
+
+def grouped_cv_logit(df: DataFrame, label: str, fold: str, folds: list[int], features: list[str]) -> DataFrame:
+    """L3: out-of-fold probabilities ``p`` of a logistic model; rows of other folds are left out."""
+    beta = fold_logits(df, label, fold, folds, features)
+    table = F.create_map(*[v for f in folds for v in (F.lit(f), F.array(*[F.lit(float(b)) for b in beta[f]]))])
+    d = df.where(F.col(fold).isin(folds)).withColumn("_b", table[F.col(fold)])
+    eta = reduce(lambda a, c: a + c, [F.get("_b", F.lit(i + 1)) * F.col(c) for i, c in enumerate(features)], F.get("_b", F.lit(0)))
+    return d.withColumn("p", 1.0 / (1.0 + F.exp(-eta))).drop("_b")
 
 
 def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int], base: list[str], extra: list[str], reps: int, seed: str = "1") -> DataFrame:
@@ -247,8 +293,7 @@ def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int]
 
     per = []
     for name, cols in (("auc0", base), ("auc1", [*base, *extra])):
-        d = VectorAssembler(inputCols=cols, outputCol="_features").transform(df)
-        pred = grouped_cv_logit(d, label, fold, folds).select(cluster, label, "p")
+        pred = grouped_cv_logit(df, label, fold, folds, cols).select(cluster, label, "p")
         per.append(auc(pred, [cluster], "p", label).select(cluster, F.col("auc").alias(name)))
     both = settings.cut(per[0].join(per[1], cluster).withColumn("gain", F.col("auc1") - F.col("auc0")))
     ci = boot_summary(boot_mean(both, cluster, "gain", reps, seed), [], "value")

