@@ -163,13 +163,25 @@ def nearest_nonempty(df: DataFrame, keys: list[str], order: list, ids: str) -> D
 
 
 def concentration(df: DataFrame, col: str, shares=(0.5, 0.8, 0.9), top: int = 10) -> DataFrame:
-    """Number of types that cover a share of the tokens; share of the top types."""
+    """Number of types that cover a share of the tokens; share of the top types.
+
+    Types of one count form a cell, so what is ordered grows with the distinct counts, not with the types.
+    """
     n = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    s = scan(n.withColumn("_neg", -F.col("n")), [], ["_neg", col], {"cum": running_sum("n"), "all": total("n"), "rn": number()})
+    cells = n.groupBy("n").agg(F.count(F.lit(1)).alias("c")).withColumn("_neg", -F.col("n"))
+    s = scan(cells, [], ["_neg"], {"cum": running_sum(F.col("n") * F.col("c")), "all": total(F.col("n") * F.col("c")), "rn": running_sum("c")})
+    s = s.withColumn("before", F.col("cum") - F.col("n") * F.col("c")).withColumn("first", F.col("rn") - F.col("c"))
+
+    def types(p: float) -> Column:
+        want = F.lit(p) * F.col("all")
+        k = F.greatest(F.ceil((want - F.col("before")) / F.col("n")), F.lit(1))
+        k = F.when((k > 1) & (F.col("before") + (k - 1) * F.col("n") >= want), k - 1).otherwise(k)
+        return F.min(F.when(F.col("cum") >= want, F.col("first") + k))
+
     return s.agg(
-        *[F.min(F.when(F.col("cum") >= F.lit(p) * F.col("all"), F.col("rn"))).alias(f"types_{int(p * 100)}") for p in shares],
-        (F.sum(F.when(F.col("rn") <= top, F.col("n"))) / F.max("all")).alias(f"top{top}_share"),
-        F.count(F.lit(1)).alias("n_types"),
+        *[types(p).cast("long").alias(f"types_{int(p * 100)}") for p in shares],
+        (F.sum(F.greatest(F.least("c", F.lit(top) - F.col("first")), F.lit(0)) * F.col("n")) / F.max("all")).alias(f"top{top}_share"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n_types"),
     )
 
 

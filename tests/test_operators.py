@@ -254,6 +254,17 @@ def test_cv_logit_against_newton(spark):
     assert {r.p for r in MD.grouped_cv_logit(d.where("fold = 0"), "y", "fold", [0], ["x"]).collect()} == {0.5}
 
 
+def test_concentration_by_brute_force(spark):
+    """Shares that fall on, before and inside a cell of equal counts; fewer types than the top; no type."""
+    for counts in ([5, 5, 5, 5], [50, 30, 10, 5, 1, 1, 1, 1, 1], [1] * 30, [7], []):
+        d = spark.createDataFrame([(f"w{i}",) for i, n in enumerate(counts) for _ in range(n)], "w string")
+        cum = list(itertools.accumulate(sorted(counts, reverse=True)))
+        want = [next((i + 1 for i, c in enumerate(cum) if c >= p * cum[-1]), None) for p in (0.5, 0.8, 0.9)]
+        r = W.concentration(d, "w").first()
+        assert [r.types_50, r.types_80, r.types_90] == want and r.n_types == len(counts)
+        assert r.top10_share == (pytest.approx(cum[min(10, len(cum)) - 1] / cum[-1]) if counts else None)
+
+
 def test_concordance_is_refused(spark):
     d = spark.createDataFrame([("csj", "accuracy"), ("jsut", "concordance")], "corpus string, metric_type string")
     with pytest.raises(Exception, match="jsut"):
