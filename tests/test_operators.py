@@ -145,12 +145,13 @@ def test_point_in_interval_by_brute_force(spark):
     for i, f, a, b in units:
         hit = sorted(x[1:] for x in words if f is not None and a is not None and x[0] == f and x[1] <= (a + b) / 2 < x[2])
         want += [(i, hit[0][2])] if hit else []
+    given = spark.conf.get("spark.spanaccord.hotRows")
     for hot in ("50", "1000000"):
         spark.conf.set("spark.spanaccord.hotRows", hot)
         try:
             assert sorted((r.unit_id, r.word) for r in I.point_in_interval(u, w, ["file_id"]).collect()) == sorted(want)
         finally:
-            spark.conf.unset("spark.spanaccord.hotRows")
+            spark.conf.set("spark.spanaccord.hotRows", given)
 
 def test_auc_mirrors_and_ties(spark):
     d = spark.createDataFrame([(1.0, 1), (2.0, 0), (2.0, 1), (3.0, 1), (0.5, 0), (3.0, 0)], "s double, y int")
