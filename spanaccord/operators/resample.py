@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from spanaccord import settings
 from spanaccord.functions.hashing import h32, hex_hash
 from spanaccord.operators.aggregate import div
 from spanaccord.operators.groups import beside
@@ -32,12 +33,16 @@ def cluster_index(df: DataFrame, key: str) -> DataFrame:
 def cluster_weights(df: DataFrame, key: str, reps: int, seed: str = "1", weight: str = "w") -> DataFrame:
     """B1: how often each cluster is drawn in each replicate (rows with zero are left out).
 
-    Slot i of replicate b draws cluster hash(seed, b, i) mod n.
+    Slot i of replicate b draws cluster hash(seed, b, i) mod n.  There are clusters times replicates of them,
+    which no size estimate knows of: the clusters are dealt out before they are multiplied, the draws are
+    shuffled once and counted there, and the hints keep the weights from ever being broadcast.
     """
     idx = cluster_index(df, key)
-    slots = idx.select("idx", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
-    drawn = slots.groupBy("b", (h32(seed, F.col("b"), F.col("idx")) % F.col("n")).alias("idx")).agg(F.count(F.lit(1)).alias(weight))
-    return drawn.join(idx.select(key, "idx"), "idx").select(key, "b", weight)
+    dealt = idx.repartition(settings.parts(df.sparkSession), "idx")
+    slots = dealt.select("idx", "n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
+    drawn = slots.select("b", (h32(seed, F.col("b"), F.col("idx")) % F.col("n")).alias("idx")).repartition("idx")
+    drawn = drawn.groupBy("idx", "b").agg(F.count(F.lit(1)).alias(weight))
+    return drawn.hint("merge").join(idx.select(key, "idx"), "idx").select(key, "b", weight).hint("merge")
 
 
 def weighted_sums(stats: DataFrame, weights: DataFrame, key: str, by: list[str], cols: list[str], weight: str = "w") -> DataFrame:
@@ -48,14 +53,16 @@ def weighted_sums(stats: DataFrame, weights: DataFrame, key: str, by: list[str],
 def two_way_sums(cells: DataFrame, k1: str, k2: str, by: list[str], cols: list[str], reps: int, seed: str = "1") -> DataFrame:
     """B2: sums weighted by the product of the multiplicities of two crossed keys.
 
-    The sum over the second key is taken first, within the first key; only that
-    smaller table meets the second weights.
+    The sum over the key with more values is taken first, within the other key; only that
+    smaller table meets the other weights.
     """
     c = cells.groupBy(k1, k2, *by).agg(*[F.sum(x).alias(x) for x in cols])
-    w2 = cluster_weights(cells, k2, reps, f"{seed}-{k2}", "_w2")
-    inner = c.join(w2, k2).groupBy(k1, *by, "b").agg(*[F.sum(F.col(x) * F.col("_w2")).alias(x) for x in cols])
-    w1 = cluster_weights(cells, k1, reps, f"{seed}-{k1}", "_w1")
-    return inner.join(w1, [k1, "b"]).groupBy(*by, "b").agg(*[F.sum(F.col(x) * F.col("_w1")).alias(x) for x in cols])
+    n = cells.agg(*[F.approx_count_distinct(k).alias(k) for k in (k1, k2)]).first()
+    many, few = (k1, k2) if n[k1] >= n[k2] else (k2, k1)
+    w = cluster_weights(cells, many, reps, f"{seed}-{many}", "_w1")
+    inner = c.join(w, many).groupBy(few, *by, "b").agg(*[F.sum(F.col(x) * F.col("_w1")).alias(x) for x in cols])
+    w = cluster_weights(cells, few, reps, f"{seed}-{few}", "_w2")
+    return inner.join(w, [few, "b"]).groupBy(*by, "b").agg(*[F.sum(F.col(x) * F.col("_w2")).alias(x) for x in cols])
 
 
 def two_way_weights(cells: DataFrame, k1: str, k2: str, reps: int, seed: str = "1") -> DataFrame:
@@ -67,7 +74,8 @@ def two_way_weights(cells: DataFrame, k1: str, k2: str, reps: int, seed: str = "
 
 
 def boot_summary(reps: DataFrame, by: list[str], value: str, mode: str = "linear") -> DataFrame:
-    """Interval, standard error and number of valid replicates."""
+    """Interval, standard error and number of valid replicates; the replicates are kept, as they are read several times."""
+    reps = settings.cut(reps)
     a = reps.groupBy(*by).agg(F.count(value).alias("n_valid"), F.stddev_samp(value).alias("se"))
     q = quantiles(reps, by, value, {"low": 0.025, "high": 0.975}, mode)
     return a.join(q, by, "left") if by else beside(a, q)

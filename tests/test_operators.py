@@ -390,3 +390,26 @@ def test_null_group_keys_stay_in_summaries(spark):
     assert dur[None].hand_median == np.median([r[2] for r in rows if r[0] is None])
     by = {r.condition: r for r in G.by_conditions(d, {"a": F.col("k") == "a"}, {"e": F.col("e"), "h": F.col("dur_hand_ms")}).collect()}
     assert set(by) == {None, "a=true", "a=false"} and by["a=false"].e_median is None and by["a=false"].h_median == 3.0 and by[None].n == 41
+
+
+def test_bootstrap_weights_are_never_broadcast(spark, whole_keys):
+    d = spark.createDataFrame([(f"k{i}", i % 3, i, 2) for i in range(30)], "k string, g int, v int, m int")
+    for frame in (RS.cluster_weights(d, "k", 50), RS.boot_ratio(d, "k", ["g"], "v", "m", 50), RS.boot_mean(d, "k", "v", 50)):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_two_way_sums_in_either_order(spark):
+    rng = random.Random(3)
+    rows = [(f"a{rng.randrange(9)}", f"b{rng.randrange(4)}", rng.choice("xy"), rng.randrange(5)) for _ in range(120)]
+    d = spark.createDataFrame(rows, "a string, b2 string, g string, v long")
+    wa = {(r.a, r.b): r.w for r in RS.cluster_weights(d, "a", 6, "1-a").collect()}
+    wb = {(r.b2, r.b): r.w for r in RS.cluster_weights(d, "b2", 6, "1-b2").collect()}
+    want = {}
+    for a, b2, g, v in rows:
+        for b in range(6):
+            if (a, b) in wa and (b2, b) in wb:
+                want[g, b] = want.get((g, b), 0) + v * wa[a, b] * wb[b2, b]
+    for k1, k2 in (("a", "b2"), ("b2", "a")):
+        assert {(r.g, r.b): r.v for r in RS.two_way_sums(d, k1, k2, ["g"], ["v"], 6).collect()} == want
+    keys = RS.two_way_sums(d, "b2", "a", ["g"], ["v"], 6)._jdf.queryExecution().analyzed().toString()
+    assert keys.index("Aggregate [g#") < keys.index("Aggregate [b2#")       # summed within the key of few values first
