@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spanaccord import settings
 from spanaccord.functions.hashing import h32, hex_hash
+from spanaccord.operators.groups import join_groups
 from spanaccord.operators.resample import cluster_index
 from spanaccord.operators.scan import _c, number, scan, total
 
 SALTS = 64
+#: width of the cells of a hash of 32 bits, of which there are 1,024
+HASH_CELL = 1 << 22
 
 
 def cap_sample(df: DataFrame, strata: list[str], cap: int, key, seed: str = "1") -> DataFrame:
@@ -65,13 +68,26 @@ def case_control(df: DataFrame, processes: list[str], cap: int, process="process
 
 
 def balanced_draws(df: DataFrame, word: str, label: str, key, draws: int, seed: str = "1") -> DataFrame:
-    """Per draw and word, as many rows of either class as the rarer class has."""
+    """Per draw and word, as many rows of either class as the rarer class has.
+
+    The hashes are counted in equal cells first: the running counts tell the cell in which the wanted number
+    is reached.  Rows of lower cells are in, those of higher ones out, and only the rows of that cell are ranked,
+    so no class of a word is sorted as a whole.
+    """
     n = df.groupBy(word).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q"))
-    n = n.select(word, F.least("_p", "_q").alias("_k")).where("_k > 0")
-    d = df.join(n, word).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    n = n.select(F.col(word), F.least("_p", "_q").alias("_k")).where(F.col("_k") > 0).where(F.col(word).isNotNull())
     h = h32(seed, F.col("draw"), _c(key))
-    r = scan(d.withColumn("_h", h).withColumn("_key", _c(key)), ["draw", word, label], ["_h", "_key"], {"_r": number()})
-    return r.where(F.col("_r") <= F.col("_k")).drop("_k", "_h", "_key", "_r")
+    d = join_groups(df, n, [word]).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    d = d.withColumn("_h", h).withColumn("_key", _c(key)).withColumn("_cell", F.floor(F.col("_h") / HASH_CELL).cast("int"))
+    by = ["draw", word, label]
+    cells = d.groupBy(*by, "_k", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    cells = cells.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy("_cell")))
+    edge = cells.where("_upto >= _k and _upto - _n < _k").select(*by, F.col("_cell").alias("_edge"), (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_left"))
+    d = join_groups(d, edge, by, "left")
+    inside = d.where("_edge is null or _cell < _edge")
+    ranked = d.where("_cell = _edge").withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_key")))
+    both = inside.unionByName(ranked.where("_r <= _left").drop("_r"))
+    return both.select(word, *[c for c in df.columns if c != word], "draw")
 
 
 def spread_sample(df: DataFrame, category: str, kind: list[str], speaker: str, key, per_cat: int, seed: str = "1") -> DataFrame:
