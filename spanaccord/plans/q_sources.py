@@ -60,10 +60,10 @@ def s05(spark, sf):
     )
     ipu = p.groupBy("file_id", "ipu_id").agg(F.array_join(F.array_sort(F.collect_list(mora)), "").alias("x"))
     ipu = ipu.select("file_id", F.concat(F.lit('<IPU IPUID="'), "ipu_id", F.lit('" IPUStartTime="0" IPUEndTime="1"><LUW>'), "x", F.lit("</LUW></IPU>")).alias("i"))
-    # many recordings in a file: their number grows with the events, that of files with the tasks
+    # one recording per line: their number grows with the events, that of files with the tasks
     talk = ipu.groupBy("file_id").agg(F.array_join(F.collect_list("i"), "").alias("x"))
     talk.select("file_id", F.concat(F.lit('<Talk TalkID="'), "file_id", F.lit('" SpeakerID="s">'), "x", F.lit("</Talk>")).alias("value")).select("value").write.text(path)
-    d = R.read_xml_units(spark, f"{path}/*.txt")
+    d = R.read_xml_units(spark, f"{path}/*.txt", multiline=False)
     return d.select("file_id", "ipu_id", "t_start", "t_end", "entity", "devoiced", "start_uncertain", F.coalesce("accent_type", F.lit(-1)).alias("accent_type"))
 
 

@@ -45,13 +45,14 @@ def read_utterances(spark: SparkSession, path: str, multiline: bool = True) -> D
     return u.select(F.col("id").alias("utterance_id"), "speaker_id", "form", "original_form", words.alias("word_index", "word"))
 
 
-def read_xml_units(spark: SparkSession, path: str, row_tag: str = "Talk") -> DataFrame:
+def read_xml_units(spark: SparkSession, path: str, row_tag: str = "Talk", multiline: bool = True) -> DataFrame:
     """One row per phone with the attributes of its recording, window, word and mora.
 
     The schema is explicit: inference would turn a single child into a struct.
-    Words and phones are looked for at both depths at which they occur.
+    Words and phones are looked for at both depths at which they occur.  Without ``multiline`` a
+    file has one recording per line.
     """
-    d = spark.read.format("xml").option("rowTag", row_tag).schema(schema.TALK).load(path)
+    d = spark.read.format("xml").option("rowTag", row_tag).option("multiLine", multiline).schema(schema.TALK).load(path)
     i = d.select(F.col("_TalkID").alias("file_id"), F.coalesce("_SpeakerID", F.lit("unknown")).alias("speaker_id"), F.explode("IPU").alias("i"))
     suws = F.flatten(F.array_compact(F.array(F.col("i.SUW"), F.flatten("i.LUW.SUW"))))
     s = i.select("file_id", "speaker_id", F.col("i._IPUID").alias("ipu_id"), F.col("i._IPUStartTime").alias("ipu_start"), F.col("i._IPUEndTime").alias("ipu_end"), suws.alias("s"))
