@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanaccord.operators.scan import lag, lead, running_sum, scan
+from spanaccord.settings import cut
 
 EPOCH_US = 1704067200000000
 WINDOW_GAP_S = 43200.0
@@ -195,6 +196,15 @@ def words(spark, sf, name="documents", key="doc_id") -> DataFrame:
     ).where("word <> ''")
 
 
+def distinct_words(spark, sf) -> DataFrame:
+    """The distinct words of the documents in lower case.
+
+    They are kept: under another distinct or a filter the planner drops this one or moves the filter below it,
+    and whatever is made of a word would then be made of each of its occurrences.
+    """
+    return cut(words(spark, sf).select(F.lower("word").alias("word")).distinct())
+
+
 SYMBOLS = ["Q", "SclS", "t", "a", "H", "N", "m", "i", "k", "SclS"]
 
 
@@ -213,7 +223,7 @@ def hangul_words(spark, sf) -> DataFrame:
     """Hangul spellings made from the distinct words of the documents: two of three syllables."""
     from spanaccord.functions.hashing import h32
 
-    w = words(spark, sf).select(F.lower("word").alias("word")).distinct()
+    w = distinct_words(spark, sf)
 
     def syllable(tag, n):
         cp = F.lit(0xAC00) + h32(F.col("word"), tag) % n
@@ -235,7 +245,7 @@ def ipa_pairs(spark, sf) -> DataFrame:
     """Citation and applied phone sequences made from the distinct words of the documents."""
     from spanaccord.functions.hashing import h32
 
-    w = words(spark, sf).select(F.lower("word").alias("word")).distinct()
+    w = distinct_words(spark, sf)
     table = F.array(*[F.lit(x) for x in IPA_LIST])
     h = lambda tag: h32(F.col("word"), tag)
     cit = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda i: F.get(table, (h32(F.col("word"), i) % len(IPA_LIST)).cast("int")))

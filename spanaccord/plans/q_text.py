@@ -165,7 +165,7 @@ _KEEP = "('compound_mark', 'letter_spelling', 'particle_phrase')"
     WHEN known THEN 'cross_reference' WHEN contains(surf, 'ー') OR {_kana} THEN 'doubled_kana' ELSE 'uncertain' END AS signal FROM d)
   SELECT *, CASE WHEN signal IN {_KEEP} THEN 'keep' WHEN signal = 'uncertain' THEN 'uncertain' ELSE 'merge' END AS verdict FROM v""", ctes=[W])
 def t11(spark, sf):
-    w = B.words(spark, sf).select(F.lower("word").alias("word")).distinct()
+    w = B.distinct_words(spark, sf)
     # a spelling in kana or letters, and a pronunciation in which doubled letters may already be folded
     sym = F.split(F.regexp_replace("word", "oo", "o:"), "")
     sym = F.transform(F.when(F.length("word") % 3 == 0, sym).otherwise(F.split("word", "")), lambda x: F.when(x == ":", "ː").otherwise(x))
