@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord.operators.groups import join_groups
 from spanaccord.operators.intervals import assign_windows, build_windows
+from spanaccord.operators.scoring import DEVOICED_VOWELS, VOICED_VOWELS
 from spanaccord.operators.scan import first_after, is_split, known_cool, lag, max_before, min_from, no_piece, running_sum, scan, total
 
 # fixed values: scores of the alignment and the farthest allowed pair in seconds
@@ -348,8 +349,6 @@ def deviation_summary(devs: DataFrame, key: list[str]) -> DataFrame:
 
 def value_of(symbol: Column) -> Column:
     """V for a voiced vowel, D for a devoiced one, A for none, null for a consonant."""
-    from spanaccord.operators.scoring import DEVOICED_VOWELS, VOICED_VOWELS
-
     return F.when(symbol.isNull(), "A").when(symbol.isin(*VOICED_VOWELS), "V").when(symbol.isin(*DEVOICED_VOWELS), "D")
 
 
@@ -358,16 +357,119 @@ def values_at(places: DataFrame, lexicon: DataFrame, word: str = "word", pron: s
 
     ``places``: word, pron (array), pos or gap.  Gives one row per place with
     ``vals`` (sorted, joined); places whose pronunciation is no variant drop out.
+    Every variant in question is aligned with every variant of its word, once for all its places: the variants
+    come in blocks, every pair of blocks is a row of its own, and what leaves it is one set of values a place.
     """
+    lex = lexicon.select(F.col(word).alias("_word"), F.col(pron).alias("_pron")).where("_word is not null and _pron is not null").distinct()
     p = places.select(word, pron, "pos", "gap").distinct()
-    known = p.join(lexicon.select(word, pron), [word, pron], "left_semi")
-    v = known.join(lexicon.select(word, F.col(pron).alias("_v")), word)
-    e = align_prons(v, pron, "_v")
-    partner = F.get("left", F.col("pos"))
-    at_pos = F.when(partner >= 0, value_of(F.get("_v", partner))).otherwise("A")
-    ins = F.filter(F.col("_v"), lambda x, i: (F.get("gap_of", i) == F.col("gap")))
-    ins_vals = F.transform(ins, value_of)
-    at_gap = F.when(F.array_contains(ins_vals, "V"), "V").when(F.array_contains(ins_vals, "D"), "D").otherwise("A")
-    val = F.when(F.col("pos").isNotNull(), at_pos).otherwise(at_gap)
-    g = e.groupBy(word, pron, "pos", "gap").agg(F.array_sort(F.array_compact(F.collect_set(val))).alias("_vals"))
-    return g.select(word, pron, "pos", "gap", F.array_join("_vals", "").alias("vals"))
+    known = p.join(lex, (p[word] == F.col("_word")) & (p[pron] == F.col("_pron")), "left_semi")
+    asked = known.select(F.col(word).alias("_word"), F.col(pron).alias("_pron")).distinct()
+    right = _blocks(lex)
+    n = right.groupBy("_word").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("_block")).alias("_to"))
+    left = _blocks(asked).join(n, "_word").select("_word", F.col("_prons").alias("_left"), F.explode("_to").alias("_block"))
+    met = left.join(right, ["_word", "_block"])
+    seen = met.select("_word", F.explode(_block_values("_left", "_prons")).alias("_e")).select("_word", F.col("_e.pron").alias("_pron"), F.posexplode("_e.masks").alias("_at", "_mask"))
+    seen = seen.groupBy("_word", "_pron", "_at").agg(F.bit_or("_mask").alias("_mask"))
+    at = F.when(F.col("pos").isNotNull(), F.when(F.col("pos").between(0, F.size(pron) - 1), F.col("pos"))).when(F.col("gap").between(0, F.size(pron)), F.col("gap") + F.size(pron))
+    k = known.withColumn("_p", at)
+    j = k.join(seen, (k[word] == seen["_word"]) & (k[pron] == seen["_pron"]) & (k["_p"] == seen["_at"]), "left")
+    bit = lambda b, v: F.when(F.col("_mask").bitwiseAND(F.lit(b)) > 0, v).otherwise("")
+    vals = F.when(F.col("_mask").isNull(), "A").otherwise(F.concat(bit(1, "A"), bit(2, "D"), bit(4, "V")))
+    return j.select(k[word], k[pron], "pos", "gap", vals.alias("vals"))
+
+
+#: pronunciations in a block, and cells of the edit tables that are solved together
+BLOCK, CELLS_AT_ONCE = 128, 1 << 20
+
+
+def _blocks(prons: DataFrame) -> DataFrame:
+    """(_word, _block, _prons): the distinct pronunciations of a word in blocks of about BLOCK."""
+    n = prons.groupBy("_word").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    d = prons.join(n, "_word").withColumn("_block", F.pmod(F.xxhash64("_pron"), F.col("_n")))
+    return d.groupBy("_word", "_block").agg(F.collect_list("_pron").alias("_prons"))
+
+
+def _value_mask(symbol) -> int:
+    """``value_of`` as a bit: A 1, D 2, V 4, none 0."""
+    return 1 if symbol is None else 4 if symbol in VOICED_VOWELS else 2 if symbol in DEVOICED_VOWELS else 0
+
+
+def _edit_tables(cost: np.ndarray) -> np.ndarray:
+    """``_edit_table`` of many pairs of equal lengths."""
+    k, n, m = cost.shape
+    step = np.arange(m + 1.0)
+    d = np.empty((k, n + 1, m + 1))
+    d[:, 0] = step
+    for i in range(n):
+        best = d[:, i] + 1.0
+        best[:, 1:] = np.minimum(best[:, 1:], d[:, i, :-1] + cost[:, i])
+        d[:, i + 1] = np.minimum.accumulate(best - step, axis=1) + step
+    return d
+
+
+def _pair_masks(d: np.ndarray, cost: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The steps of ``_back`` for many pairs of equal lengths: value bits at the n positions, then in the n + 1 gaps."""
+    k, n, m = cost.shape
+    out = np.zeros((k, 2 * n + 1), dtype=np.int64)
+    i, j = np.full(k, n), np.full(k, m)
+    live = np.arange(k) if n or m else np.arange(0)
+    while len(live):
+        a, b = i[live], j[live]
+        here = d[live, a, b]
+        up, left = np.maximum(a - 1, 0), np.maximum(b - 1, 0)
+        pair = np.zeros(len(live), dtype=bool)
+        if n and m:
+            c = cost[live, up, left]
+            pair = (a > 0) & (b > 0) & (np.abs(here - d[live, up, left] - c) < 1e-9)
+        lone = ~pair & (a > 0) & (np.abs(here - d[live, up, b] - 1.0) < 1e-9)
+        put = ~pair & ~lone
+        x = live[pair]
+        out[x, up[pair]] = bits[x, left[pair]]
+        x = live[lone]
+        out[x, up[lone]] = 1
+        x = live[put]
+        out[x, n + a[put]] |= bits[x, left[put]]
+        i[live] = a - (pair | lone)
+        j[live] = b - (pair | put)
+        live = live[(i[live] > 0) | (j[live] > 0)]
+    gaps = out[:, n:]
+    out[:, n:] = np.where(gaps & 4, 4, np.where(gaps & 2, 2, 1))
+    return out
+
+
+def _joint_masks(left: list, right: list) -> list[np.ndarray]:
+    """For each pronunciation of ``left`` the value bits over all of ``right``, at its positions, then in its gaps."""
+    symbols = sorted({x for p in (*left, *right) for x in p}, key=lambda x: (x is not None, x or ""))
+    code = {x: c for c, x in enumerate(symbols)}
+    table, bit = _sound_cost(symbols, symbols), np.array([_value_mask(x) for x in symbols], dtype=np.int64)
+
+    def by_length(prons):
+        out = {}
+        for at, p in enumerate(prons):
+            out.setdefault(len(p), []).append((at, [code[x] for x in p]))
+        return [(n, [at for at, _ in v], np.array([c for _, c in v], dtype=np.int64).reshape(len(v), n)) for n, v in out.items()]
+
+    masks = [np.zeros(2 * len(p) + 1, dtype=np.int64) for p in left]
+    others = by_length(right)
+    for n, at, a in by_length(left):
+        for m, _, b in others:
+            rows = max(1, CELLS_AT_ONCE // (len(b) * (n + 1) * (m + 1)))
+            for lo in range(0, len(a), rows):
+                some = a[lo:lo + rows]
+                x, y = np.repeat(some, len(b), axis=0), np.tile(b, (len(some), 1))
+                cost = table[x[:, :, None], y[:, None, :]] if n and m else np.zeros((len(x), n, m))
+                got = _pair_masks(_edit_tables(cost), cost, bit[y] if m else np.zeros((len(x), 0), dtype=np.int64))
+                joint = np.bitwise_or.reduce(got.reshape(len(some), len(b), 2 * n + 1), axis=1)
+                for r, own in enumerate(at[lo:lo + rows]):
+                    masks[own] |= joint[r]
+    return masks
+
+
+_MASKS = T.ArrayType(T.StructType([T.StructField("pron", T.ArrayType(T.StringType())), T.StructField("masks", T.ArrayType(T.LongType()))]))
+
+
+@F.pandas_udf(_MASKS)
+def _block_values(left: pd.Series, right: pd.Series) -> pd.Series:
+    return pd.Series([
+        [{"pron": list(p), "masks": m.tolist()} for p, m in zip(x, _joint_masks([list(p) for p in x], [list(p) for p in y]))] for x, y in zip(left, right)
+    ])

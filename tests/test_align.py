@@ -222,3 +222,30 @@ def test_values_at(spark):
     p = spark.createDataFrame([("w", ["k", "i", "t"], 1, None), ("w", ["k", "t"], None, 1), ("v", ["k", "i"], 1, None), ("v", ["k"], 0, None)], "word string, pron array<string>, pos int, gap int")
     got = {(r.word, tuple(r.pron), r.pos, r.gap): r.vals for r in A.values_at(p, lex).collect()}
     assert got == {("w", ("k", "i", "t"), 1, None): "ADV", ("w", ("k", "t"), None, 1): "ADV", ("v", ("k", "i"), 1, None): "V"}
+
+
+def test_values_of_blocks_as_pair_by_pair():
+    rng = random.Random(8)
+    sounds = [*"ksat", "i", "i̥", "ɯ", "ɯ̥", "aː", None]
+    prons = [[rng.choice(sounds) for _ in range(rng.choice([0, 1, 2, 3, 4, 6]))] for _ in range(60)]
+    left, right = prons[:25], prons[10:]
+    got = A._joint_masks(left, right)
+    for p, masks in zip(left, got):
+        want = [0] * (2 * len(p) + 1)
+        for v in right:
+            cost = A._sound_cost(p, v)
+            partner, gap = A._back(A._edit_table(cost), cost)
+            for i, j in enumerate(partner):
+                want[i] |= A._value_mask(v[j]) if j >= 0 else 1
+            for g in range(len(p) + 1):
+                put = [A._value_mask(x) for x, at in zip(v, gap) if at == g]
+                want[len(p) + g] |= 4 if 4 in put else 2 if 2 in put else 1
+        assert masks.tolist() == want
+
+
+def test_values_at_of_a_word_with_several_blocks(spark):
+    prons = [[a, b, c, d] for a in ("i", "i̥", "ɯ", "ɯ̥") for b in ("k", "s", "t") for c in ("i", "i̥", "ɯ", "ɯ̥") for d in ("i", "i̥", "ɯ", "ɯ̥")]
+    lex = spark.createDataFrame([("w", p) for p in prons], "word string, pron array<string>")
+    some = [("w", prons[0], 0, None), ("w", prons[0], 1, None), ("w", prons[0], 9, None), ("w", prons[0], None, 2), ("w", ["k"], 0, None), ("w", prons[5], None, 7)]
+    got = {(len(r.pron), r.pos, r.gap): r.vals for r in A.values_at(spark.createDataFrame(some, "word string, pron array<string>, pos int, gap int"), lex).collect()}
+    assert got == {(4, 0, None): "DV", (4, 1, None): "", (4, 9, None): "A", (4, None, 2): "A", (4, None, 7): "A"}
