@@ -399,3 +399,13 @@ def test_hot_segment_in_bounded_arrays(spark, monkeypatch):
     assert got == {frozenset(p) for p in itertools.combinations(lines, 2) if lev(*p) <= 2} and len(got) >= 15
     sizes = [r.n for r in seen[0].select(F.size("others").alias("n")).collect()]
     assert sum(sizes) > 150 and max(sizes) <= 24
+
+
+def test_pii_counts_all_candidates(spark):
+    import inspect
+    import math
+
+    assert "sample" not in inspect.signature(pii.fit).parameters
+    rows = [(3, pii.TRUE, ["call"], 50_000), (3, pii.FALSE, ["call"], 10_000), (3, pii.UNKNOWN, ["no"], 90_000)]
+    odds = pii._odds(spark.createDataFrame(rows, "k int, answer int, w array<string>, n long"))
+    assert abs(odds["3 call"] - (math.log(50_000.5 / 50_001) - math.log(10_000.5 / 100_001))) < 1e-9

@@ -413,3 +413,57 @@ def test_two_way_sums_in_either_order(spark):
         assert {(r.g, r.b): r.v for r in RS.two_way_sums(d, k1, k2, ["g"], ["v"], 6).collect()} == want
     keys = RS.two_way_sums(d, "b2", "a", ["g"], ["v"], 6)._jdf.queryExecution().analyzed().toString()
     assert keys.index("Aggregate [g#") < keys.index("Aggregate [b2#")       # summed within the key of few values first
+
+
+def test_point_join_without_broadcast_and_with_repeated_rows(spark, whole_keys):
+    pts = [("f", 1, 2.0), ("f", 1, 2.0), ("f", 2, 5.0), ("f", 3, 7.5), (None, 4, 2.0), ("f", 5, None), ("g", 6, 2.0), ("f", 7, 9.0)]
+    spans = [("f", "a", 1.0, 3.0), ("f", "b", 3.0, 5.0), ("f", "c", 5.0, 8.0), ("f", "c", 5.0, 8.0), ("f", "d", 9.0, 9.0), ("f", "x", 4.0, 1.0), (None, "n", 1.0, 3.0)]
+    p = spark.createDataFrame(pts, "file string, p int, x double")
+    s = spark.createDataFrame(spans, "file string, s string, lo double, hi double")
+    j = I.point_join(p, F.col("x"), s, F.col("lo"), F.col("hi"), ["file"])
+    assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString()
+    assert j.columns == ["file", "p", "x", "s", "lo", "hi"]
+    want = [(a[1], b[1]) for a in pts for b in spans if a[0] and a[0] == b[0] and a[2] is not None and b[2] <= a[2] <= b[3]]
+    assert sorted((r.p, r.s) for r in j.collect()) == sorted(want)
+
+
+def test_few_groups_are_broadcast_whatever_the_threshold(spark):
+    from spanaccord.operators.groups import join_groups
+
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, v int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = join_groups(df, df.groupBy("k").agg(F.sum("v").alias("s")), ["k"])
+        assert "BroadcastHashJoin" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_balanced_draws_rank_only_the_cell_of_the_cut(spark, monkeypatch):
+    from spanaccord.operators import sampling as SP
+
+    rng = random.Random(5)
+    rows = [(f"w{rng.randrange(4)}", int(rng.random() < 0.3), f"c{i}") for i in range(300)] + [("one", 1, "z"), (None, 0, "y"), (None, 1, "x"), ("w0", None, "n")]
+    df = spark.createDataFrame(rows, "w string, y int, id string")
+    k = df.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q"))
+    for width in (1 << 22, 1 << 29):
+        monkeypatch.setattr(SP, "HASH_CELL", width)
+        got = SP.balanced_draws(df, "w", "y", "id", 2)
+        assert got.columns == ["w", "y", "id", "draw"]
+        got = got.collect()
+        for r in k.collect():
+            for draw in range(2):
+                for y in (0, 1):
+                    of = [x.id for x in got if (x.w, x.y, x.draw) == (r.w, y, draw)]
+                    ids = df.where((F.col("w") == r.w) & (F.col("y") == y)).select("id", SP.h32("1", F.lit(draw), F.col("id")).alias("h")).orderBy("h", "id").limit(min(r.p, r.q))
+                    assert sorted(of) == ([] if r.w is None else sorted(x.id for x in ids.collect()))
+
+
+def test_distinct_words_are_made_once(spark, tmp_path):
+    from spanaccord.plans import bindings as B
+
+    spark.createDataFrame([(1, "A b a"), (2, None), (3, " b  c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    w = B.distinct_words(spark, str(tmp_path))
+    assert sorted(r.word for r in w.collect()) == ["a", "b", "c"]
+    assert "Generate" not in w.select(F.upper("word")).distinct()._jdf.queryExecution().executedPlan().toString()

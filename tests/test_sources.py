@@ -118,3 +118,9 @@ def test_list_files(spark, tmp_path):
     got = [r.file_id for r in R.list_files(spark, str(tmp_path), "*.lab", limit=2).collect()]
     ids = spark.createDataFrame([("4",), ("9",)], "file_id string")
     assert got == ["1", "2"] and [r.file_id for r in R.list_files(spark, str(tmp_path), "*.lab", ids=ids).collect()] == ["4"]
+
+
+def test_xml_of_one_recording_per_line(spark, tmp_path):
+    line = "".join(x.strip() for x in XML.splitlines() if not x.startswith("<?xml"))
+    one = R.read_xml_units(spark, put(tmp_path / "a.xml", XML)).count()
+    assert R.read_xml_units(spark, put(tmp_path / "b.xml", f"{line}\n{line}\n"), multiline=False).count() == 2 * one > 0
