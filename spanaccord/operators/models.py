@@ -12,13 +12,14 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord import settings
 from spanaccord.operators.aggregate import div
 from spanaccord.operators.groups import beside, join_groups
-from spanaccord.operators.rank import mean_cluster_auc
 from spanaccord.operators.resample import boot_mean, boot_summary, cross_products, product_columns
+from spanaccord.operators.scan import known_cool, mark_cool
 
 _FIT = T.StructType([
     T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("cov", T.ArrayType(T.DoubleType())), T.StructField("sigma2", T.DoubleType()),
@@ -218,50 +219,78 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def design_columns(df: DataFrame, design: str, process: str, levels: list[str], score: Column) -> tuple[DataFrame, list[str]]:
-    """L3: the table with the features of one of the four designs, and their names."""
-    dummies = [(F.col(process) == v).cast("double") for v in levels[1:]]
-    each = [(F.col(process) == v).cast("double") * score for v in levels]
-    cols = {"process": dummies, "boundary": [score], "process+boundary": [*dummies, score], "process*boundary": [*dummies, *each]}[design]
-    names = [f"_x{i}" for i in range(len(cols))]
-    return df.select("*", *[c.alias(n) for c, n in zip(cols, names)]), names
-
-
-def _newton_sums(rows: DataFrame, beta: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """Per training set: log likelihood, its gradient and the weighted cross products, in one pass over (_y, _f, _x)."""
-    p = len(next(iter(beta.values())))
-    sets = F.array(*[F.struct(F.lit(f).alias("t"), F.array(*[F.lit(float(v)) for v in b]).alias("b")) for f, b in sorted(beta.items())])
-    r = rows.select("_y", "_f", "_x", F.explode(sets).alias("_s")).where("_f <> _s.t")
-    x = [F.lit(1.0), *[F.get("_x", F.lit(i)) for i in range(p - 1)]]
-    eta = reduce(lambda a, c: a + c, [x[i] * F.get("_s.b", F.lit(i)) for i in range(p)])
-    r = r.select(F.col("_s.t").alias("t"), "_y", "_x", eta.alias("_e")).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_e"))))
-    w = F.col("_p") * (1.0 - F.col("_p"))
-    like = F.col("_y") * F.col("_e") - F.greatest("_e", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_e")))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.sum(like).alias("l"), *[F.sum((F.col("_y") - F.col("_p")) * x[i]).alias(f"g{i}") for i in range(p)], *[F.sum(w * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]]
+def design_columns(df: DataFrame, process: str, levels: list[str], score: Column) -> tuple[DataFrame, dict[str, list[str]]]:
+    """L3: the table with the features of the four designs, and their names by design."""
+    dummies = {f"_is{i}": (F.col(process) == v).cast("double") for i, v in enumerate(levels[1:], 1)}
+    each = {f"_z{i}": (F.col(process) == v).cast("double") * score for i, v in enumerate(levels)}
+    cols = {**dummies, "_z": score, **each}
+    designs = {"process": [*dummies], "boundary": ["_z"], "process+boundary": [*dummies, "_z"], "process*boundary": [*dummies, *each]}
+    return df.select("*", *[c.alias(n) for n, c in cols.items()]), designs
+
+
+def _newton_sums(rows: DataFrame, places: dict[str, list[int]], beta: dict[tuple[str, int], np.ndarray]) -> dict[tuple[str, int], tuple[float, np.ndarray, np.ndarray]]:
+    """Per design and training set: log likelihood, its gradient and the weighted cross products, in one pass over (_y, _f, _x0, ..).
+
+    ``places`` tells the columns of a design among the features.  A task adds up its rows, so what is shuffled
+    is one row of sums for each task and training set.
+    """
+    keys = sorted(beta)
+
+    def run(batches):
+        got: dict[int, np.ndarray] = {}
+        for batch in batches:
+            read = lambda c: c.to_numpy(zero_copy_only=False)
+            null = np.column_stack([read(c.is_null()) for c in batch.columns])
+            f = read(batch.column(1).fill_null(0))
+            x = np.column_stack([np.ones(batch.num_rows), *[read(c.fill_null(0)) for c in batch.columns[2:]]])
+            y, known = read(batch.column(0).fill_null(0)), ~null[:, 0]
+            for k, (design, out) in enumerate(keys):
+                train = ~null[:, 1] & (f != out)
+                if not train.any():
+                    continue
+                train &= ~null[:, [2 + i for i in places[design]]].any(axis=1)
+                m, t, ok = x[train][:, [0, *[1 + i for i in places[design]]]], y[train], known[train]
+                eta = m @ beta[keys[k]]
+                with np.errstate(over="ignore"):
+                    q = 1.0 / (1.0 + np.exp(-eta))
+                like = t * eta - np.maximum(eta, 0.0) - np.log1p(np.exp(-np.abs(eta)))
+                sums = [np.where(ok, like, 0.0).sum()], m.T @ np.where(ok, t - q, 0.0), ((m * (q * (1.0 - q))[:, None]).T @ m).ravel()
+                got[k] = got.get(k, 0.0) + np.concatenate(sums)
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([v.tolist() for v in got.values()], pa.list_(pa.float64()))], ["k", "v"])
+
+    sums = rows.mapInArrow(run, "k int, v array<double>").select("k", F.posexplode("v").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
+    flat: dict[int, dict[int, float]] = {}
+    for row in sums.collect():
+        flat.setdefault(row["k"], {})[row["i"]] = row["v"]
     out = {}
-    for row in r.groupBy("t").agg(*sums).collect():
-        h = np.zeros((p, p))
-        for i, j in pairs:
-            h[i, j] = h[j, i] = row[f"h{i}_{j}"]
-        out[row["t"]] = (row["l"], np.array([row[f"g{i}"] for i in range(p)]), h)
+    for k, v in flat.items():
+        p = len(beta[keys[k]])
+        v = np.array([v[i] for i in range(1 + p + p * p)])
+        out[keys[k]] = (float(v[0]), v[1 : p + 1], v[p + 1 :].reshape(p, p))
     return out
 
 
-def fold_logits(df: DataFrame, label: str, fold: str, folds: list[int], features: list[str], tol: float = 1e-10, most: int = 50) -> dict[int, np.ndarray]:
-    """Logistic coefficients (intercept first) fitted without each fold, by Newton steps for all folds together.
+def fold_logits(
+    df: DataFrame, label: str, fold: str, folds: list[int], designs: dict[str, list[str]], tol: float = 1e-10, most: int = 50
+) -> dict[tuple[str, int], np.ndarray]:
+    """Logistic coefficients (intercept first) of each design fitted without each fold, by Newton steps for all of them together.
 
-    One pass over the rows a step; what comes back is one row of sums a fold.  A step that lowers the likelihood
-    is halved.  A fold is done when a step gains no more than ``tol`` of the log likelihood and a tenth, which also
-    ends where the features part the classes; if one is not done after ``most`` steps, this is an error.  A fold
-    that leaves no row to train on keeps zeros.
+    One pass over the rows a step; what comes back is one row of sums a design and fold.  ``df`` is read once a
+    step, so the caller keeps it.  A step that lowers the likelihood is halved.  A fold is done when a step gains
+    no more than ``tol`` of the log likelihood and a tenth, which also ends where the features part the classes; if
+    one is not done after ``most`` steps, this is an error.  A fold that leaves no row to train on keeps zeros.
     """
-    rows = settings.cut(df.select(F.col(label).cast("double").alias("_y"), F.col(fold).alias("_f"), F.array(*[F.col(c).cast("double") for c in features]).alias("_x")))
-    done: dict[int, np.ndarray] = {}
-    beta = {f: np.zeros(len(features) + 1) for f in folds}
-    last: dict[int, tuple[float, np.ndarray]] = {}
+    features = list(dict.fromkeys(c for cols in designs.values() for c in cols))
+    places = {m: [features.index(c) for c in cols] for m, cols in designs.items()}
+    rows = df.select(
+        F.col(label).cast("double").alias("_y"), F.col(fold).cast("long").alias("_f"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)],
+    )
+    done: dict[tuple[str, int], np.ndarray] = {}
+    beta = {(m, f): np.zeros(len(cols) + 1) for m, cols in designs.items() for f in folds}
+    last: dict[tuple[str, int], tuple[float, np.ndarray]] = {}
     for _ in range(most):
-        sums = _newton_sums(rows, beta)
+        sums = _newton_sums(rows, places, beta)
         for f in [f for f in beta if f not in sums]:
             done[f] = beta.pop(f)
         for f, (like, g, h) in sums.items():
@@ -278,33 +307,67 @@ def fold_logits(df: DataFrame, label: str, fold: str, folds: list[int], features
     raise ValueError(f"no convergence after {most} steps without folds {sorted(beta)}")
 
 
+def grouped_cv_logits(df: DataFrame, label: str, fold: str, folds: list[int], designs: dict[str, list[str]]) -> DataFrame:
+    """L3: out-of-fold probabilities ``p_<design>`` of one logistic model a design; rows of other folds are left out."""
+    beta = fold_logits(df, label, fold, folds, designs)
+
+    def prob(m: str, cols: list[str]) -> Column:
+        eta = None
+        for f in folds:
+            b = [F.lit(float(v)) for v in beta[m, f]]
+            one = reduce(lambda a, c: a + c, [v * F.col(c) for v, c in zip(b[1:], cols)], b[0])
+            eta = F.when(F.col(fold) == f, one) if eta is None else eta.when(F.col(fold) == f, one)
+        return 1.0 / (1.0 + F.exp(-eta))
+
+    return df.where(F.col(fold).isin(folds)).select("*", *[prob(m, cols).alias(f"p_{m}") for m, cols in designs.items()])
+
+
 def grouped_cv_logit(df: DataFrame, label: str, fold: str, folds: list[int], features: list[str]) -> DataFrame:
-    """L3: out-of-fold probabilities ``p`` of a logistic model; rows of other folds are left out."""
-    beta = fold_logits(df, label, fold, folds, features)
-    table = F.create_map(*[v for f in folds for v in (F.lit(f), F.array(*[F.lit(float(b)) for b in beta[f]]))])
-    d = df.where(F.col(fold).isin(folds)).withColumn("_b", table[F.col(fold)])
-    eta = reduce(lambda a, c: a + c, [F.get("_b", F.lit(i + 1)) * F.col(c) for i, c in enumerate(features)], F.get("_b", F.lit(0)))
-    return d.withColumn("p", 1.0 / (1.0 + F.exp(-eta))).drop("_b")
+    """L3: the same for one design, as column ``p``."""
+    return grouped_cv_logits(df, label, fold, folds, {"": features}).withColumnRenamed("p_", "p")
 
 
-def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int], base: list[str], extra: list[str], reps: int, seed: str = "1") -> DataFrame:
-    """Gain in the mean per-cluster AUC from adding features, with a cluster bootstrap."""
+def _stacked(pred: DataFrame, designs: list[str], keep: list[str]) -> DataFrame:
+    """One row per row and design: ``model``, its place in the list, and ``p``."""
+    each = F.array(*[F.struct(F.lit(i).alias("model"), F.col(f"`p_{m}`").alias("p")) for i, m in enumerate(designs)])
+    return pred.select(*keep, F.inline(each))
+
+
+def cluster_aucs(pred: DataFrame, designs: list[str], cluster: str, label: str) -> DataFrame:
+    """AUC per cluster and design (``model``, its place in the list) of the columns ``p_<design>``.
+
+    Where no cluster is hot its rows are shuffled once, before they are multiplied by the designs.
+    """
     from spanaccord.operators.rank import auc
 
-    per = []
-    for name, cols in (("auc0", base), ("auc1", [*base, *extra])):
-        pred = grouped_cv_logit(df, label, fold, folds, cols).select(cluster, label, "p")
-        per.append(auc(pred, [cluster], "p", label).select(cluster, F.col("auc").alias(name)))
-    both = settings.cut(per[0].join(per[1], cluster).withColumn("gain", F.col("auc1") - F.col("auc0")))
+    d = mark_cool(pred.select(cluster, label, *[f"`p_{m}`" for m in designs]), cluster)
+    if known_cool(d, [cluster]):
+        d = d.repartition(settings.parts(d.sparkSession), cluster)
+    return auc(_stacked(d, designs, [cluster, label]), [cluster, "model"], "p", label)
+
+
+def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int], base: list[str], extra: list[str], reps: int, seed: str = "1") -> DataFrame:
+    """Gain in the mean per-cluster AUC from adding features, with a cluster bootstrap."""
+    pred = grouped_cv_logits(df, label, fold, folds, {"auc0": base, "auc1": [*base, *extra]})
+    per = cluster_aucs(pred, ["auc0", "auc1"], cluster, label).where(F.col(cluster).isNotNull())
+    per = per.groupBy(cluster).agg(*[F.max(F.when(F.col("model") == i, F.col("auc"))).alias(f"auc{i}") for i in (0, 1)], F.count("model").alias("_n"))
+    both = settings.cut(per.where("_n = 2").drop("_n").withColumn("gain", F.col("auc1") - F.col("auc0")))
     ci = boot_summary(boot_mean(both, cluster, "gain", reps, seed), [], "value")
     point = both.agg(F.avg("auc0").alias("auc0"), F.avg("auc1").alias("auc1"), F.avg("gain").alias("gain"), F.count("gain").alias("n_clusters"))
     return beside(point, ci).withColumn("small_increment", F.col("gain") < 0.02)
 
 
-def cv_report(pred: DataFrame, cluster: str, label: str, strata: list[str]) -> DataFrame:
-    """L3: pooled, stratified and mean per-cluster AUC of out-of-fold predictions."""
+def cv_reports(pred: DataFrame, designs: list[str], cluster: str, label: str, strata: list[str]) -> DataFrame:
+    """L3: pooled, stratified and mean per-cluster AUC of the out-of-fold predictions ``p_<design>``, one row a design.
+
+    Equal scores of a stratum are folded once for the pooled and the stratified value.
+    """
     from spanaccord.operators.rank import auc, stratified_auc
 
-    a = auc(pred, [], "p", label).select(F.col("auc").alias("pooled_auc"))
-    s = stratified_auc(pred, strata, "p", label).select(F.col("auc").alias("stratified_auc"))
-    return beside(beside(a, s), mean_cluster_auc(pred, cluster, "p", label).select("mean_auc", "n_used"))
+    g = settings.cut(_stacked(pred, designs, [*strata, label]).groupBy("model", *strata, "p", label).agg(F.count(F.lit(1)).alias("n")))
+    a = auc(g, ["model"], "p", label, F.col("n")).select("model", F.col("auc").alias("pooled_auc"))
+    s = stratified_auc(g, strata, "p", label, ["model"], F.col("n")).select("model", F.col("auc").alias("stratified_auc"))
+    c = cluster_aucs(pred, designs, cluster, label).groupBy("model").agg(F.avg("auc").alias("mean_auc"), F.count("auc").alias("n_used"))
+    names = pred.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(m) for m in designs])).alias("model", "name"))
+    one = names.join(a, "model", "left").join(s, "model", "left").join(c, "model", "left")
+    return one.select("pooled_auc", "stratified_auc", "mean_auc", F.coalesce("n_used", F.lit(0).cast("long")).alias("n_used"), F.col("name").alias("model"))

@@ -37,10 +37,10 @@ def auc(df: DataFrame, by: list[str], score, label: str, weight: Column | None =
     return r.select(*by, "n_pos", "n_neg", div(F.col("u"), pairs).alias("auc"))
 
 
-def stratified_auc(df: DataFrame, strata: list[str], score, label: str, by: list[str] | None = None) -> DataFrame:
+def stratified_auc(df: DataFrame, strata: list[str], score, label: str, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Pairs of the same stratum only; strata weigh by their number of pairs."""
     by = by or []
-    r = rank_sums(df, [*by, *strata], score, label)
+    r = rank_sums(df, [*by, *strata], score, label, weight)
     pairs = F.col("n_pos").cast("double") * F.col("n_neg")
     return r.groupBy(*by).agg(div(F.sum("u"), F.sum(pairs)).alias("auc"), F.sum(pairs).alias("pairs"))
 

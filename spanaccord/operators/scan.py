@@ -240,6 +240,21 @@ def known_cool(df: DataFrame, keys: list[str]) -> bool:
     return any(set(c.split(",")) <= have for k in keys if k in df.columns for c in df.schema[k].metadata.get("cool", []))
 
 
+def mark_cool(df: DataFrame, key: str) -> DataFrame:
+    """Let ``key`` remember that it is not hot, where a count of the rows shows it.
+
+    Meant for rows that are folded by this and finer keys before the scan: a fold has no more rows than were
+    counted here, so it need not be made twice.
+    """
+    spark = df.sparkSession
+    top = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if top is not None and top > settings.hot_rows(spark):
+        return df
+    meta = dict(df.schema[key].metadata)
+    meta["cool"] = sorted({*meta.get("cool", []), key})
+    return df.select(*[F.col(key).alias(key, metadata=meta) if c == key else F.col(f"`{c}`") for c in df.columns])
+
+
 def no_piece() -> Column:
     """The piece column of a table known to have no hot key."""
     return F.lit(0).alias(PIECE, metadata={"split": False})

@@ -54,12 +54,13 @@ def l02(spark, sf):
     return L.paired_effect(B.paired(spark, sf), "dur_hand_ms", "dur_mfa_ms", xcols(), NAMES).drop("se")
 
 
-def cv_data(spark, sf, k=3):
+def cv_data(spark, sf, k=3, keep=()):
     """Decisions with a log deviation, a process and a speaker-grouped fold."""
     d = B.decisions(spark, sf).where("dev_site_ms is not null")
     d = d.select("cand_id", "process", "speaker", "word_type", "correct", F.log(F.col("dev_site_ms") + 1.0).alias("zl"))
     d = d.withColumn("correct", F.when((F.col("zl") > 3.2) & (F.length("cand_id") % 3 == 0), 1 - F.col("correct")).otherwise(F.col("correct")))
-    return settings.cut(d.join(D.grouped_folds(d, "speaker", k), "speaker"))
+    d = d.select("process", "speaker", *keep, "correct", "zl")
+    return settings.kept(d.join(D.grouped_folds(d, "speaker", k), "speaker"), "cv")
 
 
 #: the rows of ``cv_data``
@@ -111,14 +112,10 @@ MODELS = {"process": ("process", ""), "boundary": ("''", "'x'"), "process+bounda
     f"SELECT '{name}' AS model, (SELECT u / pairs FROM {_auc_sql(f'm{i}p')}) AS pooled_auc, (SELECT sum(u) / sum(pairs) FROM {_auc_sql(f'm{i}p', 'process')}) AS stratified_auc, avg(u / pairs) AS mean_auc, count(*) AS n_used FROM {_auc_sql(f'm{i}p', 'speaker')} WHERE pairs > 0" for i, name in enumerate(MODELS)),
     "pooled_auc stratified_auc mean_auc")
 def l03(spark, sf):
-    d = cv_data(spark, sf)
-    out = []
-    for m in MODELS:
-        x, names = L.design_columns(d, m, "process", ["A", "N", "R"], F.col("zl"))
-        # equal up to the twelfth digit counts as equal
-        p = L.grouped_cv_logit(x, "correct", "fold", [0, 1, 2], names).select("process", "speaker", "correct", F.round("p", 12).alias("p"))
-        out.append(L.cv_report(p, "speaker", "correct", ["process"]).withColumn("model", F.lit(m)))
-    return U.union_parts(out)
+    d, designs = L.design_columns(cv_data(spark, sf), "process", ["A", "N", "R"], F.col("zl"))
+    # equal up to the twelfth digit counts as equal; ``round`` would write every number out in decimals
+    p = L.grouped_cv_logits(d, "correct", "fold", [0, 1, 2], designs).withColumns({f"p_{m}": F.rint(F.col(f"`p_{m}`") * 1e12) / 1e12 for m in designs})
+    return L.cv_reports(p, list(designs), "speaker", "correct", ["process"])
 
 
 TE = """dc AS (SELECT cand_id, speaker, word_type, correct, idx % 3 AS fold FROM dcs JOIN (SELECT speaker, row_number() OVER (ORDER BY md5(speaker), speaker) - 1 AS idx FROM (SELECT DISTINCT speaker FROM dcs)) USING (speaker))"""
@@ -150,8 +147,8 @@ CV_WORD = """cl AS (SELECT *, ln(q / (1 - q)) AS lo FROM (SELECT *, least(greate
   v AS (SELECT *, auc1 - auc0 AS v FROM a0 JOIN a1 USING (speaker)), {weights_sql("cw", "(SELECT * FROM v WHERE v IS NOT NULL)", "speaker", reps=FULL)}, r AS (SELECT b, sum(v * w) / sum(w) AS value FROM v JOIN cw USING (speaker) GROUP BY 1)
   SELECT * FROM (SELECT avg(auc0) AS auc0, avg(auc1) AS auc1, avg(v) AS gain, count(v) AS n_clusters, avg(v) < 0.02 AS small_increment FROM v), ({boot_sql("")})""", "auc0 auc1 gain se low high")
 def l05(spark, sf):
-    d = L.target_encode(cv_data(spark, sf), "word_type", "correct", "fold").withColumn("lo", L.logit(F.col("p_word")))
-    return L.cv_gain(settings.cut(d), "correct", "speaker", "fold", [0, 1, 2], ["lo"], ["zl"], FULL)
+    d = L.target_encode(cv_data(spark, sf, keep=["word_type"]), "word_type", "correct", "fold").withColumn("lo", L.logit(F.col("p_word")))
+    return L.cv_gain(settings.kept(d, "cv"), "correct", "speaker", "fold", [0, 1, 2], ["lo"], ["zl"], FULL)
 
 
 @query("l06_wald", """WITH s AS (SELECT count(*) AS n, regr_slope(yd, x1) AS b, regr_intercept(yd, x1) AS a, regr_sxx(yd, x1) AS sxx, avg(x1) AS mx, (regr_syy(yd, x1) - regr_slope(yd, x1) * regr_sxy(yd, x1)) / (count(*) - 2) AS s2 FROM p2),

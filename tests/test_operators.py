@@ -255,6 +255,56 @@ def test_cv_logit_against_newton(spark):
     assert {r.p for r in MD.grouped_cv_logit(d.where("fold = 0"), "y", "fold", [0], ["x"]).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("hot", ["20", "1000000000"])
+def test_cv_logit_designs_share_their_passes(spark, tmp_path, hot):
+    """All designs and folds take one pass a step, and all values one report; the query equals its SQL on rows of its own."""
+    import duckdb
+    from check import compare
+    from spanaccord.plans import q_models
+    from spanaccord.plans.registry import ORACLES
+
+    rnd = random.Random(5)
+    rows = [
+        (i // 5, rnd.randrange(300), rnd.randrange(12), i % 5 + 1, rnd.uniform(1, 50), rnd.uniform(900, 9000), rnd.choice([0.0, 0.05, 0.1]), 0.02, rnd.choice("ANR"), rnd.choice("FO"))
+        for i in range(900)
+    ]
+    cols = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    sc = spark.sparkContext
+    spark.conf.set("spark.spanaccord.hotRows", hot)
+    sc.setJobGroup(f"l03-{hot}", "")
+    try:
+        msg, ok = compare(spark, con, q_models.l03, ORACLES["l03_cv_logit"], str(tmp_path))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.spanaccord.hotRows", "20")
+    assert ok, msg
+    # a pass over the rows for each design and value took over 140 jobs, or over 200 with hot keys
+    jobs = len(sc.statusTracker().getJobIdsForGroup(f"l03-{hot}"))
+    assert jobs < (130 if hot == "20" else 80), jobs
+
+
+def test_newton_sums_of_nulls(spark):
+    """Without a feature or a fold a row takes no part, without a label it has no likelihood; a set without rows is absent."""
+    import numpy as np
+
+    rows = [(1.0, 0, 2.0, 0.5), (0.0, 1, -1.0, None), (None, 0, 1.0, 1.0), (1.0, None, 3.0, 1.0), (0.0, 0, None, 1.0)]
+    d = spark.createDataFrame(rows, "_y double, _f long, _x0 double, _x1 double").repartition(3)
+    b = {("a", 1): np.array([0.1, 0.2]), ("a", 0): np.array([0.1, 0.2]), ("b", 1): np.array([0.3, 0.1, -0.2]), ("b", 0): np.array([0.3, 0.1, -0.2])}
+    got = MD._newton_sums(d, {"a": [0], "b": [0, 1]}, b)
+    assert set(MD._newton_sums(d.where("_f = 1"), {"a": [0]}, {("a", 1): np.zeros(2), ("a", 0): np.zeros(2)})) == {("a", 0)}
+    for (m, t), (like, g, h) in got.items():
+        use = [(y, [1.0, *x]) for y, f, *x in ((r[0], r[1], *r[2 : 3 + (m == "b")]) for r in rows) if f is not None and f != t and None not in x]
+        x = np.array([v for _, v in use]).reshape(-1, len(b[m, t]))
+        q = 1 / (1 + np.exp(-x @ b[m, t]))
+        on = [i for i, (y, _) in enumerate(use) if y is not None]
+        y = np.array([use[i][0] for i in on])
+        assert like == pytest.approx(sum(y * np.log(q[on]) + (1 - y) * np.log(1 - q[on])))
+        assert g == pytest.approx(x[on].T @ (y - q[on])) and h == pytest.approx((x * (q * (1 - q))[:, None]).T @ x)
+
+
 def test_concentration_by_brute_force(spark):
     """Shares that fall on, before and inside a cell of equal counts; fewer types than the top; no type."""
     for counts in ([5, 5, 5, 5], [50, 30, 10, 5, 1, 1, 1, 1, 1], [1] * 30, [7], []):
