@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from spanaccord import settings
 from spanaccord.operators.aggregate import div
@@ -336,14 +336,24 @@ def _stacked(pred: DataFrame, designs: list[str], keep: list[str]) -> DataFrame:
 def cluster_aucs(pred: DataFrame, designs: list[str], cluster: str, label: str) -> DataFrame:
     """AUC per cluster and design (``model``, its place in the list) of the columns ``p_<design>``.
 
-    Where no cluster is hot its rows are shuffled once, before they are multiplied by the designs.
+    Where no cluster is hot its rows are shuffled once, before they are multiplied by the designs, and counted in
+    order as they are: with ties, positives see ``_neg`` negatives up to them and negatives ``_pos`` positives, and
+    the pairs won with half of the ties are half of (all pairs + sum of ``_neg`` - sum of ``_pos``).
     """
     from spanaccord.operators.rank import auc
 
     d = mark_cool(pred.select(cluster, label, *[f"`p_{m}`" for m in designs]), cluster)
-    if known_cool(d, [cluster]):
-        d = d.repartition(settings.parts(d.sparkSession), cluster)
-    return auc(_stacked(d, designs, [cluster, label]), [cluster, "model"], "p", label)
+    if not known_cool(d, [cluster]):
+        return auc(_stacked(d, designs, [cluster, label]), [cluster, "model"], "p", label)
+    d = d.repartition(settings.parts(d.sparkSession), cluster)
+    one = lambda v: F.when(F.col(label) == v, F.lit(1)).otherwise(0).cast("long")
+    rows = _stacked(d.withColumns({"_y": one(1), "_z": one(0)}), designs, [cluster, "_y", "_z"]).where("p is not null")
+    upto = Window.partitionBy(cluster, "model").orderBy("p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    r = rows.withColumns({"_pos": F.sum("_y").over(upto), "_neg": F.sum("_z").over(upto)}).groupBy(cluster, "model").agg(
+        F.sum("_y").alias("n_pos"), F.sum("_z").alias("n_neg"), F.sum(F.col("_y") * F.col("_neg") - F.col("_z") * F.col("_pos")).alias("_d"),
+    )
+    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
+    return r.select(cluster, "model", "n_pos", "n_neg", div((pairs + F.col("_d")) / 2, pairs).alias("auc"))
 
 
 def cv_gain(df: DataFrame, label: str, cluster: str, fold: str, folds: list[int], base: list[str], extra: list[str], reps: int, seed: str = "1") -> DataFrame:
