@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from spanaccord.operators.groups import join_groups
-from spanaccord.operators.intervals import assign_windows, build_windows
+from spanaccord.operators.intervals import assign_beside, build_windows
 from spanaccord.operators.scoring import DEVOICED_VOWELS, VOICED_VOWELS
 from spanaccord.operators.scan import first_after, is_split, known_cool, lag, max_before, min_from, no_piece, running_sum, scan, total
 
@@ -34,10 +34,11 @@ from spanaccord.operators.scan import first_after, is_split, known_cool, lag, ma
 MATCH, MISMATCH, GAP, FAR_S, MAX_SPAN = 2, -1, -2, 0.15, 3
 DEFAULT = {"config": "default", "match": MATCH, "mismatch": MISMATCH, "gap": GAP, "far": FAR_S}
 
-_STEP = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in "rhkc"]))
-_STEPS = T.StructType([
+#: the two solutions of a piece under a parameter set, b only where it differs from a; for the form of a step see ``_code``
+_STEP = T.ArrayType(T.LongType())
+_STEPS = T.ArrayType(T.StructType([
     T.StructField("a", _STEP), T.StructField("b", _STEP), T.StructField("oa", T.IntegerType()), T.StructField("ob", T.IntegerType()),
-])
+]))
 _EDIT = T.StructType([
     T.StructField("cost", T.DoubleType()), T.StructField("left", T.ArrayType(T.IntegerType())), T.StructField("gap_of", T.ArrayType(T.IntegerType())),
 ])
@@ -132,18 +133,30 @@ def _walk(s: _Band, pending: bool):
     return out + [(-1, q, 1, _LEAD) for q in range(j - 1, -1, -1)], int(left_open)
 
 
-@F.pandas_udf(_STEPS)
-def _solve(r0: pd.Series, r1: pd.Series, ok: pd.Series, parts: pd.Series, h0: pd.Series, h1: pd.Series, lab: pd.Series,
-           match: pd.Series, mismatch: pd.Series, gap: pd.Series, far: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a0, a1, o, p, b0, b1, l, ma, mi, ga, fa in zip(r0, r1, ok, parts, h0, h1, lab, match, mismatch, gap, far):
+def _code(step, ok, lab) -> int:
+    """A step (unit of the first side or -1, first unit of the other or -1, their number, kind) in one number, with a bit for labels that go together."""
+    r, h, k, c = step
+    return (r + 1) << 34 | (h + 1) << 5 | int(r >= 0 and k > 0 and ok[r] is not None and lab[h] in ok[r]) << 4 | k << 2 | c
+
+
+def _solver(configs: list[dict]):
+    """Both solutions of a piece, one after the other for each parameter set."""
+
+    @F.pandas_udf(_STEPS)
+    def solve(r0: pd.Series, r1: pd.Series, ok: pd.Series, parts: pd.Series, h0: pd.Series, h1: pd.Series, lab: pd.Series) -> pd.Series:
         arr = lambda x: np.asarray(x, dtype=float)
-        s = _Band(arr(a0), arr(a1), o, p, arr(b0), arr(b1), l, ma, mi, ga, fa)
-        sa, oa = _walk(s, False)
-        sb, ob = _walk(s, True)
-        d = lambda x: [{"r": r, "h": h, "k": k, "c": c} for r, h, k, c in x[::-1]]
-        rows.append((d(sa), d(sb), oa, ob))
-    return pd.DataFrame(rows, columns=["a", "b", "oa", "ob"])
+        out = []
+        for a0, a1, o, p, b0, b1, l in zip(r0, r1, ok, parts, h0, h1, lab):
+            row = []
+            for c in configs:
+                s = _Band(arr(a0), arr(a1), o, p, arr(b0), arr(b1), l, c["match"], c["mismatch"], c["gap"], c["far"])
+                (sa, oa), (sb, ob) = _walk(s, False), _walk(s, True)
+                d = lambda x: [_code(y, o, l) for y in x[::-1]]  # noqa: B023, E731
+                row.append({"a": d(sa), "b": None if sb == sa else d(sb), "oa": oa, "ob": ob})
+            out.append(row)
+        return pd.Series(out)
+
+    return solve
 
 
 def label_compat(labels: DataFrame, label_map: DataFrame) -> DataFrame:
@@ -163,68 +176,73 @@ def align_windows(ref: DataFrame, hyp: DataFrame, label_map: DataFrame, configs:
     ``hyp``: file_id, unit_id, t_start, t_end, label, phone_class.
     Files without units on one of the sides are left out.
     """
+    configs = configs or [DEFAULT]
     cool = known_cool(ref, ["file_id", "ipu_id"]) and known_cool(hyp, ["file_id"])
-    labels = ref.select(F.col("label_source").alias("label"))
+    compat = label_compat(ref.select(F.col("label_source").alias("label")), label_map)
     ref = ref.withColumn("ipu_id", F.coalesce("ipu_id", F.lit("_nofile")))
-    ref = ref.join(hyp.select("file_id").distinct(), "file_id", "left_semi")
     times = [c if c in ref.columns else None for c in ("ipu_start", "ipu_end")]
     windows = build_windows(ref, w_start=times[0], w_end=times[1])
-    h = assign_windows(hyp, windows, ["file_id"])
-    cfg = F.explode(F.array(*[
-        F.struct(*[F.lit(c[k]).alias(k) for k in ("config", "match", "mismatch", "gap", "far")]) for c in (configs or [DEFAULT])
-    ]))
-    cols = ["file_id", "ipu_id", "unit_id", "t_start", "t_end", "label", "phone_class"]
-    both = ref.select(*[F.col("label_source").alias("label") if c == "label" else c for c in cols], F.lit(True).alias("is_ref")).unionByName(
-        h.select(*cols, F.lit(False).alias("is_ref"))
-    ).select(cfg.alias("_p"), "*").select("_p.*", *cols, "is_ref")
-
-    key = ["config", "file_id", "ipu_id"]
+    cols = ["unit_id", "t_start", "t_end", "label", "phone_class"]
+    r = ref.select("file_id", "ipu_id", *[F.col("label_source").alias("label") if c == "label" else c for c in cols])
+    both = assign_beside(hyp.select("file_id", *cols), windows, r, ["file_id"]).withColumnRenamed("_is_beside", "is_ref")
+
+    # one cut for all parameter sets: what is apart by the widest limit is apart by the others
+    far = F.lit(max(c["far"] for c in configs))
+    key = ["file_id", "ipu_id"]
     order = ["t_start", "is_ref", "unit_id"]
     s = scan(both, key, order, {"_prev": lag("t_start"), "_end": max_before("t_end"), "_next_end": min_from("t_end")}, keep_piece=True, recheck=not cool)
-    apart = F.coalesce((F.col("t_start") - F.col("_prev") > F.col("far")) & (F.col("_next_end") - F.col("_end") > F.col("far")), F.lit(True))
+    apart = F.coalesce((F.col("t_start") - F.col("_prev") > far) & (F.col("_next_end") - F.col("_end") > far), F.lit(True))
     s = scan(s.withColumn("_cut", apart.cast("long")), key, order, {"_part": running_sum("_cut")}, keep_piece=True)
 
     split = is_split(s)
-    s = join_groups(s.drop("_piece"), label_compat(labels, label_map), ["label"], "left")
-    item = F.struct(
-        "t_start", "unit_id", "t_end", "label", "phone_class",
-        F.when(F.col("is_ref"), F.col("ok")).alias("ok"), F.when(F.col("is_ref"), F.col("parts")).alias("parts"),
-    )
-    side = lambda c: F.array_sort(F.collect_list(F.when(c, item)))  # noqa: E731  (by start, then id)
-    g = s.groupBy(*key, "_part", "match", "mismatch", "gap", "far").agg(side(F.col("is_ref")).alias("R"), side(~F.col("is_ref")).alias("H"))
-    g = g.withColumn("_s", _solve("R.t_start", "R.t_end", "R.ok", "R.parts", "H.t_start", "H.t_end", "H.label", "match", "mismatch", "gap", "far"))
+    s = join_groups(s.drop("_piece"), compat, ["label"], "left")
+    own = ["t_start", "unit_id", "t_end", "label", "phone_class"]
+    side = lambda c, *more: F.array_sort(F.collect_list(F.when(c, F.struct(*own, *more))))  # noqa: E731  (by start, then id)
+    g = s.groupBy(*key, "_part").agg(side(F.col("is_ref"), "ok", "parts").alias("R"), side(~F.col("is_ref")).alias("H"))
+    g = g.withColumn("_s", _solver(configs)("R.t_start", "R.t_end", "R.ok", "R.parts", "H.t_start", "H.t_end", "H.label"))
+    # an array for each column, so that what is not asked for is not dealt out again
+    sides = [f"{t}_{c}" for t in "RH" for c in own]
+    g = g.select(*key, "_part", "_s", *[F.col(f"{n[0]}.{n[2:]}").alias(n) for n in sides])
 
     # which of the two solutions holds: the open additions of the next piece
-    oa, ob = F.col("_s.oa"), F.col("_s.ob")
-    turn = ((oa == 1) & (ob == 0)).cast("long")
     if not split:
         g = g.select("*", no_piece())        # no hot window among the units, so none among the pieces
-    c = scan(g.withColumn("_turn", turn), key, ["_part"], {"_t": running_sum("_turn"), "_all": total("_turn")}, keep_piece=True)
-    known = F.when(oa == ob, F.struct(oa.alias("o"), F.col("_t").alias("t")))
-    c = scan(c, key, ["_part"], {"_k": first_after(known)}, keep_piece=True)
-    open_ = (F.coalesce("_k.o", F.lit(0)) + F.coalesce("_k.t", "_all") - F.col("_t")) % 2
-    c = c.withColumn("_steps", F.when(open_ == 1, F.col("_s.b")).otherwise(F.col("_s.a")))
+    each = range(len(configs))
+    oa, ob = [F.col("_s")[i]["oa"] for i in each], [F.col("_s")[i]["ob"] for i in each]
+    turns = [((oa[i] == 1) & (ob[i] == 0)).cast("long") for i in each]
+    g = g.select("*", *[t.alias(f"_turn{i}") for i, t in enumerate(turns)])
+    c = scan(g, key, ["_part"], {n: spec(f"_turn{i}") for i in each for n, spec in ((f"_t{i}", running_sum), (f"_all{i}", total))}, keep_piece=True)
+    known = [F.when(oa[i] == ob[i], F.struct(oa[i].alias("o"), F.col(f"_t{i}").alias("t"))) for i in each]
+    c = scan(c, key, ["_part"], {f"_k{i}": first_after(known[i]) for i in each}, keep_piece=True)
+    is_open = [(F.coalesce(F.col(f"_k{i}.o"), F.lit(0)) + F.coalesce(F.col(f"_k{i}.t"), f"_all{i}") - F.col(f"_t{i}")) % 2 == 1 for i in each]
     # open omissions come after the additions they were made over: in the next piece that has anything else
-    through = (open_ == 1) & ~F.exists("_steps", lambda x: x["c"] == _BODY)
-    c = scan(c.withColumn("_through", through), key, ["_part"], {"_to": first_after(F.when(~F.col("_through"), F.col("_part")))})
-    e = c.select(*key, "_part", "_to", "_through", "R", "H", F.posexplode("_steps").alias("step", "x"))
+    kind = lambda x: x.bitwiseAND(F.lit(3))
+    steps = [F.when(is_open[i], F.coalesce(F.col("_s")[i]["b"], F.col("_s")[i]["a"])).otherwise(F.col("_s")[i]["a"]) for i in each]
+    through = [is_open[i] & ~F.exists(steps[i], lambda x: kind(x) == _BODY) for i in each]
+    held = F.array(*[F.struct(F.lit(p["config"]).alias("config"), steps[i].alias("steps"), through[i].alias("through")) for i, p in enumerate(configs)])
+    c = c.select(*key, "_part", "_piece", *sides, held.alias("_c"))
+    c = scan(c, key, ["_part"], {f"_to{i}": first_after(F.when(~F.col("_c")[i]["through"], F.col("_part"))) for i in each})
+    c = c.select(*key, "_part", *sides, F.posexplode("_c").alias("_n", "_c"), F.array(*[f"_to{i}" for i in each]).alias("_to"))
+    c = c.select("_c.config", *key, "_part", *sides, F.get("_to", F.col("_n")).alias("_to"), F.col("_c.through").alias("_through"), F.col("_c.steps").alias("_steps"))
+    e = c.select("config", *key, "_part", "_to", "_through", *sides, F.posexplode("_steps").alias("step", "_x"))
+    bits = lambda at, mask: F.shiftright("_x", at).bitwiseAND(F.lit(mask)).cast("int")
+    x = F.struct((F.shiftright("_x", 34).cast("int") - 1).alias("r"), (bits(5, (1 << 29) - 1) - 1).alias("h"), (bits(4, 1) == 1).alias("ok"), bits(2, 3).alias("k"), bits(0, 3).alias("c"))
+    e = e.withColumn("x", x)
     moved = (F.col("x.c") == _OPEN) | ((F.col("x.c") == _LEAD) & F.col("_through"))
     place = F.struct(F.when(moved, F.col("_to")).otherwise(F.col("_part")).alias("part"), F.col("x.c").alias("kind"), F.col("_part").alias("own"), F.col("step").alias("step"))
-    r = F.get("R", F.col("x.r"))
-    hs = F.when(F.col("x.k") > 0, F.slice("H", F.col("x.h") + 1, F.col("x.k"))).otherwise(F.expr("slice(H, 1, 0)"))
-    e = e.select(*key, place.alias("position"), F.when(F.col("x.r") >= 0, r).alias("r"), hs.alias("hs"))
-    first, last = F.get("hs", F.lit(0)), F.element_at("hs", -1)
-    has = F.size("hs") > 0
-    ms = lambda a, b: F.when(F.col("r").isNotNull() & has, (a - b) * 1000.0)
-    labels = F.transform("hs", lambda x: x["label"])
+    r = lambda c: F.get(f"R_{c}", F.col("x.r"))
+    has = F.col("x.k") > 0
+    first, last = (lambda c: F.get(f"H_{c}", F.col("x.h"))), (lambda c: F.get(f"H_{c}", F.col("x.h") + F.col("x.k") - 1))
+    all_of = lambda c: F.when(has, F.slice(f"H_{c}", F.col("x.h") + 1, F.col("x.k"))).otherwise(F.slice(f"H_{c}", F.lit(1), F.lit(0)))
+    ms = lambda a, b: F.when((F.col("x.r") >= 0) & has, (a - b) * 1000.0)
     return classify_pairs(
         e.select(
-            *key, "position",
-            F.col("r.unit_id").alias("ref_unit_id"), F.transform("hs", lambda x: x["unit_id"]).alias("hyp_unit_ids"),
-            F.col("r.label").alias("ref_label_source"), labels.alias("hyp_labels"),
-            F.coalesce("r.phone_class", F.when(has, first["phone_class"])).alias("phone_class"),
-            ms(first["t_start"], F.col("r.t_start")).alias("onset_error_ms"), ms(last["t_end"], F.col("r.t_end")).alias("offset_error_ms"),
-            F.size("hs").alias("n_hyp_units"), F.coalesce(F.array_contains("r.ok", F.get(labels, F.lit(0))), F.lit(False)).alias("_ok"),
+            "config", *key, place.alias("position"),
+            r("unit_id").alias("ref_unit_id"), all_of("unit_id").alias("hyp_unit_ids"),
+            r("label").alias("ref_label_source"), all_of("label").alias("hyp_labels"),
+            F.coalesce(r("phone_class"), F.when(has, first("phone_class"))).alias("phone_class"),
+            ms(first("t_start"), r("t_start")).alias("onset_error_ms"), ms(last("t_end"), r("t_end")).alias("offset_error_ms"),
+            F.col("x.k").alias("n_hyp_units"), F.col("x.ok").alias("_ok"),
         ), "ref_unit_id", "n_hyp_units", F.col("_ok"),
     ).drop("_ok")
 

@@ -81,6 +81,16 @@ def total(expr) -> Spec:
     return Spec("total", _c(expr))
 
 
+def lowest(expr) -> Spec:
+    """Minimum over all rows of the key."""
+    return Spec("lowest", _c(expr))
+
+
+def highest(expr) -> Spec:
+    """Maximum over all rows of the key."""
+    return Spec("highest", _c(expr))
+
+
 def _c(expr) -> Column:
     return F.col(expr) if isinstance(expr, str) else expr
 
@@ -222,6 +232,12 @@ def scan(
             carries.append(F.sum(m).over(across_all).alias(c))
             local.append((f"_l_{name}", F.sum(s.expr).over(whole)))
             joins.append(F.coalesce(c, f"_l_{name}").alias(name))
+        elif s.kind in ("lowest", "highest"):
+            of = F.min if s.kind == "lowest" else F.max
+            summaries.append(of(s.expr).alias(m))
+            carries.append(of(m).over(across_all).alias(c))
+            local.append((f"_l_{name}", of(s.expr).over(whole)))
+            joins.append(F.coalesce(c, f"_l_{name}").alias(name))
         else:
             raise ValueError(s.kind)
 
@@ -279,10 +295,14 @@ def _plain(df, keys, order, specs, keep_piece) -> DataFrame:
         "max_before": lambda e: F.max(e).over(before),
         "min_from": lambda e: F.min(e).over(w.rowsBetween(0, Window.unboundedFollowing)),
         "total": lambda e: F.sum(e).over(Window.partitionBy(*(keys or [PIECE]))),
+        "lowest": lambda e: F.min(e).over(Window.partitionBy(*(keys or [PIECE]))),
+        "highest": lambda e: F.max(e).over(Window.partitionBy(*(keys or [PIECE]))),
     }
     kept = [c for c in df.columns if c not in specs and (keep_piece or c != PIECE)]
-    if keys and keys[0] in kept:
-        meta = dict(df.schema[keys[0]].metadata)
-        meta["cool"] = sorted({*meta.get("cool", []), ",".join(keys)})
-        kept[kept.index(keys[0])] = F.col(keys[0]).alias(keys[0], metadata=meta)
-    return df.select(*kept, *[made[s.kind](s.expr).alias(n) for n, s in specs.items()])
+    out = df.select(*kept, *[made[s.kind](s.expr).alias(n) for n, s in specs.items()])
+    if not keys or keys[0] not in kept:
+        return out
+    # renamed above the windows: below them the rows would count as dealt by another column and be dealt again
+    meta = dict(df.schema[keys[0]].metadata)
+    meta["cool"] = sorted({*meta.get("cool", []), ",".join(keys)})
+    return out.select(*[F.col(c).alias(c, metadata=meta) if c == keys[0] else F.col(f"`{c}`") for c in out.columns])

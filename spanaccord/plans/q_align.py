@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spanaccord import settings
 from spanaccord.operators import align as A, audit as Q, reshape as P, tokens as TK
-from spanaccord.operators.scan import lead, number, scan
+from spanaccord.operators.scan import highest, lead, lowest, number, scan
 from spanaccord.operators.scoring import DEVOICED_VOWELS, VOICED_VOWELS
 from spanaccord.plans import bindings as B
 from spanaccord.plans.oracle import ALN, HYP, MAP, UNITS, words
@@ -17,6 +17,9 @@ MARGIN = 0.2
 #: reference labels made of several, and the parts that the hypothesis has in their place
 PLANTED = [("signup", 5, 1, ("signup", "click")), ("purchase", 7, 2, ("purchase", "click", "error"))]
 
+#: columns of a unit that its alignment and the other side are made of
+UNIT = ["file_id", "ipu_id", "event_id", "unit_id", "t_start", "t_end", "label", "phone_class", "excluded_reason", "boundary_source_start", "boundary_source_end"]
+
 
 def sides(spark, sf, squeeze=None):
     """Evaluable reference and hypothesis units; ``squeeze`` makes the time axis dense."""
@@ -45,12 +48,12 @@ def a01(spark, sf):
 
 def dense_sides(spark, sf):
     """Dense units with window times, and labels of two and three parts for which the other side has a unit each."""
-    u = settings.cut(B.windowed_units(spark, sf))
-    u = u.withColumn("t_start", F.col("t_start") / SQUEEZE).withColumn("t_end", F.col("t_end") / SQUEEZE)
-    spans = u.groupBy("file_id", "ipu_id").agg((F.min("t_start") - MARGIN).alias("ipu_start"), (F.max("t_end") + MARGIN).alias("ipu_end"))
+    u = B.windowed_units(spark, sf).withColumn("t_start", F.col("t_start") / SQUEEZE).withColumn("t_end", F.col("t_end") / SQUEEZE)
+    u = scan(u, ["file_id", "ipu_id"], ["t_start"], {"_from": lowest("t_start"), "_to": highest("t_end")})
+    u = settings.kept(u.select(*UNIT, (F.col("_from") - MARGIN).alias("ipu_start"), (F.col("_to") + MARGIN).alias("ipu_end")), "units")     # read several times below
     label = lambda c, parts: F.when((F.col("label") == c[0]) & (F.col("event_id") % c[1] == c[2]), parts)
     source = F.coalesce(*[label(c, F.lit("+".join(c[3]))) for c in PLANTED], F.col("label"))
-    r = P.evaluable(u).join(spans, ["file_id", "ipu_id"]).withColumn("label_source", source)
+    r = P.evaluable(u).where("file_id is not null").withColumn("label_source", source)
     parts = F.coalesce(*[F.when(F.col("unit_id").startswith("h"), label(c, F.array(*map(F.lit, c[3])))) for c in PLANTED], F.array("label"))
     h = B.hyp_units(spark, sf, u).withColumn("_parts", parts)
     h = h.select("file_id", "event_id", "unit_id", "t_start", "t_end", "phone_class", F.size("_parts").alias("_k"), F.posexplode("_parts").alias("_q", "label"))

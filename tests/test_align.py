@@ -178,6 +178,37 @@ def test_sweep_far_limit(spark, label_map):
     assert got == {("near", "omission"), ("near", "insertion"), ("default", "displacement")}
 
 
+def test_sweep_equals_each_parameter_set_alone(spark, label_map):
+    rng = random.Random(12)
+    ref, hyp = sides(spark, [make(rng, w, rng.randint(1, 12)) for w in range(40)])
+    grid = [dict(A.DEFAULT, config="near", far=0.05), A.DEFAULT, dict(A.DEFAULT, config="wide", far=0.4), dict(A.DEFAULT, config="strict", match=3, mismatch=-5, gap=-1)]
+    key = lambda d: sorted(((x.ipu_id, tuple(x.position), x.ref_unit_id or "", tuple(x.hyp_unit_ids), tuple(x.hyp_labels), x.error_type, x.n_hyp_units) for x in d.collect()))
+    order = lambda rows: [(r[0], *r[2:]) for r in rows]  # noqa: E731  (pieces are numbered by the widest limit)
+    got = A.align_windows(ref, hyp, label_map, grid)
+    for c in grid:
+        assert order(key(got.where(F.col("config") == c["config"]))) == order(key(A.align_windows(ref, hyp, label_map, [c])))
+
+
+def test_sweep_deals_units_out_once(spark, label_map, whole_keys):
+    """Rows are not multiplied by the parameter sets, and one exchange by file serves windows, pieces and arrays."""
+    rng = random.Random(3)
+    ref, hyp = sides(spark, [make(rng, w, 5) for w in range(12)])
+    grid = [dict(A.DEFAULT, config=str(f), far=f) for f in (0.05, 0.1, 0.15)]
+    plan = lambda g: A.align_windows(ref, hyp, label_map, g)._jdf.queryExecution().executedPlan().toString()
+    one, three = plan(grid[:1]), plan(grid)
+    below = three[three.index("ArrowEvalPython"):]
+    assert one.count("Exchange hashpartitioning") == three.count("Exchange hashpartitioning") <= 4
+    assert "0.15" in below and "0.05" not in below and "SortMergeJoin" not in below     # one cut by the widest limit
+
+
+def test_files_without_units_on_a_side_are_left_out(spark, label_map):
+    cols = "file_id string, ipu_id string, unit_id string, t_start double, t_end double, {} string, phone_class string"
+    ref = spark.createDataFrame([("f", "w", "r1", 0.0, 1.0, "a", "x"), ("g", "w", "r2", 0.0, 1.0, "a", "x"), (None, "w", "r3", 0.0, 1.0, "a", "x"), ("k", None, "r4", 0.0, 1.0, "a", "x"), ("n", "w", "r5", 0.0, 1.0, "b", "x")], cols.format("label_source"))
+    hyp = spark.createDataFrame([("f", "w", "h1", 0.0, 1.0, "a", "x"), ("q", "w", "h2", 0.0, 1.0, "a", "x"), (None, "w", "h3", 0.0, 1.0, "a", "x"), ("k", "w", "h4", 5.0, 6.0, "a", "x"), ("n", "w", "h5", None, None, "a", "x")], cols.format("label")).drop("ipu_id")
+    got = sorted((x.file_id, x.ipu_id, x.ref_unit_id, tuple(x.hyp_unit_ids), x.error_type) for x in A.align_windows(ref, hyp, label_map).collect())
+    assert got == [("f", "w", "r1", ("h1",), "displacement"), ("k", "_nofile", "r4", (), "omission"), ("n", "w", "r5", (), "omission")]
+
+
 def edit(a, b, cost):
     @lru_cache(None)
     def d(i, j):

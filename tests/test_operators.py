@@ -477,6 +477,19 @@ def test_point_join_without_broadcast_and_with_repeated_rows(spark, whole_keys):
     assert sorted((r.p, r.s) for r in j.collect()) == sorted(want)
 
 
+def test_points_under_few_spans_need_no_join(spark, whole_keys):
+    """Points under up to NEAR spans are answered by the sweep; a span that outlasts so many others is met by cells."""
+    rng = random.Random(6)
+    p = spark.createDataFrame([(i, "f", rng.uniform(-1, 42)) for i in range(150)] + [(150 + i, "f", float(i)) for i in range(42)], "p int, file string, x double")
+    few = [(i, "f", float(i), i + rng.choice([0.0, 1.0, 2.5, 2.99])) for i in range(40)]
+    tied = [(100 + i, "f", 3.0, 3.0) for i in range(4)]
+    for spans, joined in ((few, False), (few + tied, True), (few + [(99, "f", 0.5, 30.0)], True)):
+        s = spark.createDataFrame(spans, "s int, file string, lo double, hi double")
+        j = I.point_join(p, F.col("x"), s, F.col("lo"), F.col("hi"), ["file"])
+        assert ("SortMergeJoin" in j._jdf.queryExecution().executedPlan().toString()) == joined
+        assert sorted((r.p, r.s) for r in j.collect()) == sorted((a.p, b[0]) for a in p.collect() for b in spans if b[2] <= a.x <= b[3])
+
+
 def test_few_groups_are_broadcast_whatever_the_threshold(spark):
     from spanaccord.operators.groups import join_groups
 

@@ -75,3 +75,20 @@ def test_weighted_median_conventions(spark):
     avg = {r.k: r.wmedian for r in weighted_median(d, ["k"], "v", "w", "average").collect()}
     assert low == {"x": 2.0, "y": 6.0}
     assert avg == {"x": 2.5, "y": 6.0}
+
+
+def test_scans_by_one_key_deal_rows_out_once(spark, whole_keys):
+    df = spark.createDataFrame([(f"k{i % 3}", float(i)) for i in range(30)], "k string, t double")
+    s = S.scan(df, ["k"], ["t"], {"a": S.lag("t")})
+    s = S.scan(s, ["k"], ["t"], {"b": S.running_sum("t"), "lo": S.lowest("t"), "hi": S.highest("t")})
+    assert s._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert s.schema["k"].metadata["cool"] == ["k"]
+    assert {(r.k, r.lo, r.hi) for r in s.collect()} == {(f"k{i}", float(i), float(27 + i)) for i in range(3)}
+
+
+def test_lowest_and_highest_of_cut_keys(spark):
+    rows = [("hot", float(i), float(i * 7 % 200) if i % 5 else None) for i in range(200)] + [("few", 1.0, None), ("few", 2.0, 4.0)]
+    s = S.scan(spark.createDataFrame(rows, "k string, t double, v double"), ["k"], ["t"], {"lo": S.lowest("v"), "hi": S.highest("v")}, keep_piece=True)
+    assert s.select("_piece").distinct().count() > 2
+    want = {k: [v for x, _, v in rows if x == k and v is not None] for k in ("hot", "few")}
+    assert {(r.k, r.lo, r.hi) for r in s.collect()} == {(k, min(v), max(v)) for k, v in want.items()}
