@@ -409,3 +409,21 @@ def test_pii_counts_all_candidates(spark):
     rows = [(3, pii.TRUE, ["call"], 50_000), (3, pii.FALSE, ["call"], 10_000), (3, pii.UNKNOWN, ["no"], 90_000)]
     odds = pii._odds(spark.createDataFrame(rows, "k int, answer int, w array<string>, n long"))
     assert abs(odds["3 call"] - (math.log(50_000.5 / 50_001) - math.log(10_000.5 / 100_001))) < 1e-9
+
+
+def test_pii_learns_from_every_base_span_in_every_form(spark, monkeypatch):
+    """No base span is left out, not even one that meets another; its forms are held out together and count as one."""
+    seen, drawn, real, odds = [], [], pii._rewritten, pii._odds
+    monkeypatch.setattr(pii, "_rewritten", lambda parts: seen.append(real(parts)) or seen[-1])
+    monkeypatch.setattr(pii, "_odds", lambda d, **more: drawn.append(d) or odds(d, **more))
+    rows = [(i, f"write soon to user{i}@site{i % 7}.com or to 10.0.0.{i}@host.org today") for i in range(40)]
+    pii.fit(docs(spark, rows))
+    spans = [x for i, t in rows for x in base(t).split(",")]
+    assert len(spans) == 120                                            # two addresses and a number inside one of them
+    got = seen[0].select("o", "k", "answer").collect()
+    true = {o: (k, sum(1 for r in got if r.o == o and r.answer == pii.TRUE)) for o, k in {(r.o, r.k) for r in got if r.answer == pii.TRUE}}
+    assert len({r.o for r in got}) == 120
+    assert sorted(n for k, n in true.values() if k == 0) == [pii.FORMS] * 80
+    assert sum(1 for r in got if r.answer == pii.UNKNOWN) >= 40         # an address around the number in its place: no known answer
+    mine = drawn[0].where(f"k = 0 and answer = {pii.TRUE}").agg(F.sum("n")).first()[0]
+    assert mine % pii.FORMS == 0 and 0 < mine < 80 * pii.FORMS          # whole spans are held out
